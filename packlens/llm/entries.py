@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packlens.llm import linededup, mixing, quality
+from packlens.llm import linededup, mixing, neardup, quality
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1,
     "op7_quality_rules": quality.op7,
     "op8_source_mix": mixing.op8,
     "op9_line_dedup": linededup.op9,
