@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from packlens.llm import decontam, linededup, mixing, neardup, quality
+from packlens.llm import decontam, licenses, linededup, mixing, neardup, quality, secretscan
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1,
+    "op2_secret_scan": secretscan.op2,
     "op3_decontaminate": decontam.op3,
+    "op6_license_scan": licenses.op6,
     "op7_quality_rules": quality.op7,
     "op8_source_mix": mixing.op8,
     "op9_line_dedup": linededup.op9,
 }
 ORACLE_SQL = {
+    "op2_secret_scan": secretscan.OP2_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
+    "op6_license_scan": licenses.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
