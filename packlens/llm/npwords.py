@@ -17,6 +17,8 @@ CHUNK_BYTES = 1 << 22
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 TABLE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The table without the letters' folding.
+TABLE_EXACT = TABLE.copy()
 TABLE[65:91] = TABLE[97:123]
 TURNS = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
