@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packlens.llm import decontam, licenses, linededup, mixing, neardup, quality, repeats, secretscan
+from packlens.llm import decontam, licenses, linededup, lmscore, mixing, neardup, quality, repeats, secretscan
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_quality_rules": quality.op7,
     "op8_source_mix": mixing.op8,
     "op9_line_dedup": linededup.op9,
+    "op10_lm_scores": lmscore.op10,
 }
 ORACLE_SQL = {
     "op2_secret_scan": secretscan.OP2_SQL,
