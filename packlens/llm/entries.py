@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from packlens.llm import decontam, licenses, linededup, lmscore, mixing, neardup, quality, repeats, secretscan
+from packlens.llm import decontam, licenses, linededup, lmscore, mixing, neardup, pii, quality, repeats, secretscan
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1,
     "op2_secret_scan": secretscan.op2,
     "op3_decontaminate": decontam.op3,
+    "op4_personal_data": pii.op4,
     "op5_repeated_bytes": repeats.op5,
     "op6_license_scan": licenses.op6,
     "op7_quality_rules": quality.op7,
