@@ -164,5 +164,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = personal_data(base.documents(spark, sf_dir))
     names = F.array(*map(F.lit, KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return df.select("doc_id", *counts, F.sha2(written(F.filter("spans", lambda x: x["rank"] < 4)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return df.select("doc_id", *map(count, range(4)), F.sha2(written(F.filter("spans", lambda x: x["rank"] < 4)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
