@@ -113,9 +113,8 @@ l AS (SELECT max(rest) AS num, max(ws) AS den FROM c WHERE NOT capped),
 t AS (SELECT unknown, name, source_size, weight, CASE WHEN capped THEN (2 * source_size)::DOUBLE ELSE (weight * num)::DOUBLE / (100 * den) END AS target FROM c, l),
 q AS (SELECT d.*, source_size, weight, target, (sum(size) OVER (PARTITION BY unknown, name ORDER BY key))::BIGINT AS upto FROM d JOIN t USING (unknown, name)),
 p AS (SELECT doc_id, key, size, unknown, name, turn, (turn * source_size + upto)::DOUBLE / weight AS time FROM q, (VALUES (0), (1)) AS v(turn) WHERE size > 0),
-m AS (SELECT key, unknown, name, size, count(*) FILTER (WHERE 100 * total <= 150 * (SELECT sum(source_size) FROM t)) AS turns
-      FROM (SELECT *, sum(size) OVER (ORDER BY time, unknown, name, turn, key) AS total FROM (SELECT DISTINCT ON (doc_id, key, turn) * REPLACE (size * count(*) OVER (PARTITION BY doc_id, key, turn) AS size), size AS one FROM p))
-      GROUP BY ALL)
+o AS (SELECT *, sum(size) OVER (ORDER BY time, unknown, name, turn, key) AS total FROM p),
+m AS (SELECT key, unknown, name, count(DISTINCT turn) AS turns FROM o WHERE 100 * total <= 150 * (SELECT sum(source_size) FROM t) GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, coalesce(q.target, 0) AS target, (q.size * coalesce(m.turns, 0))::BIGINT AS taken
-FROM q LEFT JOIN (SELECT key, unknown, name, max(turns) AS turns FROM m GROUP BY ALL) m ON q.key = m.key AND q.unknown = m.unknown AND q.name = m.name
+FROM q LEFT JOIN m ON q.key = m.key AND q.unknown = m.unknown AND q.name = m.name
 """
