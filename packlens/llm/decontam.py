@@ -64,6 +64,17 @@ class Index:
                     yield k, shared
 
 
+def indexes(items: DataFrame, containment: float, width: int, block_bytes: int) -> Iterator[Index]:
+    """The items with words, block by block; about block_bytes of them are on the driver at a time."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(base.WORD))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        if rows:
+            yield Index([r.item_id for r in rows], [r.text for r in rows], containment, width)
+
+
 def contained(docs: DataFrame, items: DataFrame, containment: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: items whose shingles are in a document by the share at least.
 
@@ -72,35 +83,31 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = base.SIMIL
     or without words match nothing. Null ids are carried, repeated rows match each. An empty table on
     either side gives no rows; other columns are ignored.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(base.WORD))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = Index([r.item_id for r in rows], [r.text for r in rows], containment, width)
-        part = docs.mapInArrow(_searcher(index, width), SCHEMA) if index.parts else docs.sparkSession.createDataFrame([], SCHEMA)
-        found = part if found is None else found.unionByName(part)
+    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    for index in indexes(items, containment, width, block_bytes):
+        found = found.unionByName(docs.mapInArrow(_searcher(index, width), SCHEMA))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def _searcher(index: Index, width: int):
+def hits(index: Index, width: int, column: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shared shingles) of the texts in a column."""
     widths = sorted({w for w, *_ in index.parts})
+    offsets, data = npwords.text_bytes(column)
+    for i, _, firsts, h in npwords.rows(offsets, data):
+        flat = {w: npwords.windows(h, w) for w in widths}
+        bounds = firsts.tolist()
+        for k in range(len(bounds) - 1):
+            a, b = bounds[k], bounds[k + 1]
+            for x, n in index.search({w: np.unique(s[a : max(a, b - w + 1)]) for w, s in flat.items()}):
+                yield i + k, x, n
 
+
+def _searcher(index: Index, width: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = npwords.text_bytes(batch.column("text"))
-            at, item, shared = [], [], []
-            for i, _, firsts, h in npwords.rows(offsets, data):
-                flat = {w: npwords.windows(h, w) for w in widths}
-                bounds = firsts.tolist()
-                for k in range(len(bounds) - 1):
-                    a, b = bounds[k], bounds[k + 1]
-                    for x, n in index.search({w: np.unique(s[a : max(a, b - w + 1)]) for w, s in flat.items()}):
-                        at.append(i + k)
-                        item.append(x)
-                        shared.append(n)
+            found = list(hits(index, width, batch.column("text")))
+            at, item, shared = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch(
                 [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([index.ids[x] for x in item], pa.int64()), pa.array([len(index.sets[x]) for x in item], pa.int64()), pa.array(shared, pa.int64())],
                 names=["doc_id", "item_id", "n_item", "n_shared"],
@@ -109,10 +116,21 @@ def _searcher(index: Index, width: int):
     return search
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, containment: float = base.SIMILARITY) -> DataFrame:
-    """docs without those that contain an item."""
-    hit = contained(docs, items, containment).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+def _cleaner(index: Index, width: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[i for i, _, _ in hits(index, width, batch.column("text"))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return clean
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, containment: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs whose text contains no item; each block of items filters what the one before has left."""
+    for index in indexes(items, containment, width, block_bytes):
+        docs = docs.mapInArrow(_cleaner(index, width), docs.schema)
+    return docs
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,14 +48,18 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(found).cast("long")
 
 
-def rule_counts(docs: DataFrame) -> DataFrame:
-    """Counts and rule outcomes of every document; a null text has no words and one empty line."""
+def rule_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Counts and rule outcomes of every document; a null text has no words and one empty line.
+
+    With carry, the whole row comes along as the struct `row`.
+    """
     text = F.col("__text")
     with_word = F.filter(F.split(text, "\n"), lambda x: x.rlike(base.WORD))
-    df = docs.select("doc_id", F.col("source").alias("host"), base.text_of().alias("__text"))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    df = docs.select("doc_id", F.col("source").alias("host"), base.text_of().alias("__text"), *row)
+    own = ["doc_id", "host", *(["row"] if carry else [])]
     df = df.select(
-        "doc_id",
-        "host",
+        *own,
         base.words_of(text).alias("__words"),
         with_word.alias("__lines"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
@@ -63,8 +67,7 @@ def rule_counts(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("__upper"),
     )
     df = df.select(
-        "doc_id",
-        "host",
+        *own,
         F.size("__words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -77,7 +80,7 @@ def rule_counts(docs: DataFrame) -> DataFrame:
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
     strict = (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * n) | (100 * F.col("__upper") > MAX_UPPER_PERCENT * F.col("word_chars"))
     advisory = (F.col("word_chars") < MIN_WORD_CHARS * n) | (F.col("word_chars") > MAX_WORD_CHARS * n) | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("__n_lines"))
-    return df.select("doc_id", "host", *COUNTS, failed.alias("base_failed"), strict.alias("strict_failed"), advisory.alias("advisory_failed"))
+    return df.select(*own, *COUNTS, failed.alias("base_failed"), strict.alias("strict_failed"), advisory.alias("advisory_failed"))
 
 
 def host_verdicts(counts: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
@@ -98,6 +101,19 @@ def host_verdicts(counts: DataFrame, suspect_rate: float = SUSPECT_RATE) -> Data
     return hosts.select("host", "n", "failures", rate.alias("rate")).withColumn("suspect", F.col("rate") >= suspect_rate)
 
 
+def judged(counts: DataFrame, suspect_rate: float) -> DataFrame:
+    hosts = host_verdicts(counts, suspect_rate).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "suspect")
+    joined = counts.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left").drop("__host")
+    kept = ~F.col("base_failed") & ~F.col("strict_failed") & ~(F.col("suspect") & F.col("advisory_failed"))
+    return joined.withColumn("kept", F.coalesce(kept, F.lit(True)))
+
+
+def good_documents(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
+    """The rows of docs that quality_rules keeps. Texts are read once and only written beside their counts."""
+    counts = base.keep(rule_counts(docs, carry=True), "rule_counts")
+    return judged(counts, suspect_rate).where("kept").select("row.*")
+
+
 def quality_rules(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
     """One row per document: counts, base_failed, host_rate and kept.
 
@@ -107,11 +123,7 @@ def quality_rules(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFr
     the hosts' table is small and Spark broadcasts it below its own threshold, and beyond that its
     skew join splits the host.
     """
-    counts = base.keep(rule_counts(docs), "rule_counts")
-    hosts = host_verdicts(counts, suspect_rate).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "suspect")
-    joined = counts.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left").drop("__host")
-    kept = ~F.col("base_failed") & ~F.col("strict_failed") & ~(F.col("suspect") & F.col("advisory_failed"))
-    return joined.withColumn("kept", F.coalesce(kept, F.lit(True)))
+    return judged(base.keep(rule_counts(docs), "rule_counts"), suspect_rate)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
