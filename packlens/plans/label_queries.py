@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from packlens.functions import labels as L
 from packlens.functions import text as T
 from packlens.operators import classify, extract, layout, merge, reread, rules
 from packlens.sources import adapters as A
+from packlens.sources import scratch
 from packlens.sources.adapters import over
 from packlens.streaming import outbox as stream
 
@@ -403,11 +402,11 @@ def reread_parse(spark: SparkSession, d: str) -> DataFrame:
 @query(over("outbox", "SELECT id, created_at, officer_id, kind FROM outbox WHERE NOT synced"))
 def outbox_drain_stream(spark: SparkSession, d: str) -> DataFrame:
     """The pending rows after a stream over the landed events has been drained into a table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="packlens-")
-    at = f"{shared.rstrip('/')}/packlens/outbox-{uuid.uuid4().hex}"
-    is_file = os.path.isfile(f"{d}/events.parquet")
+    at = f"{scratch.shared_dir(spark)}/packlens/outbox-{uuid.uuid4().hex}"
     schema = A.table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet") if not is_file else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # the source watches a folder: the table's own, or the one that holds its file
+    folder, glob = (d, "events.parquet") if scratch.is_file(spark, f"{d}/events.parquet") else (f"{d}/events.parquet", "*.parquet")
+    raw = stream.landed(spark, folder, schema, glob)
     events = raw.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("officer_id"), F.col("event_type").alias("kind"), (F.col("event_id") % 3 != 0).alias("synced"))
     stream.drained(events, f"{at}/table", f"{at}/checkpoint").awaitTermination()
     return spark.read.option("basePath", f"{at}/table").parquet(f"{at}/table").select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "officer_id", "kind")

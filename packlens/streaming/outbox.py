@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def landed(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
+def landed(spark: SparkSession, folder: str, schema: str | StructType, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
