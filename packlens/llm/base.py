@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packlens.sources.scratch import shared_dir
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -66,30 +67,32 @@ def row_key(text: Column) -> Column:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only in local mode without one."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="packlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut and a lost executor costs a reread.
 
     The tables of a session are deleted by release() or at exit.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/packlens/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/packlens/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    # what was shuffled for it is only deleted once the JVM has collected its garbage
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are sent to all executors at most, 8 bytes each and their table's overhead.
+BROADCAST_KEYS = 1 << 21
+
+
+def only_keys(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """df's rows with a key in keys (distinct, a long); not filtered at all where the keys are too many to broadcast.
+
+    It goes before a join on the key, so that other rows' texts are not shuffled.
+    """
+    return df.join(F.broadcast(keys), name, "left_semi") if keys.count() <= BROADCAST_KEYS else df
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete the scratch tables (of one session)."""
     for own, path in [x for x in _written if spark is None or x[0] is spark]:

@@ -11,20 +11,25 @@ from packlens.llm import base
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that is not its component's smallest; edges has long columns a, b.
 
-    Each round points every node at the smallest node in sight, larger neighbours first and then
-    smaller ones, and is written to the shared folder. It ends when a round changes nothing, after
-    about log of the diameter.
+    Each round hands every node's larger neighbours, then its smaller ones, to the smallest node in
+    sight, and is written to the shared folder. It ends when what is left are stars: every node
+    with one edge down, to a node that has none. That takes about log of the diameter.
     """
     stars = base.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = stars.join(low, "v").select("u", F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = base.keep(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
-        now = stars.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if now == seen:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        stars = base.keep(small.where("u <> v").distinct(), "stars")
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two edges down and none is between others. Each edge says of its upper end
+    that it has an edge down, and of its lower end that it has one up."""
+    down = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    up = edges.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    nodes = down.unionByName(up).groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down > 1 or (down = 1 and up = 1)").isEmpty()

@@ -8,7 +8,8 @@
 4. The union sketch estimates each pair's similarity and drops pairs that can't reach it; the whole
    shingle sets decide the rest.
 5. Links make components. A long list whose classes are then in several components is the one place
-   where a link can have been missed: there every pair across components is held against 4.
+   where a link can have been missed: there classes outside the main component are held against all
+   others by an inverted index of whole sets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from packlens.llm.components import components
 
 #: Retained values; those in inverted lists; a list of at most SHORT classes gives all pairs, others stars of about GROUP.
 K, INDEXED, SHORT, GROUP = 64, 32, 4, 16
+#: Shingles of a block of classes that are compared with another block in one task.
+BLOCK_SHINGLES = 1 << 20
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -75,6 +78,7 @@ def lists(classes: DataFrame, similarity: float) -> DataFrame:
 
     entries = classes.where("n_shingles > 0").select("c", "n_shingles", "sketch").mapInArrow(values, "v long, c long, n long")
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = base.keep(shared, "shared")  # so that the join shuffles both sides for itself and a hot value can be split
     size = F.least(F.col("n"), F.lit(INDEXED))
     meet = F.least(F.ceil(similarity * F.col("n")), F.lit(need))
     by_class = entries.join(shared, "v").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("common"))
@@ -92,15 +96,68 @@ def first_pairs(listed: DataFrame) -> DataFrame:
     return pairs.select("p.a", "p.b").distinct()
 
 
-def left_pairs(listed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs across components in long lists that hold several, but for pairs within the list's main component."""
+def clusters(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cluster, c, root): classes of long lists that hold several components, clustered by shared lists."""
     placed = listed.where(F.col("df") > SHORT).join(roots, F.col("c") == F.col("node"), "left").select("v", "c", F.coalesce("root", "c").alias("root"))
-    sizes = placed.groupBy("v", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("v").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("v", F.col("main.root").alias("main"))
-    split = placed.join(main, "v")
-    outside = split.where("root <> main").select("v", F.col("c").alias("x"), F.col("root").alias("x_root"))
-    pairs = outside.join(split, "v").where("x_root <> root and (root = main or x < c)")
-    return pairs.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
+    split = base.keep(placed.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("v"), "split")
+    members = base.keep(placed.join(split, "v"), "members")
+    joined = components(members.select(F.col("root").alias("a"), F.col("v").alias("b")).distinct())
+    at = joined.select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    return members.select("c", "root").distinct().join(at, "root", "left").select(F.coalesce("cluster", "root").alias("cluster"), "c", "root")
+
+
+def links_between(members: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Links across components of a cluster, exact, one for each class and component it is linked to.
+
+    Classes outside the cluster's main component are held against all of the cluster through an
+    inverted index of whole shingle sets, block by block, so that no pair is written down that isn't a link.
+    """
+    percent = round(100 * similarity)
+
+    def compared(x_rows: list, y_rows: list) -> Iterator[tuple[int, int]]:
+        if not x_rows or not y_rows:
+            return
+        sizes = np.array([len(s) for _, _, s in y_rows])
+        values, owners = np.concatenate([s for _, _, s in y_rows]), np.repeat(np.arange(len(y_rows)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        roots = np.array([r for _, r, _ in y_rows], np.int64)
+        for c, root, s in x_rows:
+            low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+            n = high - low
+            at = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+            common = np.bincount(owners[at], minlength=len(y_rows))
+            near = np.flatnonzero((100 * common >= percent * (len(s) + sizes - common)) & (roots != root))
+            for i in near[np.unique(roots[near], return_index=True)[1]].tolist():
+                yield c, y_rows[i][0]
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, x_rows, y_rows = None, [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            offsets, data = npwords.text_bytes(batch.column("text"))
+            units, cs, roots, outside = (batch.column(n).to_pylist() for n in ("unit", "c", "root", "outside"))
+            for i, _, firsts, h in npwords.rows(offsets, data):
+                for k, s in enumerate(npwords.shingles(firsts, h, width), i):
+                    if units[k] != unit:
+                        out += compared(x_rows, y_rows)
+                        unit, x_rows, y_rows = units[k], [], []
+                    (x_rows if outside[k] else y_rows).append((cs[k], roots[k], np.unique(s)))
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        out = list(compared(x_rows, y_rows))
+        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    rows = base.keep(members.join(classes.select("c", "rid", "n_shingles"), "c"), "clusters")
+    sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.ceil(F.sum("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    rows = rows.join(main.select("cluster", F.col("main.root").alias("main"), "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    x = rows.where("root <> main").select("cluster", "c", "root", "rid", F.col("block").alias("i"), every, F.lit(True).alias("outside")).withColumnRenamed("other", "j")
+    y = rows.select("cluster", "c", "root", "rid", F.col("block").alias("j"), every, F.lit(False).alias("outside")).withColumnRenamed("other", "i")
+    units = x.unionByName(y).select(F.xxhash64("cluster", "i", "j").alias("unit"), "c", "root", "rid", "outside")
+    units = base.keep(units, "units")
+    rows = units.join(texts_of(docs, units), "rid").select("unit", "c", "root", "outside", "text").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(linked, "a long, b long").distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -127,6 +184,12 @@ def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     return near.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
 
 
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(rid, text) of docs, as far as can be told those that are needed."""
+    texts = docs.select(base.row_key(base.text_of()).alias("rid"), "text")
+    return base.only_keys(texts, base.keep(needed.select("rid").distinct(), "rids"), "rid")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
     """Pairs whose whole shingle sets reach the similarity; a text goes once to each class it is compared with."""
     percent = round(100 * similarity)
@@ -152,15 +215,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     needed = pairs.select(F.col("a").alias("unit"), F.col("b").alias("c")).unionByName(pairs.select(F.col("a").alias("unit"), F.col("a").alias("c")).distinct())
-    rows = needed.join(classes.select("c", "rid"), "c")
-    texts = docs.select(base.row_key(base.text_of()).alias("rid"), "text")
-    rows = rows.join(texts, "rid").select("unit", "c", (F.col("c") != F.col("unit")).alias("other"), "text")
+    rows = base.keep(needed.join(classes.select("c", "rid"), "c"), "needed")
+    rows = rows.join(texts_of(docs, rows), "rid").select("unit", "c", (F.col("c") != F.col("unit")).alias("other"), "text")
     rows = rows.repartition("unit").sortWithinPartitions("unit", "other", "c")
     return rows.select("unit", "c", "text").mapInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, rid (see base) and group for every row of docs (doc_id, text).
 
     Words are lower-cased (A-Z). A text with fewer words than the width is one shingle; without words
     or with a null text it has none and is linked with nothing. component_id is the smallest doc_id
@@ -175,19 +237,35 @@ def near_duplicates(docs: DataFrame, similarity: float = base.SIMILARITY, width:
     pairs = base.keep(estimated(first_pairs(listed), classes, similarity), "pairs")
     links = base.keep(verified(pairs, classes, docs, similarity, width), "links")
     roots = components(links)
-    more = base.keep(estimated(left_pairs(listed, roots).join(pairs, ["a", "b"], "left_anti"), classes, similarity), "more_pairs")
-    if not more.isEmpty():
-        more_links = base.keep(verified(more, classes, docs, similarity, width), "more_links")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more_links))
-    placed = classes.select("s1", "s2", "doc_id", "c").join(roots, F.col("c") == F.col("node"), "left").select("s1", "s2", "doc_id", F.coalesce("root", "c").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = placed.join(smallest, "root").select("s1", "s2", "component_id")
-    df = all_docs.select("doc_id", "n_shingles", "s1", "s2")
+    members = base.keep(clusters(listed, roots), "clustered")
+    if not members.isEmpty():
+        more = base.keep(links_between(members, classes, docs, similarity, width), "more_links")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    placed = classes.select("s1", "s2", "doc_id", "c").join(roots, F.col("c") == F.col("node"), "left").select("s1", "s2", "doc_id", F.coalesce("root", "c").alias("group"))
+    smallest = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    labels = base.keep(placed.join(smallest, "group").select("s1", "s2", "component_id", "group"), "labels")
+    df = all_docs.select("doc_id", "n_shingles", "s1", "s2", "rid")
     linked = df.where("n_shingles > 0").join(labels, ["s1", "s2"], "left")
-    alone = df.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    both = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = df.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("group", F.col("rid"))
+    names = ["doc_id", "n_shingles", "component_id", "rid", "group"]
+    both = linked.select(*names).unionByName(alone.select(*names))
+    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "rid", "group")
+
+
+def representatives(docs: DataFrame, similarity: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS) -> DataFrame:
+    """One row of docs for each group of near-duplicates: that of the smallest id (null last), of equal ids any one.
+
+    Texts without words are groups of their own, but rows repeated in full are one.
+    """
+    found = base.keep(near_duplicates(docs.select("doc_id", "text"), similarity, width), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
+    chosen = base.keep(found.groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.rid").alias("__rid")).distinct(), "chosen")
+    few = chosen.count() <= base.BROADCAST_KEYS
+    rows = docs.withColumn("__rid", base.row_key(base.text_of())).join(F.broadcast(chosen) if few else chosen, "__rid", "left_semi")
+    if not found.groupBy("rid").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__rid"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(base.documents(spark, sf_dir))
+    return near_duplicates(base.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
