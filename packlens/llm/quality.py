@@ -48,16 +48,15 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(found).cast("long")
 
 
-def rule_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
+def rule_counts(docs: DataFrame, keys: bool = False) -> DataFrame:
     """Counts and rule outcomes of every document; a null text has no words and one empty line.
 
-    With carry, the whole row comes along as the struct `row`.
+    With keys, a hash of (doc_id, text, source) comes along as `key`.
     """
     text = F.col("__text")
     with_word = F.filter(F.split(text, "\n"), lambda x: x.rlike(base.WORD))
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
-    df = docs.select("doc_id", F.col("source").alias("host"), base.text_of().alias("__text"), *row)
-    own = ["doc_id", "host", *(["row"] if carry else [])]
+    df = docs.select("doc_id", F.col("source").alias("host"), base.text_of().alias("__text"), *([row_key().alias("key")] if keys else []))
+    own = ["doc_id", "host", *(["key"] if keys else [])]
     df = df.select(
         *own,
         base.words_of(text).alias("__words"),
@@ -108,10 +107,16 @@ def judged(counts: DataFrame, suspect_rate: float) -> DataFrame:
     return joined.withColumn("kept", F.coalesce(kept, F.lit(True)))
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", base.text_of(), "source")
+
+
 def good_documents(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
-    """The rows of docs that quality_rules keeps. Texts are read once and only written beside their counts."""
-    counts = base.keep(rule_counts(docs, carry=True), "rule_counts")
-    return judged(counts, suspect_rate).where("kept").select("row.*")
+    """The rows of docs that quality_rules keeps. The keys of the others are broadcast if they are few enough."""
+    counts = base.keep(rule_counts(docs, keys=True), "rule_counts")
+    rejected = base.keep(judged(counts, suspect_rate).where("not kept").select(F.col("key").alias("__key")).distinct(), "rejected")
+    few = rejected.count() <= base.BROADCAST_KEYS
+    return docs.withColumn("__key", row_key()).join(F.broadcast(rejected) if few else rejected, "__key", "left_anti").drop("__key")
 
 
 def quality_rules(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
