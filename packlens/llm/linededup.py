@@ -43,6 +43,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points: int
     per_doc = lines.groupBy("h1", "h2", "rid").agg(F.min("pos").alias("pos"))
     first = F.min(F.struct("rid", "pos")).alias("first")
     frequent = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).where(F.col("n") >= min_docs).drop("n")
+    frequent = base.keep(frequent, "frequent")  # so that the join shuffles both sides for itself and a hot key can be split
     hits = lines.join(frequent, ["h1", "h2"])
     if keep_first:
         hits = hits.where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
