@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from packlens.llm import base, npwords
 
-#: Threshold in bytes, bytes of a gram, and bytes of text that a bucket stands for.
-DEPTH, GRAM, BUCKET_BYTES = 50, 20, 4 << 20
+#: Threshold in bytes, bytes of a gram, bytes of text that a bucket stands for and that are worked on at once.
+DEPTH, GRAM, BUCKET_BYTES, PART_BYTES = 50, 20, 8 << 20, 4 << 20
+#: Runs of windows that are ordered at once in a bucket, those of one gram together.
+AT_ONCE = 1 << 14
 #: A null id orders after all others.
 NULL_ID = (1 << 63) - 1
 LOW = np.uint64((1 << 20) - 1)
@@ -77,8 +79,13 @@ def represented(offsets: np.ndarray, data: np.ndarray, depth: int, gram: int) ->
     return np.searchsorted(offsets, first, "right") - 1, gram_at, first, n_windows, h
 
 
-def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc").to_numpy()
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, offsets, bytes, ids) of parts of a bounded size."""
+    for batch in batches:
+        offsets, _ = npwords.text_bytes(batch.column("text"))
+        for i, j in npwords.chunks(offsets, PART_BYTES):
+            part = batch.slice(i, j - i)
+            yield part, *npwords.text_bytes(part.column("text")), part.column("doc").to_numpy()
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -120,22 +127,23 @@ def settled(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordBatc
     """Rows sorted by bucket: those with a key pass through, a bucket's others are settled together."""
     bucket, held = None, []
 
-    def done() -> list[tuple[int, bytes]]:
-        return list(settle(held)) if held else []
+    def sent_on(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["key", "data"])
 
     for batch in batches:
-        out: list[tuple[int, bytes]] = []
+        through: list[tuple[int, bytes]] = []
         for b, key, data in zip(batch.column("bucket").to_pylist(), batch.column("key").to_pylist(), batch.column("data"), strict=True):
             if b != bucket:
-                out += done()
+                if held:
+                    yield sent_on(list(settle(held)))
                 bucket, held = b, []
             if key is None:
                 held.append(memoryview(data.as_py()))
             else:
-                out.append((key, data.as_py()))
-        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "data"])
-    out = done()
-    yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["key", "data"])
+                through.append((key, data.as_py()))
+        yield sent_on(through)
+    if held:
+        yield sent_on(list(settle(held)))
 
 
 def through_buckets(rows: DataFrame, settle) -> DataFrame:
@@ -150,9 +158,7 @@ def first_digit(docs: DataFrame, bits: int, depth: int, gram: int) -> DataFrame:
     """(key = doc, data = positions): grams of a document that another document has too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = npwords.text_bytes(batch.column("text"))
-            ids = ids_of(batch)
+        for _, offsets, data, ids in parts_of(batches):
             row, gram_at, _, _, h = represented(offsets, data, depth, gram)
             order = np.argsort(h, kind="stable")
             h, row, at = h[order], row[order], (gram_at[order] - offsets[row[order]]).astype(np.uint32)
@@ -168,14 +174,15 @@ def first_digit(docs: DataFrame, bits: int, depth: int, gram: int) -> DataFrame:
                 h, row, at = h[~each], row[~each], at[~each]
                 for b, part in sliced((h >> np.uint64(64 - bits)).astype(np.int64)):
                     used, index = np.unique(row[part], return_inverse=True)
-                    out.append((b, None, packed(used, ids[used]) + packed(h[part], index.astype(np.uint32), at[part])))
+                    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+                    out.append((b, None, packed(ids[used]) + packed(h[part], index.astype(kind), at[part])))
             yield sent(out)
 
     def settle(blocks: list[memoryview]) -> Iterator[tuple[int, bytes]]:
         parts = []
         for x in blocks:
-            used, ids = unpacked(x, (np.int64, 1), (np.int64, 1))
-            h, index, at = unpacked(x[8 + used.nbytes + ids.nbytes :], (np.uint64, 1), (np.uint32, 1), (np.uint32, 1))
+            (ids,) = unpacked(x, (np.int64, 1))
+            h, index, at = unpacked(x[8 + ids.nbytes :], (np.uint64, 1), (np.uint16 if len(ids) <= 1 << 16 else np.uint32, 1), (np.uint32, 1))
             parts.append((h, ids[index], at))
         h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
@@ -201,17 +208,16 @@ def remaining_digits(docs: DataFrame, survivors: DataFrame, bits: int, depth: in
     kinds = ((np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint8, 1), (np.uint8, length))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = npwords.text_bytes(batch.column("text"))
-            ids, rids = ids_of(batch), batch.column("rid").to_numpy()
+        for batch, offsets, data, ids in parts_of(batches):
+            rids = batch.column("rid").to_numpy()
             row, gram_at, first, n, h = represented(offsets, data, depth, gram)
             alive = [np.frombuffer(b"".join(x), np.uint32).astype(np.int64) for x in batch.column("alive").to_pylist()]
             wanted = np.concatenate([x + (np.int64(i) << 32) for i, x in enumerate(alive)]) if alive else np.zeros(0, np.int64)
             held = np.isin(gram_at - offsets[row] + (row << 32), wanted)
             row, first, n, h = row[held], first[held], n[held], h[held]
             out: list[tuple[int, int | None, bytes]] = []
-            for a in range(0, len(row), 1 << 16):  # bounded memory for the matrix of bytes
-                out += share(*(x[a : a + (1 << 16)] for x in (row, first, n, h)), offsets, data, ids, rids)
+            for a in range(0, len(row), AT_ONCE):  # bounded memory for the matrix of bytes
+                out += share(*(x[a : a + AT_ONCE] for x in (row, first, n, h)), offsets, data, ids, rids)
             yield sent(out)
 
     def share(row, first, n, h, offsets, data, ids, rids) -> Iterator[tuple[int, int | None, bytes]]:
@@ -234,23 +240,32 @@ def remaining_digits(docs: DataFrame, survivors: DataFrame, bits: int, depth: in
             yield b, None, packed(h[i], doc[i], rid[i], at[i], n[i].astype(np.uint8), text[i])
 
     def settle(blocks: list[memoryview]) -> Iterator[tuple[int, bytes]]:
+        h, *rest = (np.concatenate(x) for x in zip(*(unpacked(x, *kinds) for x in blocks), strict=True))
+        order = np.argsort(h, kind="stable")
+        starts = np.append(runs_of(h[order]), len(h))
+        a = 0
+        while a < len(h):
+            b = int(starts[max(np.searchsorted(starts, a + AT_ONCE, "right") - 1, np.searchsorted(starts, a, "right"))])
+            yield from ordered(*(x[order[a:b]] for x in rest))
+            a = b
+
+    def ordered(doc, rid, at, n, text) -> Iterator[tuple[int, bytes]]:
         power, inverse = npwords.powers()
-        h, doc, rid, at, n, text = (np.concatenate(x) for x in zip(*(unpacked(x, *kinds) for x in blocks), strict=True))
         found = []
-        for a in range(0, len(h), 1 << 14):
-            part = text[a : a + (1 << 14)]
+        for a in range(0, len(doc), 1 << 12):
+            part = text[a : a + (1 << 12)]
             total = np.zeros((len(part), length + 1), np.uint64)
             np.cumsum(npwords.TABLE_EXACT[part] * power[:length], axis=1, out=total[:, 1:])
             w = npwords.mix((total[:, depth:] - total[:, :-depth])[:, :most] * inverse[:most])
-            entry, offset = np.nonzero(np.arange(most) < n[a : a + (1 << 14), None])
-            found.append((w[entry, offset], entry + a, offset.astype(np.int8)))
+            entry, offset = np.nonzero(np.arange(most) < n[a : a + (1 << 12), None])
+            found.append((w[entry, offset], (entry + a).astype(np.int32), offset.astype(np.int8)))
         w, entry, offset = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(w, kind="stable")
         w, entry, offset = w[order], entry[order], offset[order]
         starts = runs_of(w)
         least = np.repeat(np.minimum.reduceat(doc[entry], starts), np.diff(np.append(starts, len(w))))
         gone = doc[entry] > least
-        masks = np.zeros(len(h), np.int64)
+        masks = np.zeros(len(doc), np.int64)
         np.bitwise_or.at(masks, entry[gone], np.int64(1) << offset[gone].astype(np.int64))
         some = masks != 0
         for k, (p, m) in by_key(rid[some], at[some], masks[some]):
@@ -265,8 +280,7 @@ def remaining_digits(docs: DataFrame, survivors: DataFrame, bits: int, depth: in
 
 
 def cut(batches: Iterator[pa.RecordBatch], depth: int, most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, data = npwords.text_bytes(batch.column("text"))
+    for batch, offsets, data, _ in parts_of(batches):
         starts, ends, kept = [], [], []
         for i, blocks in enumerate(batch.column("gone").to_pylist()):
             own = data[offsets[i] : offsets[i + 1]]
@@ -309,7 +323,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     survivors = base.keep(first_digit(docs, bits, depth, gram), "survivors")
     gone = base.keep(remaining_digits(docs, survivors, bits, depth, gram), "gone")
     marks = gone.groupBy(F.col("key").alias("rid")).agg(F.collect_set("data").alias("gone"))
-    rows = docs.join(marks, "rid", "left").select("doc_id", "text", "gone")
+    rows = docs.join(marks, "rid", "left").select("doc_id", "doc", "text", "gone")
     return rows.mapInArrow(lambda b: cut(b, depth, depth - gram + 1), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
