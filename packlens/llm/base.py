@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -74,13 +75,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packlens/{uuid.uuid4().hex}/{name}"
+    drop_shuffles(spark)
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    # what was shuffled for it is only deleted once the JVM has collected its garbage
-    spark.sparkContext._jvm.System.gc()
+    drop_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what nothing refers to any more; it does so after a collection only.
+
+    A write's own files may still be held as it returns, by events on their way, so this waits for those,
+    and is also called before the next write.
+    """
+    gc.collect()
+    with contextlib.suppress(Exception):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Keys that are sent to all executors at most, 8 bytes each and their table's overhead.
 BROADCAST_KEYS = 1 << 21
 
