@@ -29,6 +29,8 @@ from packlens.llm import base, npwords
 DEPTH, GRAM, BUCKET_BYTES, PART_BYTES = 50, 20, 8 << 20, 4 << 20
 #: Runs of windows that are ordered at once in a bucket, those of one gram together.
 AT_ONCE = 1 << 14
+#: Rows of an Arrow batch in both passes, which keeps batches of blocks and of texts to some MB.
+BATCH_ROWS = 1024
 #: A null id orders after all others.
 NULL_ID = (1 << 63) - 1
 LOW = np.uint64((1 << 20) - 1)
@@ -185,6 +187,7 @@ def first_digit(docs: DataFrame, bits: int, depth: int, gram: int) -> DataFrame:
             h, index, at = unpacked(x[8 + ids.nbytes :], (np.uint64, 1), (np.uint16 if len(ids) <= 1 << 16 else np.uint32, 1), (np.uint32, 1))
             parts.append((h, ids[index], at))
         h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        blocks.clear()
         order = np.argsort(h, kind="stable")
         h, doc, at = h[order], doc[order], at[order]
         starts = runs_of(h)
@@ -241,6 +244,7 @@ def remaining_digits(docs: DataFrame, survivors: DataFrame, bits: int, depth: in
 
     def settle(blocks: list[memoryview]) -> Iterator[tuple[int, bytes]]:
         h, *rest = (np.concatenate(x) for x in zip(*(unpacked(x, *kinds) for x in blocks), strict=True))
+        blocks.clear()
         order = np.argsort(h, kind="stable")
         starts = np.append(runs_of(h[order]), len(h))
         a = 0
@@ -320,8 +324,14 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), base.row_key(text).alias("rid"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
-    survivors = base.keep(first_digit(docs, bits, depth, gram), "survivors")
-    gone = base.keep(remaining_digits(docs, survivors, bits, depth, gram), "gone")
+    spark, rows_key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_key)
+    spark.conf.set(rows_key, str(BATCH_ROWS))
+    try:
+        survivors = base.keep(first_digit(docs, bits, depth, gram), "survivors")
+        gone = base.keep(remaining_digits(docs, survivors, bits, depth, gram), "gone")
+    finally:
+        spark.conf.set(rows_key, before)
     marks = gone.groupBy(F.col("key").alias("rid")).agg(F.collect_set("data").alias("gone"))
     rows = docs.join(marks, "rid", "left").select("doc_id", "doc", "text", "gone")
     return rows.mapInArrow(lambda b: cut(b, depth, depth - gram + 1), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
