@@ -1,8 +1,10 @@
 """Language-model scores of documents (operator 10).
 
 Words of all training documents are counted. The model is causal self-attention over subword ids of a
-given tokenizer, trained in numpy on a bounded sample of training documents: it predicts the class of
-the next id, and the id within the class follows the subword counts of all training documents. A
+given tokenizer, trained in numpy on all training documents: it predicts the class of the next id, and
+the id within the class follows the subword counts of all training documents. Texts are cut into pieces
+of windows, which are dealt by hash to shards of about SHARD windows: the first shard is fitted from the
+drawn weights, every other one from what that gave, and their weights are averaged by windows. A
 document is scored in overlapping windows, so that each id is scored once, with CONTEXT ids before it
 at least, in batches with masked attention.
 """
@@ -10,6 +12,7 @@ at least, in batches with masked attention.
 from __future__ import annotations
 
 import base64
+import copy
 import math
 from collections.abc import Iterator
 from pathlib import Path
@@ -27,8 +30,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FOLDS, HELD_OUT = 7, 2
 #: Words sent to executors; rarer ones are joined.
 HEAD_WORDS = 1 << 18
-#: The sample that the attention model is fitted on: documents by smallest hash, of at most so many bytes each.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES = 400, 20_000
+#: Windows of a shard that is fitted in one task, on average, and of a piece of a text at most.
+SHARD, PIECE = 1 << 16, 256
+#: The largest steps on the first shard and on the others, and a weight's unit where weights are added up.
+RATE, LATER_RATE, UNIT = 0.02, 0.005, 2.0**-24
 #: Window, ids of it that are context only, classes, ids with an embedding and a class of their own.
 WINDOW, CONTEXT, CLASSES, EMBEDDED, SINGLE = 32, 8, 64, 4096, 32
 WIDTH, HIDDEN, STEPS, BATCH = 8, 16, 400, 128
@@ -153,17 +158,19 @@ class Attention:
         g |= {"q": flat(xq).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
         dx = dk @ p["k"].T + dv @ p["v"].T
         dx[:, CONTEXT:] += dq @ p["q"].T + dh
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], rows.ravel(), flat(dx))
+        at = (rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        g["e"] = np.bincount(at, dx.ravel(), p["e"].size).reshape(p["e"].shape)
         return loss, g
 
-    def fit(self, rows: np.ndarray, seen: np.ndarray, goals: np.ndarray, scored: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
+    def fit(self, rows: np.ndarray, seen: np.ndarray, goals: np.ndarray, scored: np.ndarray, steps: int = STEPS, seed: int = 11, most: float = RATE) -> list[float]:
+        """Adam steps on batches of windows in random order; all windows come once before any comes again."""
         r = np.random.Generator(np.random.PCG64(seed))
         m, s, losses = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, []
+        order = np.concatenate([r.permutation(len(rows)) for _ in range(-(-steps * BATCH // len(rows)))]) if len(rows) and steps else np.zeros(0, np.int64)
         for t in range(1, steps + 1 if len(rows) else 1):
-            i = r.integers(0, len(rows), BATCH)
+            i = order[(t - 1) * BATCH : t * BATCH]
             loss, g = self.gradients(rows[i], seen[i], goals[i], scored[i])
-            rate = 0.02 * min(1, t / 20) * (1 - t / (steps + 1))
+            rate = most * min(1, t / 20) * (1 - t / (steps + 1))
             for k, x in g.items():
                 x = x.astype(np.float32)
                 m[k] = 0.9 * m[k] + 0.1 * x
@@ -260,54 +267,146 @@ def sample_windows(texts: list[str], subwords: Subwords, model: Attention) -> tu
     return rows, seen, model.of_class[goals], scored.astype(np.float32)
 
 
+# --- training on all documents
+
+
+def chunk_ids(part: np.ndarray, offsets: np.ndarray, head: tuple) -> tuple:
+    """Subword ids of a chunk of texts, each with the end after it, and what the base score needs of its words."""
+    hashes, _, head_firsts, head_ids, subwords = head
+    firsts, starts, ends = npwords.words(offsets, part)
+    h, first, inverse = np.unique(npwords.hashes(part, starts, ends), return_index=True, return_inverse=True)
+    at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+    known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+    rare = np.flatnonzero(~known)
+    rare_words = lowered(part, starts[first[rare]], ends[first[rare]])
+    rare_firsts, rare_ids = subwords.ids(rare_words)
+    # one ragged table of this chunk's words
+    lengths, ids = ragged(head_firsts, head_ids, at[known])
+    table = np.concatenate([ids.astype(np.int64), rare_ids.astype(np.int64)])
+    slot = np.empty(len(h), np.int64)
+    slot[known], slot[rare] = np.arange(len(lengths)), len(lengths) + np.arange(len(rare))
+    table_firsts = np.concatenate([[0], np.cumsum(np.concatenate([lengths, np.diff(rare_firsts)]))])
+    slots = slot[inverse]
+    n_ids = table_firsts[slots + 1] - table_firsts[slots]
+    before = np.concatenate([[0], np.cumsum(n_ids)])[firsts]
+    _, flat = ragged(table_firsts, table, slots)
+    return firsts, inverse, at, known, rare, rare_words, np.diff(before) + 1, np.insert(flat, before[1:], subwords.end)
+
+
+def cut(ids: np.ndarray, end: int, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number, windows, ids) of the pieces of a text; a piece's ids begin CONTEXT + 1 before the first that it predicts."""
+    step, lead = WINDOW - CONTEXT, CONTEXT + 1
+    padded = np.concatenate([np.full(lead, end, ids.dtype), ids])
+    for k, a in enumerate(range(0, len(ids), step * most)):
+        part = padded[a : a + lead + step * most]
+        yield k, -(-(len(part) - lead) // step), part
+
+
+def piece_windows(pieces: list[tuple[int, int, np.ndarray]], model: Attention) -> tuple[np.ndarray, ...]:
+    """What fit() takes, of pieces; the same windows as of whole texts."""
+    step, lead = WINDOW - CONTEXT, CONTEXT + 1
+    per = np.array([n for _, n, _ in pieces], np.int64)
+    sizes = np.array([len(x) for _, _, x in pieces], np.int64)
+    ids = np.concatenate([x for _, _, x in pieces]).astype(np.int64)
+    text = np.repeat(np.arange(len(per)), per)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    at, ends = (np.cumsum(sizes) - sizes)[text] + number * step, np.cumsum(sizes)[text]
+    inputs, goals = at[:, None] + np.arange(WINDOW), at[:, None] + lead + np.arange(step)
+    scored = goals < ends[:, None]
+    seen = np.ones(inputs.shape, np.float32)
+    opens = (number == 0) & (np.array([k for k, _, _ in pieces])[text] == 0)
+    seen[opens, :CONTEXT] = 0
+    last = ends[:, None] - 1
+    return model.row[ids[np.minimum(inputs, last)]], seen, model.of_class[ids[np.minimum(goals, last)]], scored.astype(np.float32)
+
+
+def pieces_of(train: DataFrame, head) -> DataFrame:
+    """rid, piece (its number), n (windows) and ids of all training documents, whole. head: broadcast tables."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = head.value[4]
+        kind = np.uint16 if subwords.size <= 65536 else np.uint32
+        for batch in batches:
+            offsets, data = npwords.text_bytes(batch.column("text"))
+            rids = batch.column("rid").to_numpy()
+            for i, j in npwords.chunks(offsets, npwords.CHUNK_BYTES // 2):
+                *_, lengths, flat = chunk_ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], head.value)
+                ends = np.cumsum(lengths)
+                rows = [(r, k, n, x.tobytes()) for r, a, b in zip(rids[i:j].tolist(), ends - lengths, ends, strict=True) for k, n, x in cut(flat[a:b].astype(kind), subwords.end)]
+                yield pa.record_batch([pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["rid", "piece", "n", "ids"])
+
+    return train.select("rid", "text").mapInArrow(pieces, "rid long, piece int, n int, ids binary")
+
+
+def fitter(shared, size: int, steps: int, most: float):
+    """Of a shard: the weights after fitting, in UNIT and times its windows, and its windows under -1. shared: the broadcast model."""
+    kind = np.uint16 if size <= 65536 else np.uint32
+
+    def fit(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("rid", "ascending"), ("piece", "ascending")])
+        model = copy.copy(shared.value)
+        model.p = {k: x.copy() for k, x in model.p.items()}
+        data = piece_windows([(k, n, np.frombuffer(x, kind)) for k, n, x in zip(*(shard[c].to_pylist() for c in ("piece", "n", "ids")), strict=True)], model)
+        n = len(data[0])
+        model.fit(*data, steps=max(steps, -(-n // BATCH)), most=most)
+        flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)]).astype(float)
+        added = np.concatenate([[n], np.rint(flat / UNIT).astype(np.int64) * n])
+        return pa.table({"at": pa.array(np.arange(len(added)) - 1, pa.int64()), "sum": pa.array(added, pa.int64())})
+
+    return fit
+
+
+def fitted(pieces: DataFrame, model: Attention, size: int, steps: int, shard_windows: int = SHARD) -> Attention:
+    """The model fitted on all pieces (kept). The driver gets one row a weight; sums of longs don't depend on their order."""
+    spark = pieces.sparkSession
+    n = pieces.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-n // shard_windows))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("rid", "piece"), F.lit(shards)))
+    for where, least, most in (("shard = 0", steps, RATE), ("shard > 0", 0, LATER_RATE)):
+        if n and (shards > 1 or where == "shard = 0"):
+            shared = spark.sparkContext.broadcast(model)
+            sums = dealt.where(where).groupBy("shard").applyInArrow(fitter(shared, size, least, most), "at long, sum long")
+            sums = sums.groupBy("at").agg(F.sum("sum").alias("sum")).toArrow().sort_by("at")["sum"].to_numpy()
+            if len(sums):
+                model, flat, used = copy.copy(model), sums[1:] / sums[0] * UNIT, 0
+                p = {}
+                for k in sorted(model.p):
+                    x = model.p[k]
+                    p[k], used = flat[used : used + x.size].reshape(x.shape).astype(np.float32), used + x.size
+                model.p = p
+    return model
+
+
 # --- scores
 
 
-def scorer(shared, n_train: int, total: int, distinct: int):
-    """Per document: counts, base score without rare words, those words, model score. shared: broadcast tables."""
+def scorer(head, fit, n_train: int, total: int, distinct: int):
+    """Per document: counts, base score without rare words, those words, model score. head, fit: broadcast tables and model."""
     divisor = math.log10(total + distinct + 1)
     end_score = math.log10(n_train + 1) - divisor
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, base_score, head_firsts, head_ids, subwords, model = shared.value
+        (hashes, base_score, *_, subwords), model = head.value, fit.value
         tables = model.tables()
         for batch in batches:
             offsets, data = npwords.text_bytes(batch.column("text"))
             cols: list[list] = [[], [], [], [], []]
             for i, j in npwords.chunks(offsets, npwords.CHUNK_BYTES // 2):
                 part = data[offsets[i] : offsets[j]]
-                firsts, starts, ends = npwords.words(offsets[i : j + 1] - offsets[i], part)
-                h, first, inverse = np.unique(npwords.hashes(part, starts, ends), return_index=True, return_inverse=True)
-                at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-                known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                rare = np.flatnonzero(~known)
-                rare_words = lowered(part, starts[first[rare]], ends[first[rare]])
-                rare_firsts, rare_ids = subwords.ids(rare_words)
-                # one ragged table of this chunk's words
-                lengths, ids = ragged(head_firsts, head_ids, at[known])
-                table = np.concatenate([ids.astype(np.int64), rare_ids.astype(np.int64)])
-                slot = np.empty(len(h), np.int64)
-                slot[known], slot[rare] = np.arange(len(lengths)), len(lengths) + np.arange(len(rare))
-                table_firsts = np.concatenate([[0], np.cumsum(np.concatenate([lengths, np.diff(rare_firsts)]))])
+                firsts, inverse, at, known, rare, rare_words, n_ids, flat = chunk_ids(part, offsets[i : j + 1] - offsets[i], head.value)
                 # base scores
                 of_word = np.where(known, base_score[at] if len(hashes) else 0.0, 0.0)[inverse]
                 sums = np.concatenate([[0.0], np.cumsum(of_word)])
                 cols[0].append(np.diff(firsts) + 1)
                 cols[1].append(np.diff(np.concatenate([[0], np.cumsum(known[inverse])])[firsts]) + (1 if n_train else 0))
                 cols[2].append(np.diff(sums[firsts]) + end_score)
-                place = np.full(len(h), -1)
+                place = np.full(len(known), -1)
                 place[rare] = np.arange(len(rare))
                 place = place[inverse]
                 found = np.flatnonzero(place >= 0)
                 bounds = np.searchsorted(found, firsts)
                 cols[3] += [[rare_words[x] for x in place[found[a:b]]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                # ids of every text, each with the end after it
-                slots = slot[inverse]
-                n_ids = (table_firsts[slots + 1] - table_firsts[slots])
-                before = np.concatenate([[0], np.cumsum(n_ids)])[firsts]
-                _, flat = ragged(table_firsts, table, slots)
-                flat = np.insert(flat, before[1:], subwords.end)
-                cols[4].append(model_scores(model, tables, np.diff(before) + 1, flat, subwords.end))
+                cols[4].append(model_scores(model, tables, n_ids, flat, subwords.end))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), *(pa.array(np.concatenate([*cols[k], np.zeros(0, t)]), t2) for k, t, t2 in ((0, np.int64, pa.int64()), (1, np.int64, pa.int64()), (2, float, pa.float64()))), pa.array(cols[3], pa.list_(pa.binary())), pa.array(np.concatenate([*cols[4], np.zeros(0)]))],
                 names=["doc_id", "rid", "held_out", "n_tokens", "n_known", "base_score", "rare", "score"],
@@ -327,12 +426,13 @@ def model_scores(model: Attention, tables: tuple, lengths: np.ndarray, ids: np.n
     return out
 
 
-def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD_WORDS, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> DataFrame:
+def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD_WORDS, steps: int = STEPS, shard_windows: int = SHARD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     A text's tokens are its words, lower-cased (A-Z), and one end. A null or empty text has the end only. A
     null doc_id counts as an empty id text (which trains). Repeated rows count each. Without
-    training documents all tokens are unknown and the model keeps its first weights. An empty
+    training documents all tokens are unknown and the model keeps its first weights. steps is the least
+    number of steps on the first shard; small inputs are passed over more than once for it. An empty
     table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -347,8 +447,6 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEA
     counts = subword_counts(words, subwords)
     counts[subwords.end] = n_train
     model = Attention(counts)
-    picked = train.where(F.octet_length("text") <= SAMPLE_DOC_BYTES).orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "rid").limit(sample_docs)
-    model.fit(*sample_windows([r.text for r in picked.select("text").collect()], subwords, model), steps=steps)
     least, head, head_counts = head_of(words, head_words)
     firsts, ids = subwords.ids(head)
     joined = np.frombuffer(b"".join(head), np.uint8)
@@ -357,10 +455,11 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEA
     order = np.argsort(hashes)
     lengths, ids = ragged(firsts, ids, order)
     base_score = np.log10(head_counts[order] + 1.0) - math.log10(total + distinct + 1)
-    tables = (hashes[order], base_score, np.concatenate([[0], np.cumsum(lengths)]), ids, subwords, model)
+    tables = (hashes[order], base_score, np.concatenate([[0], np.cumsum(lengths)]), ids, subwords)
     shared = spark.sparkContext.broadcast(tables)  # at most head_words words and a tokenizer
+    model = spark.sparkContext.broadcast(fitted(base.keep(pieces_of(train, shared), "pieces"), model, subwords.size, steps, shard_windows))
     schema = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<binary>, score double"
-    scored = base.keep(docs.mapInArrow(scorer(shared, n_train, total, distinct), schema), "scores")
+    scored = base.keep(docs.mapInArrow(scorer(shared, model, n_train, total, distinct), schema), "scores")
     few = words.where(F.col("c") < F.lit(least)).select("word", "c")
     # one row a document (equal rows have equal words), and one for each of its rare words
     rare = scored.dropDuplicates(["rid"]).select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("n")).join(few, "word", "left")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -115,3 +116,34 @@ def test_training_helps_on_held_out_text():
     before = model.gradients(*held)[0]
     model.fit(*lmscore.sample_windows(sample[:45], subwords, model), steps=150)
     assert model.gradients(*held)[0] < before - 0.2
+
+
+def test_pieces_give_the_windows_of_whole_texts():
+    subwords, model, _ = model_and_windows()
+    ids = np.random.default_rng(2).integers(0, 5000, 400)
+    lengths = np.array([1, 24, 25, 150, 200])
+    _, rows, seen, goals, scored = model.windows(lengths, ids, subwords.end)
+    ends = np.cumsum(lengths)
+    pieces = [x for a, b in zip(ends - lengths, ends, strict=True) for x in lmscore.cut(ids[a:b], subwords.end, 3)]
+    got = lmscore.piece_windows(pieces, model)
+    assert len(pieces) == 1 + 1 + 1 + 3 + 3 and (got[1] == seen).all() and (got[3] == scored).all()
+    assert (got[2] == model.of_class[goals])[scored].all()
+    before = np.concatenate([np.ones((len(rows), lmscore.CONTEXT + 1), bool), scored[:, :-1]], axis=1)  # what is read for a scored id
+    assert (got[0] == rows)[before].all()
+
+
+def test_every_training_document_is_learnt_from(spark):
+    """Long documents alone train the model, a text past the first 400 documents changes it, and the order of rows doesn't."""
+    train = [i for i in range(3000) if not is_held_out(i)]
+    held = next(i for i in range(3000) if is_held_out(i))
+    long = [(i, "alpha beta gamma delta " * 2000) for i in train[:3]]
+    probe = (held, "alpha beta gamma delta " * 50)
+    score = lambda rows, **more: {x.doc_id: x.score for x in run(spark, rows, **more)}[held]
+    assert score([*long, probe], steps=200) > score([*long, probe], steps=1) * 0.8
+    few = [(i, "one two three four five six") for i in train[:800]]
+    plain = score([*few, probe], steps=20, shard_windows=64)
+    assert plain == score([probe, *few[::-1]], steps=20, shard_windows=64)
+    by_hash = sorted(train[:800], key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    last = by_hash[-1]
+    swapped = [(i, "six five four three two one" if i == last else t) for i, t in few]
+    assert plain != score([*swapped, probe], steps=20, shard_windows=64)
