@@ -1,9 +1,9 @@
 """Personal data by regexes and bootstrapped contexts (operator 4).
 
-Base kinds are matched directly and are the seeds. What stands before a ':' or '=' is a lexical
-pattern, what follows it an instance. Spark scores the graph of patterns and instances in rounds: a
-pattern by the share of its instances that are trusted, an untried instance by its patterns.
-Patterns of high confidence then mark identifiers that no regex knows.
+Base kinds are matched directly and are the seeds. The words before and after a token are its lexical
+patterns, the token is an instance. Spark iterates over the graph of patterns and instances until
+nothing new is trusted: a pattern is by the share of its instances that are, an untried instance by
+any such pattern. Trusted patterns then mark identifiers that no regex knows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,16 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-CUE = re.compile(r"[:=]")
-INSTANCE = re.compile(r"""[\x20\t]*["'(<\[]?([^\s"'<>,;:=()\[\]]+)""")
-#: Characters of context before a cue, and what an untried identifier looks like.
-CONTEXT, LEAST_CHARS, MOST_CHARS, LEAST_DIGITS = 60, 5, 64, 4
-#: Rounds of scoring, what a pattern needs to be trusted, and the instances assumed wrong for each pattern.
-ROUNDS, CONFIDENCE, SUPPORT, DOUBT = 3, 0.6, 3, 1.0
+TOKEN = re.compile(r"""[^\s"'<>,;:=()\[\]]+|[:=]""")
+#: What an untried identifier looks like.
+LEAST_CHARS, MOST_CHARS, LEAST_DIGITS = 5, 64, 4
+#: What a pattern needs to be trusted, and the instances assumed wrong for each pattern.
+CONFIDENCE, SUPPORT, DOUBT = 0.6, 3, 1.0
+#: Patterns by the places of their words from the instance.
+PATTERNS = [(-2, -1), (-3, -2, -1), (-1, 1), (1, 2)]
 PLAIN, UNTRIED, SEED = 0, 1, 2
 SPAN = "struct<start:int,rank:int,end:int>"
-CUES = "array<struct<near:long,wide:long,instance:long,role:int,start:int,end:int>>"
+FOUND = "array<struct<patterns:array<long>,instance:long,role:int,start:int,end:int>>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -78,86 +80,154 @@ def number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def cues(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Instances after a cue, with the one or two words before it as patterns."""
-    out, k = [], 0
-    for m in CUE.finditer(text):
-        found = INSTANCE.match(text, m.end())
-        before = text[max(0, m.start() - CONTEXT) : m.start()].lower().split()
-        if not found or not before:
+def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, role) of words, cue marks and seeds; a mark's role is PLAIN."""
+    out, free = [], 0
+    for start, _, end in [*spans, (len(text), 0, len(text))]:
+        if start < free:
             continue
-        start, end = found.span(1)
-        while k < len(spans) and spans[k][2] <= start:
-            k += 1
-        word = found[1].rstrip(".!?")
-        if k < len(spans) and spans[k][0] < end:
-            role, word, end = SEED, text[spans[k][0] : spans[k][2]], spans[k][2]
-        else:
-            end = start + len(word)
-            role = UNTRIED if LEAST_CHARS <= len(word) <= MOST_CHARS and sum("0" <= c <= "9" for c in word) >= LEAST_DIGITS else PLAIN
-        near = f"{before[-1]} {m[0]}"
-        out.append({"near": number(near), "wide": number(" ".join(before[-2:-1]) + "|" + near), "instance": number(word.lower()), "role": role, "start": start, "end": end})
+        for m in TOKEN.finditer(text, free, start):
+            word = m[0].rstrip(".!?")
+            if word:
+                digits = LEAST_CHARS <= len(word) <= MOST_CHARS and len(DIGIT.findall(word)) >= LEAST_DIGITS
+                out.append((m.start(), m.start() + len(word), UNTRIED if digits else PLAIN))
+        if end > start:
+            out.append((start, end, SEED))
+        free = end
     return out
 
 
+def graph(text: str, spans: list[tuple[int, int, int]], known: dict[str, int]) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """(tokens, number of each, patterns of each): a pattern is 0 where the nearest word lies outside the text. known caches words' numbers."""
+    at = tokens(text, spans)
+    numbers = np.zeros(len(at) + 6, np.int64)
+    for i, (a, b, _) in enumerate(at):
+        word = text[a:b]
+        n = known.get(word)
+        if n is None:
+            n = known[word] = number(word.lower())
+        numbers[i + 3] = n
+    out, n = np.zeros((len(PATTERNS), len(at)), np.int64), len(at)
+    roles = np.array([r for *_, r in at], np.int64)
+    # a seed's own text does not matter where it is context
+    words = numbers.view(np.uint64).copy()
+    words[3 : n + 3][roles == SEED] = 1
+    for k, places in enumerate(PATTERNS):
+        total = np.full(n, k + 1, np.uint64)
+        for x in places:
+            total = (total ^ words[3 + x : 3 + x + n]) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(29)
+        inside = np.ones(n, bool)
+        for x in places:
+            if abs(x) == 1:
+                inside &= (np.arange(n) + x >= 0) & (np.arange(n) + x < n)
+        out[k] = np.where(inside, total.view(np.int64), 0)
+    return at, numbers[3 : n + 3], out
+
+
+def read(docs: DataFrame) -> DataFrame:
+    text = base.text_of()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.row_key(text).alias("rid"), text.alias("text"))
+
+
 def extracted(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, base (sorted spans) and cues of every row."""
-    schema = f"doc_id long, rid long, base array<{SPAN}>, cues {CUES}"
+    """doc_id, rid, base (sorted spans) and found (seeds and untried instances with their patterns) of every row."""
+    schema = f"doc_id long, rid long, base array<{SPAN}>, found {FOUND}"
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
-    cues_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("near", "wide", "instance")] + [(n, pa.int32()) for n in ("role", "start", "end")]))
+    found_type = pa.list_(pa.struct([("patterns", pa.list_(pa.int64())), ("instance", pa.int64())] + [(n, pa.int32()) for n in ("role", "start", "end")]))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, found = [], []
+            spans, found, known = [], [], {}
             for x in batch.column("text"):
                 text = x.as_py()
                 own = base_spans(text)
                 spans.append([{"start": a, "rank": k, "end": b} for a, k, b in own])
-                found.append(cues(text, own) if ":" in text or "=" in text else [])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(spans, spans_type), pa.array(found, cues_type)], names=["doc_id", "rid", "base", "cues"])
+                rows = []
+                if own or DIGIT.search(text):
+                    at, numbers, patterns = graph(text, own, known)
+                    for i, (a, b, role) in enumerate(at):
+                        if role != PLAIN:
+                            rows.append({"patterns": [p for p in patterns[:, i].tolist() if p], "instance": int(numbers[i]), "role": role, "start": a, "end": b})
+                found.append(rows)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rid"), pa.array(spans, spans_type), pa.array(found, found_type)], names=["doc_id", "rid", "base", "found"])
 
-    text = base.text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.row_key(text).alias("rid"), text.alias("text"))
-    return rows.mapInArrow(extract, schema)
+    return read(docs).mapInArrow(extract, schema)
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def plain_counts(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
+    """(pattern, plain): how many different plain words stand in each of these patterns in all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(patterns))  # those that seeds and untried instances alone would trust
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            pairs, known = set(), {}
+            for x in batch.column("text"):
+                text = x.as_py()
+                at, numbers, found = graph(text, base_spans(text), known)
+                plain = np.array([r == PLAIN and text[a] not in ":=" for a, _, r in at], bool)
+                for row in found:
+                    near = np.minimum(np.searchsorted(wanted, row), len(wanted) - 1)
+                    hit = plain & (wanted[near] == row)
+                    pairs.update(zip(row[hit].tolist(), numbers[hit].tolist(), strict=True))
+            yield pa.record_batch([pa.array([p for p, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], names=["pattern", "instance"])
+
+    pairs = read(docs).select("text").mapInArrow(count, "pattern long, instance long")
+    return pairs.distinct().groupBy("pattern").agg(F.count("*").alias("plain"))
+
+
+def trusted(edges: DataFrame, plain: DataFrame | None, confidence: float, support: int) -> DataFrame:
+    """(pattern): trusted when no further pattern or instance is.
+
+    A pattern's confidence is the number of its trusted instances over all of them plus DOUBT, each
+    different instance counted once. Trust only grows, so the end does not depend on the order.
+    """
+    known, good, n, last = None, None, 0, -1
+    if plain is not None:
+        edges = base.keep(edges.join(plain, "pattern", "left").withColumn("plain", F.coalesce("plain", F.lit(0))), "edges")
+    while n > last:
+        trust = F.col("role") == SEED
+        df = edges if known is None else edges.join(known, "instance", "left")
+        trust = trust if known is None else trust | F.col("good").isNotNull()
+        more = F.max("plain") if plain is not None else F.lit(0)
+        patterns = df.groupBy("pattern").agg(F.sum(trust.cast("long")).alias("support"), (F.count("*") + more).alias("n"))
+        good = base.keep(patterns.where((F.col("support") >= support) & (F.col("support") / (F.col("n") + DOUBT) >= confidence)).select("pattern"), "patterns")
+        last, n = n, good.count()
+        if not n or n == last:
+            return good
+        known = edges.where(F.col("role") == UNTRIED).join(good, "pattern").select("instance").distinct().withColumn("good", F.lit(True))
+    return good
+
+
+def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(pattern): contexts whose instances are, by the graph, personal identifiers.
 
-    A pattern's confidence is the sum of its instances' trust over their number plus DOUBT, each
-    different instance counted once; an untried instance's trust is the chance that one of its
-    patterns is right. Seeds keep trust 1, plain words 0.
+    Plain words only lower a pattern's confidence, so they are counted for those patterns alone that
+    would be trusted without them.
     """
-    cue = found.select(F.explode("cues").alias("c"))
-    edges = cue.select(F.explode(F.array("c.near", "c.wide")).alias("pattern"), F.col("c.instance").alias("instance"), F.col("c.role").alias("role"))
+    edges = found.select(F.explode("found").alias("c")).select(F.explode("c.patterns").alias("pattern"), F.col("c.instance").alias("instance"), F.col("c.role").alias("role"))
     edges = base.keep(edges.groupBy("pattern", "instance").agg(F.max("role").alias("role")), "edges")
-    trust = F.when(F.col("role") == SEED, 1.0).otherwise(0.0)
-    scored = edges.withColumn("trust", trust)
-    for i in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("trust") / (F.count("*") + DOUBT)).alias("confidence"), F.sum((F.col("trust") >= 0.5).cast("long")).alias("support"))
-        patterns = base.keep(patterns.where("confidence > 0"), f"patterns{i}")
-        if i == rounds - 1:
-            return patterns.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("pattern")
-        untried = edges.where(F.col("role") == UNTRIED).join(patterns.where(F.col("support") >= support), "pattern")
-        untried = untried.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("found"))
-        untried = base.keep(untried, f"instances{i}")
-        scored = edges.join(untried, "instance", "left").withColumn("trust", F.when(F.col("role") == UNTRIED, F.coalesce("found", F.lit(0.0))).otherwise(trust)).drop("found")
-    raise ValueError("rounds must be positive")
-
-
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    most = trusted(edges, None, confidence, support)
+    wanted = most.toArrow()["pattern"].to_numpy()
+    if not len(wanted):
+        return most
+    return trusted(edges.join(most, "pattern"), plain_counts(docs, wanted), confidence, support)
+
+
+def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """doc_id and spans (start, rank, end), sorted, for every row of docs; rank is the place in KINDS.
 
     A null or empty text has no spans. Null ids and repeated rows are rows like others. An empty table
     gives no rows; other columns are ignored.
     """
     found = base.keep(extracted(docs), "extracted")
-    good = trusted_patterns(found.where(F.size("cues") > 0), rounds, confidence, support)
-    untried = found.select("rid", F.explode("cues").alias("c")).where(F.col("c.role") == UNTRIED)
-    untried = untried.select("rid", F.struct(F.col("c.start").alias("start"), F.lit(KINDS.index("id")).alias("rank"), F.col("c.end").alias("end")).alias("span"), F.explode(F.array("c.near", "c.wide")).alias("pattern"))
+    good = trusted_patterns(docs, found.where(F.size("found") > 0), confidence, support)
+    untried = found.select("rid", F.explode("found").alias("c")).where(F.col("c.role") == UNTRIED)
+    untried = untried.select("rid", F.struct(F.col("c.start").alias("start"), F.lit(KINDS.index("id")).alias("rank"), F.col("c.end").alias("end")).alias("span"), F.explode("c.patterns").alias("pattern"))
     more = untried.join(good, "pattern").groupBy("rid").agg(F.collect_set("span").alias("more"))
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more")))
-    return found.drop("cues").join(more, "rid", "left").select("doc_id", spans.alias("spans"))
+    return found.drop("found").join(more, "rid", "left").select("doc_id", spans.alias("spans"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,18 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     # the same identifier elsewhere is trusted, but one instance does not make its context a pattern
     assert got[21] == got[22] == got[23] == ()
     assert got[3] == tuple(brute(rows[3][1]))
+
+
+def test_contexts_in_running_text_and_over_many_hops(spark):
+    rows = [(1000 + i, f"please call number +44 20 7946 00{i:02d} today") for i in range(10, 50)]
+    rows += [(30, "please call number AB123456 today"), (31, "my mail is x, call number soon")]
+    # each hop's context is only reached by identifiers of the one before, which outnumber its own
+    hops = [20, 11, 6, 2]
+    for k, n in enumerate(hops):
+        before = "call number" if k == 0 else f"hop{chr(97 + k)} kind{chr(97 + k)}"
+        after = f"hop{chr(98 + k)} kind{chr(98 + k)}"
+        rows += [(100 + 50 * k + j, f"{before} QQ{k}{j:02d}777 ; {after} QQ{k}{j:02d}777") for j in range(n)]
+    got = dict(run(spark, rows))
+    assert (19, 4, 27) in got[30]
+    assert got[31] == ()
+    assert all((11, 4, 19) in got[100 + 50 * k + j] or (12, 4, 20) in got[100 + 50 * k + j] for k, n in enumerate(hops) for j in range(n))
