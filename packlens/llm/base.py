@@ -75,18 +75,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packlens/{uuid.uuid4().hex}/{name}"
-    drop_shuffles(spark)
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    drop_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of what nothing refers to any more; it does so after a collection only.
 
-    A write's own files may still be held as it returns, by events on their way, so this waits for those,
-    and is also called before the next write.
+    For operators that shuffle about their input's size several times over; a write's own files may still be
+    held as it returns, by events on their way, so this waits for those.
     """
     gc.collect()
     with contextlib.suppress(Exception):
