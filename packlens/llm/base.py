@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,25 +70,27 @@ _written: list[tuple[SparkSession, str]] = []
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut and a lost executor costs a reread.
 
-    The tables of a session are deleted by release() or at exit.
+    The write's shuffle files go as it ends. The tables of a session are deleted by release() or at exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packlens/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what nothing refers to any more; it does so after a collection only.
-
-    For operators that shuffle about their input's size several times over; a write's own files may still be
-    held as it returns, by events on their way, so this waits for those.
-    """
-    gc.collect()
-    with contextlib.suppress(Exception):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for the block."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 #: Keys that are sent to all executors at most, 8 bytes each and their table's overhead.

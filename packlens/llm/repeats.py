@@ -30,8 +30,8 @@ from packlens.llm import base, npwords
 
 #: Threshold in bytes, bytes of a gram, bytes of text that a bucket stands for and that are worked on at once.
 DEPTH, GRAM, BUCKET_BYTES, PART_BYTES = 50, 20, 8 << 20, 4 << 20
-#: Windows that are ordered at once, bytes of a digit, rows of an Arrow batch.
-AT_ONCE, DIGIT, BATCH_ROWS = 1 << 18, 8, 1024
+#: Windows that are ordered at once, bytes of a digit, bytes hashed at once, bytes of an Arrow batch.
+AT_ONCE, DIGIT, SEGMENT, BATCH = 1 << 18, 8, 1 << 18, "4m"
 #: A null id orders after all others.
 NULL_ID = (1 << 63) - 1
 LOW = np.uint64((1 << 20) - 1)
@@ -51,16 +51,16 @@ def represented(offsets: np.ndarray, data: np.ndarray, depth: int, gram: int) ->
     """
     power, inverse = npwords.powers()
     width, low, high = depth - gram + 1, int(offsets[0]), int(offsets[-1])
-    closed = np.zeros(high - low + 1, np.int32)
+    closed = np.zeros(high - low + 1, np.int8)
     lengths = np.diff(offsets)
     firsts, lasts = offsets[:-1][lengths > 0] - low, offsets[1:][lengths > 0] - low
     np.add.at(closed, np.maximum(firsts, lasts - depth + 1), 1)
     np.add.at(closed, lasts, -1)
-    open_ = np.cumsum(closed[:-1]) == 0
+    open_ = np.cumsum(closed[:-1], dtype=np.int8) == 0
     found: list[list[np.ndarray]] = [[], [], [], [], []]
     at = low
     while at + depth <= high:
-        end = min(high, at + npwords.SEGMENT)
+        end = min(high, at + SEGMENT)
         part = data[at:end]
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(npwords.TABLE_EXACT[part] * power[: len(part)], out=total[1:])
@@ -197,12 +197,14 @@ def whole_runs(docs: DataFrame, bits: int, depth: int, gram: int) -> DataFrame:
             gone = doc > spread(doc[starts], starts, len(doc))
             yield answers(GONE, doc[gone], rids[row[gone]], gone_item(at[gone], whole(n[gone])), bits)
             row, h, run = row[~gone], h[~gone], run[~gone]
-            asked = ((at << 16) | (n << 8) | (gram_at - first))[~gone].astype(np.uint64)
+            at, shape = at[~gone].astype(np.uint32), ((n << 8) | (gram_at - first))[~gone].astype(np.uint16)
+            # of the gram's hash, the bucket and 32 bits after it: grams that share them are only held to be one until their bytes are read
+            digit = (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
 
-            def pack(part: slice, row=row, h=h, run=run, asked=asked, ids=ids, rids=rids) -> bytes:
+            def pack(part: slice, row=row, digit=digit, run=run, at=at, shape=shape, ids=ids, rids=rids) -> bytes:
                 used, index = np.unique(row[part], return_inverse=True)
                 kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-                return packed(ids[used], rids[used]) + packed(h[part], run[part], asked[part], index.astype(kind))
+                return packed(ids[used], rids[used]) + packed(digit[part], run[part], at[part], shape[part], index.astype(kind))
 
             yield blocks_of(h >> np.uint64(64 - bits), pack)
 
@@ -210,8 +212,8 @@ def whole_runs(docs: DataFrame, bits: int, depth: int, gram: int) -> DataFrame:
         parts = []
         for x in blocks:
             (ids, rids), x = unpacked(x, (np.int64, 1), (np.int64, 1))
-            (h, run, asked, index), _ = unpacked(x, (np.uint64, 1), (np.uint64, 1), (np.uint64, 1), (np.uint16 if len(ids) <= 1 << 16 else np.uint32, 1))
-            parts.append((h, run, asked.astype(np.int64), ids[index], rids[index]))
+            (h, run, at, shape, index), _ = unpacked(x, (np.uint32, 1), (np.uint64, 1), (np.uint32, 1), (np.uint16, 1), (np.uint16 if len(ids) <= 1 << 16 else np.uint32, 1))
+            parts.append((h, run, (at.astype(np.int64) << 16) | shape, ids[index], rids[index]))
         blocks.clear()
         h, run, asked, doc, rid = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
@@ -385,16 +387,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), base.row_key(text).alias("rid"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
-    spark, rows_key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows_key)
-    spark.conf.set(rows_key, str(BATCH_ROWS))
-    try:
+    with base.conf(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
         found = base.keep(whole_runs(docs, bits, depth, gram), "whole_runs")
-        base.drop_shuffles(spark)
         more = base.keep(remaining_digits(docs, found.where(F.col("kind") == ASKED), bits, depth, gram), "windows")
-        base.drop_shuffles(spark)
-    finally:
-        spark.conf.set(rows_key, before)
     marks = found.where(F.col("kind") == GONE).unionByName(more).groupBy("doc", "rid").agg(F.collect_set("data").alias("gone"))
     rows = docs.join(marks, ["doc", "rid"], "left").select("doc_id", "doc", "rid", "text", "gone")
     return rows.mapInArrow(lambda b: cut(b, depth), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
