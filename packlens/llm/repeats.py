@@ -81,7 +81,8 @@ def represented(offsets: np.ndarray, data: np.ndarray, depth: int, gram: int) ->
             # the number of windows and the gram's place are part of a run's hash
             shape = (count * 64 + gram_at - first).astype(np.uint64) * npwords.TURNS[0]
             run = npwords.mix((total[first + count + depth - 1] - total[first]) * inverse[first] + shape)
-            for to, x in zip(found, (gram_at + at, first + at, count, grams[gram_at], run), strict=True):
+            # least hashes are small ones: mixed again, so that buckets are even
+            for to, x in zip(found, (gram_at + at, first + at, count, npwords.mix(grams[gram_at] + npwords.TURNS[1]), run), strict=True):
                 to.append(x)
         at += len(part) - depth + 1
     kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
