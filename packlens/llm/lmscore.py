@@ -1,8 +1,9 @@
 """Language-model scores of documents (operator 10).
 
 Words of all training documents are counted. The model is causal self-attention over subword ids of a
-given tokenizer, trained in numpy on all training documents: it predicts the class of the next id, and
-the id within the class follows the subword counts of all training documents. Texts are cut into pieces
+given tokenizer, trained in numpy on all training documents: it predicts the next id's group, then its
+class within the group, both from the context; the most frequent ids are classes of their own, and an id
+within a shared class follows the subword counts of all training documents. Texts are cut into pieces
 of windows, which are dealt by hash to shards of about SHARD windows: the first shard is fitted from the
 drawn weights, every other one from what that gave, and their weights are averaged by windows. A
 document is scored in overlapping windows, so that each id is scored once, with CONTEXT ids before it
@@ -19,24 +20,30 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlens.llm import base, npwords
 
 #: A public tokenizer's ranks, one "base64 rank" a line.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Held-out documents: crc32 of the id as text modulo FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 7, 2
 #: Words sent to executors; rarer ones are joined.
 HEAD_WORDS = 1 << 18
 #: Windows of a shard that is fitted in one task, on average, and of a piece of a text at most.
 SHARD, PIECE = 1 << 16, 256
+#: Ids of texts that are scored together, one text at least.
+AT_ONCE = 1 << 19
 #: The largest steps on the first shard and on the others, and a weight's unit where weights are added up.
 RATE, LATER_RATE, UNIT = 0.02, 0.005, 2.0**-24
-#: Window, ids of it that are context only, classes, ids with an embedding and a class of their own.
-WINDOW, CONTEXT, CLASSES, EMBEDDED, SINGLE = 32, 8, 64, 4096, 32
-WIDTH, HIDDEN, STEPS, BATCH = 8, 16, 400, 128
+#: Window, ids of it that are context only, ids with an embedding of their own.
+WINDOW, CONTEXT, EMBEDDED = 32, 8, 4096
+#: Groups of classes, classes of a group, ids with a class of their own; the last is whole groups.
+GROUPS, EACH, SINGLE = 16, 16, 128
+CLASSES = GROUPS * EACH
+WIDTH, HIDDEN, STEPS, BATCH = 8, 16, 400, 512
 
 
 # --- tokenizer
@@ -99,64 +106,96 @@ class Attention:
             "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH),
             "r": np.zeros(WINDOW, np.float32),
             "w1": draw(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32),
-            "w2": draw(HIDDEN, CLASSES), "b2": np.log(np.bincount(self.of_class, counts + 1.0, CLASSES) / (counts.sum() + len(counts))).astype(np.float32),
+            "u1": draw(HIDDEN, GROUPS), "c1": np.log(total.reshape(GROUPS, EACH).sum(1) / total.sum()).astype(np.float32),
+            "u2": draw(HIDDEN, GROUPS, EACH).transpose(1, 0, 2).copy(), "c2": np.log(np.maximum(total, 0.5)).reshape(GROUPS, EACH).astype(np.float32),
         }
+        self.p["c2"] -= self.p["c2"].max(axis=1, keepdims=True)
         i, j = np.arange(CONTEXT, WINDOW)[:, None], np.arange(WINDOW)[None, :]
         self.distance, self.causal = np.clip(i - j, 0, None), (j <= i).astype(np.float32)
 
-    def attend(self, rows: np.ndarray, seen: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden state, attention) of the ids after the context in windows of embedding rows; seen masks the text's start."""
-        e, q, k, v = tables
-        a = np.matmul(q[rows[:, CONTEXT:]], k[rows].transpose(0, 2, 1))
+    def attend(self, rows: np.ndarray, seen: np.ndarray, tables: tuple) -> tuple[np.ndarray, ...]:
+        """(hidden state, attention, queries, keys, values) of the ids after the context in windows of embedding rows; seen masks the text's start."""
+        e, q, k, v = (np.take(t, r, axis=0) for t, r in zip(tables, (rows[:, CONTEXT:], rows[:, CONTEXT:], rows, rows), strict=True))
+        a = np.matmul(q, k.transpose(0, 2, 1))
         a += self.p["r"][self.distance]
-        np.exp(np.clip(a, -30, 30, out=a), out=a)
-        a *= self.causal
-        a *= seen[:, None, :]
-        a /= a.sum(axis=2, keepdims=True)
-        return e[rows[:, CONTEXT:]] + np.matmul(a, v[rows]), a
+        np.clip(a, -30, 30, out=a)
+        np.exp(a, out=a)
+        a *= self.causal if seen.all() else self.causal * seen[:, None, :]
+        a /= (a @ np.ones(WINDOW, a.dtype))[:, :, None]
+        return e + np.matmul(a, v), a, q, k, v
 
     def tables(self) -> tuple:
         p = self.p
         return p["e"], p["e"] @ p["q"] / np.float32(math.sqrt(WIDTH)), p["e"] @ p["k"], p["e"] @ p["v"]
 
+    def softmax(self, z: np.ndarray, u: np.ndarray, c: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(exponentials, their sums, natural log probability of the goals)."""
+        x = z @ u
+        x += c
+        np.clip(x, -60, 60, out=x)
+        goal = x[np.arange(len(x)), goals]
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], x.dtype)
+        return x, total, goal - np.log(total)
+
+    def by_group(self, goals: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(goals' groups, order by them, (group, first and last place in that order) of groups that come)."""
+        group = (goals // EACH).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+        return group, order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+
     def log10(self, rows: np.ndarray, seen: np.ndarray, goals: np.ndarray, tables: tuple) -> np.ndarray:
         """log10 probability of the goals' classes, (windows, WINDOW - CONTEXT)."""
-        p = self.p
-        h, _ = self.attend(rows, seen, tables)
-        logits = (np.maximum(h.reshape(-1, WIDTH) @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]).astype(np.float32)
-        np.clip(logits, -60, 60, out=logits)
-        goal = logits[np.arange(len(logits)), goals.ravel()]
-        return ((goal - np.log(np.exp(logits, out=logits).sum(axis=1))) / np.float32(math.log(10))).reshape(goals.shape)
+        p, flat = self.p, goals.ravel()
+        h = self.attend(rows, seen, tables)[0].reshape(-1, WIDTH)
+        z = np.maximum(h @ p["w1"] + p["b1"], 0)
+        group, order, parts = self.by_group(flat)
+        _, _, out = self.softmax(z, p["u1"], p["c1"], group)
+        z, within = np.take(z, order, axis=0), flat[order] % EACH
+        for k, a, b in parts:
+            out[order[a:b]] += self.softmax(z[a:b], p["u2"][k], p["c2"][k], within[a:b])[2]
+        return (out / np.float32(math.log(10))).reshape(goals.shape)
 
     def gradients(self, rows: np.ndarray, seen: np.ndarray, goals: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
+        """(mean loss of the scored goals, its slope by each weight)."""
         p, scale = self.p, np.float32(1 / math.sqrt(WIDTH))
-        x = p["e"][rows]
-        xq = x[:, CONTEXT:]
-        q, k, v = xq @ p["q"] * scale, x @ p["k"], x @ p["v"]
-        h, a = self.attend(rows, seen, self.tables())
-        z = h @ p["w1"] + p["b1"]
-        z1 = np.maximum(z, 0)
-        logits = z1 @ p["w2"] + p["b2"]
-        prob = np.exp(logits - logits.max(axis=2, keepdims=True))
-        prob /= prob.sum(axis=2, keepdims=True)
-        n = max(1.0, float(scored.sum()))
-        at = np.take_along_axis(prob, goals[:, :, None], 2)[:, :, 0]
-        loss = float(-(np.log(at + 1e-12) * scored).sum() / n)
-        d = prob.copy()
-        np.put_along_axis(d, goals[:, :, None], at[:, :, None] - 1, 2)
-        d *= (scored / n)[:, :, None]
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"w2": flat(z1).T @ flat(d), "b2": flat(d).sum(0)}
-        dz = (d @ p["w2"].T) * (z > 0)
-        g |= {"w1": flat(h).T @ flat(dz), "b1": flat(dz).sum(0)}
-        dh = dz @ p["w1"].T
+        h, a, q, k, v = self.attend(rows, seen, self.tables())
+        flat = h.reshape(-1, WIDTH)
+        z = np.maximum(flat @ p["w1"] + p["b1"], 0)
+        weight = (scored.ravel() / max(1.0, float(scored.sum()))).astype(z.dtype)
+        goals = goals.ravel()
+        group, order, parts = self.by_group(goals)
+        # an exponential over its sum, less one at the goal, is the loss's slope by a logit
+        d, total, logs = self.softmax(z, p["u1"], p["c1"], group)
+        d *= (weight / total)[:, None]
+        d[np.arange(len(d)), group] -= weight
+        g = {"u1": z.T @ d, "c1": d.sum(0), "u2": np.zeros_like(p["u2"]), "c2": np.zeros_like(p["c2"])}
+        dz, loss = d @ p["u1"].T, -float(weight @ logs)
+        zs, within, ws, more = np.take(z, order, axis=0), goals[order] % EACH, weight[order], np.empty_like(z)
+        for n, x, y in parts:
+            d, total, logs = self.softmax(zs[x:y], p["u2"][n], p["c2"][n], within[x:y])
+            d *= (ws[x:y] / total)[:, None]
+            d[np.arange(y - x), within[x:y]] -= ws[x:y]
+            g["u2"][n], g["c2"][n] = zs[x:y].T @ d, d.sum(0)
+            more[order[x:y]] = d @ p["u2"][n].T
+            loss -= float(ws[x:y] @ logs)
+        dz += more
+        dz *= z > 0
+        g |= {"w1": flat.T @ dz, "b1": dz.sum(0)}
+        dh = (dz @ p["w1"].T).reshape(h.shape)
         da = np.matmul(dh, v.transpose(0, 2, 1))
         dv = np.matmul(a.transpose(0, 2, 1), dh)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["r"] = np.bincount(self.distance.ravel(), (ds.sum(axis=0) * self.causal).ravel(), WINDOW)
-        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
-        g |= {"q": flat(xq).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ p["k"].T + dv @ p["v"].T
+        da -= ((da * a) @ np.ones(WINDOW, a.dtype))[:, :, None]
+        da *= a
+        g["r"] = np.bincount(self.distance.ravel(), (da.sum(axis=0) * self.causal).ravel(), WINDOW)
+        dq = np.matmul(da, k) * scale
+        dkv = np.concatenate([np.matmul(da.transpose(0, 2, 1), q), dv], axis=2)
+        x = np.take(p["e"], rows, axis=0)
+        one = lambda y: y.reshape(-1, y.shape[-1])
+        g["q"], kv = one(x[:, CONTEXT:]).T @ one(dq), one(x).T @ one(dkv)
+        g["k"], g["v"] = kv[:, :WIDTH], kv[:, WIDTH:]
+        dx = dkv @ np.concatenate([p["k"].T, p["v"].T])
         dx[:, CONTEXT:] += dq @ p["q"].T + dh
         at = (rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
         g["e"] = np.bincount(at, dx.ravel(), p["e"].size).reshape(p["e"].shape)
@@ -320,34 +359,27 @@ def piece_windows(pieces: list[tuple[int, int, np.ndarray]], model: Attention) -
     return model.row[ids[np.minimum(inputs, last)]], seen, model.of_class[ids[np.minimum(goals, last)]], scored.astype(np.float32)
 
 
-def pieces_of(train: DataFrame, head) -> DataFrame:
-    """rid, piece (its number), n (windows) and ids of all training documents, whole. head: broadcast tables."""
+def pieces_of(ids: DataFrame, end: int, kind: type) -> DataFrame:
+    """piece (whether it opens its text: 0), n (windows) and ids of the pieces of all training documents, whole."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = head.value[4]
-        kind = np.uint16 if subwords.size <= 65536 else np.uint32
         for batch in batches:
-            offsets, data = npwords.text_bytes(batch.column("text"))
-            rids = batch.column("rid").to_numpy()
-            for i, j in npwords.chunks(offsets, npwords.CHUNK_BYTES // 2):
-                *_, lengths, flat = chunk_ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], head.value)
-                ends = np.cumsum(lengths)
-                rows = [(r, k, n, x.tobytes()) for r, a, b in zip(rids[i:j].tolist(), ends - lengths, ends, strict=True) for k, n, x in cut(flat[a:b].astype(kind), subwords.end)]
-                yield pa.record_batch([pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["rid", "piece", "n", "ids"])
+            rows = [(min(k, 1), n, x.tobytes()) for own in batch.column("ids") for k, n, x in cut(np.frombuffer(own.as_buffer(), kind), end)]
+            yield pa.record_batch([pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["piece", "n", "ids"])
 
-    return train.select("rid", "text").mapInArrow(pieces, "rid long, piece int, n int, ids binary")
+    return ids.where("not held_out").select("ids").mapInArrow(pieces, "piece int, n int, ids binary")
 
 
-def fitter(shared, size: int, steps: int, most: float):
+def fitter(shared, kind: type, steps: int, most: float):
     """Of a shard: the weights after fitting, in UNIT and times its windows, and its windows under -1. shared: the broadcast model."""
-    kind = np.uint16 if size <= 65536 else np.uint32
 
     def fit(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("rid", "ascending"), ("piece", "ascending")])
+        shard = shard.sort_by([("piece", "ascending"), ("ids", "ascending")])
         model = copy.copy(shared.value)
         model.p = {k: x.copy() for k, x in model.p.items()}
-        data = piece_windows([(k, n, np.frombuffer(x, kind)) for k, n, x in zip(*(shard[c].to_pylist() for c in ("piece", "n", "ids")), strict=True)], model)
-        n = len(data[0])
+        rows, seen, goals, scored = piece_windows([(k, n, np.frombuffer(x, kind)) for k, n, x in zip(*(shard[c].to_pylist() for c in ("piece", "n", "ids")), strict=True)], model)
+        scored *= np.repeat(shard["copies"].to_numpy(), shard["n"].to_numpy())[:, None].astype(np.float32)
+        data, n = (rows, seen, goals, scored), len(rows)
         model.fit(*data, steps=max(steps, -(-n // BATCH)), most=most)
         flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)]).astype(float)
         added = np.concatenate([[n], np.rint(flat / UNIT).astype(np.int64) * n])
@@ -356,16 +388,18 @@ def fitter(shared, size: int, steps: int, most: float):
     return fit
 
 
-def fitted(pieces: DataFrame, model: Attention, size: int, steps: int, shard_windows: int = SHARD) -> Attention:
-    """The model fitted on all pieces (kept). The driver gets one row a weight; sums of longs don't depend on their order."""
+def fitted(pieces: DataFrame, model: Attention, kind: type, steps: int, shard_windows: int = SHARD) -> Attention:
+    """The model fitted on all pieces. The driver gets one row a weight; sums of longs don't depend on their order."""
     spark = pieces.sparkSession
+    # equal pieces, of copies, are learnt once with their number as weight
+    pieces = base.keep(pieces.groupBy("piece", "n", "ids").agg(F.count("*").alias("copies")), "pieces")
     n = pieces.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-n // shard_windows))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("rid", "piece"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("piece", "ids"), F.lit(shards)))
     for where, least, most in (("shard = 0", steps, RATE), ("shard > 0", 0, LATER_RATE)):
         if n and (shards > 1 or where == "shard = 0"):
             shared = spark.sparkContext.broadcast(model)
-            sums = dealt.where(where).groupBy("shard").applyInArrow(fitter(shared, size, least, most), "at long, sum long")
+            sums = dealt.where(where).groupBy("shard").applyInArrow(fitter(shared, kind, least, most), "at long, sum long")
             sums = sums.groupBy("at").agg(F.sum("sum").alias("sum")).toArrow().sort_by("at")["sum"].to_numpy()
             if len(sums):
                 model, flat, used = copy.copy(model), sums[1:] / sums[0] * UNIT, 0
@@ -380,42 +414,60 @@ def fitted(pieces: DataFrame, model: Attention, size: int, steps: int, shard_win
 # --- scores
 
 
-def scorer(head, fit, n_train: int, total: int, distinct: int):
-    """Per document: counts, base score without rare words, those words, model score. head, fit: broadcast tables and model."""
+def reader(head, n_train: int, total: int, distinct: int, kind: type):
+    """Per document: counts, base score without rare words, those words, and its ids with the end. head: broadcast tables."""
     divisor = math.log10(total + distinct + 1)
     end_score = math.log10(n_train + 1) - divisor
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, base_score, *_, subwords), model = head.value, fit.value
-        tables = model.tables()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, base_score, *_ = head.value
         for batch in batches:
             offsets, data = npwords.text_bytes(batch.column("text"))
-            cols: list[list] = [[], [], [], [], []]
             for i, j in npwords.chunks(offsets, npwords.CHUNK_BYTES // 2):
-                part = data[offsets[i] : offsets[j]]
-                firsts, inverse, at, known, rare, rare_words, n_ids, flat = chunk_ids(part, offsets[i : j + 1] - offsets[i], head.value)
-                # base scores
+                firsts, inverse, at, known, rare, rare_words, n_ids, flat = chunk_ids(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], head.value)
                 of_word = np.where(known, base_score[at] if len(hashes) else 0.0, 0.0)[inverse]
-                sums = np.concatenate([[0.0], np.cumsum(of_word)])
-                cols[0].append(np.diff(firsts) + 1)
-                cols[1].append(np.diff(np.concatenate([[0], np.cumsum(known[inverse])])[firsts]) + (1 if n_train else 0))
-                cols[2].append(np.diff(sums[firsts]) + end_score)
+                sums, ends = np.concatenate([[0.0], np.cumsum(of_word)]), np.concatenate([[0], np.cumsum(n_ids)])
                 place = np.full(len(known), -1)
                 place[rare] = np.arange(len(rare))
                 place = place[inverse]
                 found = np.flatnonzero(place >= 0)
                 bounds = np.searchsorted(found, firsts)
-                cols[3] += [[rare_words[x] for x in place[found[a:b]]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                cols[4].append(model_scores(model, tables, n_ids, flat, subwords.end))
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("rid"), batch.column("held_out"), *(pa.array(np.concatenate([*cols[k], np.zeros(0, t)]), t2) for k, t, t2 in ((0, np.int64, pa.int64()), (1, np.int64, pa.int64()), (2, float, pa.float64()))), pa.array(cols[3], pa.list_(pa.binary())), pa.array(np.concatenate([*cols[4], np.zeros(0)]))],
-                names=["doc_id", "rid", "held_out", "n_tokens", "n_known", "base_score", "rare", "score"],
-            )
+                flat = flat.astype(kind)
+                part = batch.slice(i, j - i)
+                yield pa.record_batch(
+                    [
+                        *(part.column(c) for c in ("doc_id", "rid", "held_out")),
+                        pa.array(np.diff(firsts) + 1),
+                        pa.array(np.diff(np.concatenate([[0], np.cumsum(known[inverse])])[firsts]) + (1 if n_train else 0)),
+                        pa.array(np.diff(sums[firsts]) + end_score),
+                        pa.array([[rare_words[x] for x in place[found[a:b]]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.list_(pa.binary())),
+                        pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                    ],
+                    names=["doc_id", "rid", "held_out", "n_tokens", "n_known", "base_score", "rare", "ids"],
+                )
+
+    return read
+
+
+def scorer(fit, end: int, kind: type):
+    """Per document the model's score. fit: the broadcast model."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit.value
+        tables = model.tables()
+        for batch in batches:
+            ids, out = batch.column("ids"), []
+            sizes = pc.binary_length(ids).to_numpy() // kind().itemsize
+            for i, j in npwords.chunks(np.concatenate([[0], np.cumsum(sizes)]), AT_ONCE):
+                flat = np.frombuffer(b"".join(ids.slice(i, j - i).to_pylist()), kind).astype(np.int64)
+                out.append(model_scores(model, tables, sizes[i:j], flat, end))
+            names = ["doc_id", "rid", "held_out", "n_tokens", "n_known", "base_score"]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(np.concatenate([*out, np.zeros(0)]))], names=[*names, "score"])
 
     return score
 
 
-def model_scores(model: Attention, tables: tuple, lengths: np.ndarray, ids: np.ndarray, end: int, at_once: int = 4096) -> np.ndarray:
+def model_scores(model: Attention, tables: tuple, lengths: np.ndarray, ids: np.ndarray, end: int, at_once: int = 1024) -> np.ndarray:
     out = np.zeros(len(lengths))
     text, rows, seen, goals, scored = model.windows(lengths, ids, end)
     classes, within = model.of_class[goals], model.within[goals]
@@ -457,15 +509,18 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEA
     base_score = np.log10(head_counts[order] + 1.0) - math.log10(total + distinct + 1)
     tables = (hashes[order], base_score, np.concatenate([[0], np.cumsum(lengths)]), ids, subwords)
     shared = spark.sparkContext.broadcast(tables)  # at most head_words words and a tokenizer
-    model = spark.sparkContext.broadcast(fitted(base.keep(pieces_of(train, shared), "pieces"), model, subwords.size, steps, shard_windows))
-    schema = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<binary>, score double"
-    scored = base.keep(docs.mapInArrow(scorer(shared, model, n_train, total, distinct), schema), "scores")
+    kind = np.uint16 if subwords.size <= 65536 else np.uint32
+    schema = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<binary>, ids binary"
+    read = base.keep(docs.mapInArrow(reader(shared, n_train, total, distinct, kind), schema), "ids")
+    fit = fitted(pieces_of(read, subwords.end, kind), model, kind, steps, shard_windows)
+    schema = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = read.drop("rare").mapInArrow(scorer(spark.sparkContext.broadcast(fit), subwords.end, kind), schema)
     few = words.where(F.col("c") < F.lit(least)).select("word", "c")
     # one row a document (equal rows have equal words), and one for each of its rare words
-    rare = scored.dropDuplicates(["rid"]).select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("n")).join(few, "word", "left")
+    rare = read.select("rid", "rare").where(F.size("rare") > 0).dropDuplicates(["rid"]).select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("n")).join(few, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rest = rare.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * (F.log10(c + 1) - math.log10(total + distinct + 1))).alias("part"))
-    df = scored.drop("rare").join(rest, "rid", "left")
+    df = scored.join(rest, "rid", "left")
     return df.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("part", F.lit(0.0))).alias("base_score"), "score"
     )

@@ -147,3 +147,24 @@ def test_every_training_document_is_learnt_from(spark):
     last = by_hash[-1]
     swapped = [(i, "six five four three two one" if i == last else t) for i, t in few]
     assert plain != score([*swapped, probe], steps=20, shard_windows=64)
+
+
+def test_score_against_a_loop_over_ids():
+    """The model's score of a text, id by id: attention over the window's ids so far, group, class, share of the class."""
+    subwords, model, sample = model_and_windows()
+    model.fit(*lmscore.sample_windows(sample, subwords, model), steps=20)
+    p, ids = {k: x.astype(np.float64) for k, x in model.p.items()}, np.random.default_rng(5).integers(0, 3000, 60)
+    ids[-1] = subwords.end
+    step, want = lmscore.WINDOW - lmscore.CONTEXT, 0.0
+    before = [subwords.end, *ids[:-1].tolist()]
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, goal in enumerate(ids.tolist()):
+        low = max(0, i // step * step - lmscore.CONTEXT)
+        x = p["e"][model.row[before[low : i + 1]]]
+        a = softmax(np.array([x[-1] @ p["q"] @ (y @ p["k"]) / math.sqrt(lmscore.WIDTH) + p["r"][i - low - j] for j, y in enumerate(x)]))
+        h = x[-1] + sum(w * (y @ p["v"]) for w, y in zip(a, x, strict=True))
+        z = np.maximum(h @ p["w1"] + p["b1"], 0)
+        group, own = divmod(int(model.of_class[goal]), lmscore.EACH)
+        want += math.log10(softmax(z @ p["u1"] + p["c1"])[group] * softmax(z @ p["u2"][group] + p["c2"][group])[own]) + float(model.within[goal])
+    got = lmscore.model_scores(model, model.tables(), np.array([len(ids)]), ids, subwords.end)[0]
+    assert abs(got - want) < 1e-3 * abs(want)
