@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"""[^\s"'<>,;:=()\[\]]+|[:=]""")
-#: What an untried identifier looks like.
-LEAST_CHARS, MOST_CHARS, LEAST_DIGITS = 5, 64, 4
+#: What an untried identifier has at least.
+LEAST_CHARS, LEAST_DIGITS = 4, 1
+#: Plain words are first counted in one of so many documents; patterns that are looked for in one pass at most.
+FIRST_SHARE, PATTERNS_AT_ONCE = 16, 1 << 20
 #: What a pattern needs to be trusted, and the instances assumed wrong for each pattern.
 CONFIDENCE, SUPPORT, DOUBT = 0.6, 3, 1.0
 #: Patterns by the places of their words from the instance.
@@ -89,7 +92,7 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
         for m in TOKEN.finditer(text, free, start):
             word = m[0].rstrip(".!?")
             if word:
-                digits = LEAST_CHARS <= len(word) <= MOST_CHARS and len(DIGIT.findall(word)) >= LEAST_DIGITS
+                digits = len(word) >= LEAST_CHARS and len(DIGIT.findall(word)) >= LEAST_DIGITS
                 out.append((m.start(), m.start() + len(word), UNTRIED if digits else PLAIN))
         if end > start:
             out.append((start, end, SEED))
@@ -155,30 +158,57 @@ def extracted(docs: DataFrame) -> DataFrame:
     return read(docs).mapInArrow(extract, schema)
 
 
-def plain_counts(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
-    """(pattern, plain): how many different plain words stand in each of these patterns in all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(patterns))  # those that seeds and untried instances alone would trust
+def plain_pairs(docs: DataFrame, wanted: pa.Table) -> DataFrame:
+    """(pattern, instance): plain words in the wanted patterns, of each pattern and task one more than its limit at most."""
+    order = np.argsort(wanted["pattern"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((wanted["pattern"].to_numpy()[order], wanted["limit"].to_numpy()[order]))  # PATTERNS_AT_ONCE at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        patterns, limits = shared.value
+        held, full, known = defaultdict(set), np.zeros(len(patterns), bool), {}
         for batch in batches:
-            pairs, known = set(), {}
+            known.clear()
             for x in batch.column("text"):
                 text = x.as_py()
                 at, numbers, found = graph(text, base_spans(text), known)
                 plain = np.array([r == PLAIN and text[a] not in ":=" for a, _, r in at], bool)
                 for row in found:
-                    near = np.minimum(np.searchsorted(wanted, row), len(wanted) - 1)
-                    hit = plain & (wanted[near] == row)
-                    pairs.update(zip(row[hit].tolist(), numbers[hit].tolist(), strict=True))
-            yield pa.record_batch([pa.array([p for p, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], names=["pattern", "instance"])
+                    near = np.minimum(np.searchsorted(patterns, row), len(patterns) - 1)
+                    hit = plain & (patterns[near] == row) & ~full[near]
+                    for k, i in zip(near[hit].tolist(), numbers[hit].tolist(), strict=True):
+                        held[k].add(i)
+                        full[k] = len(held[k]) > limits[k]
+        pairs = [(int(patterns[k]), i) for k, own in held.items() for i in own]
+        yield pa.record_batch([pa.array([p for p, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], names=["pattern", "instance"])
 
-    pairs = read(docs).select("text").mapInArrow(count, "pattern long, instance long")
-    return pairs.distinct().groupBy("pattern").agg(F.count("*").alias("plain"))
+    return docs.select("text").mapInArrow(count, "pattern long, instance long").distinct()
+
+
+def plain_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, plain): how many different plain words stand in each wanted pattern (pattern, limit) in all texts.
+
+    Above its limit a pattern is out, so its count may stop there. Frequent patterns pass it in a share of
+    the documents; only the others are looked for in the rest.
+    """
+    docs, spark = read(docs), docs.sparkSession
+    first = F.pmod("rid", F.lit(FIRST_SHARE)) == 0
+    blocks = -(-wanted.count() // PATTERNS_AT_ONCE)
+    out = spark.createDataFrame([], "pattern long, plain long")
+    for block in range(blocks):
+        own = wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block)
+        some = base.keep(plain_pairs(docs.where(first), own.toArrow()), "plain_in_share")
+        counts = some.groupBy("pattern").agg(F.count("*").alias("plain"))
+        beyond = base.keep(counts.join(own, "pattern").where("plain > limit").select("pattern", "plain"), "beyond")
+        left = own.join(beyond, "pattern", "left_anti").toArrow()
+        if left.num_rows:
+            pairs = some.join(beyond, "pattern", "left_anti").unionByName(plain_pairs(docs.where(~first), left)).distinct()
+            out = out.unionByName(base.keep(pairs.groupBy("pattern").agg(F.count("*").alias("plain")), "plain"))
+        out = out.unionByName(beyond)
+    return out
 
 
 def trusted(edges: DataFrame, plain: DataFrame | None, confidence: float, support: int) -> DataFrame:
-    """(pattern): trusted when no further pattern or instance is.
+    """(pattern, n): patterns that are trusted when no further pattern or instance is, and the instances of each.
 
     A pattern's confidence is the number of its trusted instances over all of them plus DOUBT, each
     different instance counted once. Trust only grows, so the end does not depend on the order.
@@ -192,7 +222,7 @@ def trusted(edges: DataFrame, plain: DataFrame | None, confidence: float, suppor
         trust = trust if known is None else trust | F.col("good").isNotNull()
         more = F.max("plain") if plain is not None else F.lit(0)
         patterns = df.groupBy("pattern").agg(F.sum(trust.cast("long")).alias("support"), (F.count("*") + more).alias("n"))
-        good = base.keep(patterns.where((F.col("support") >= support) & (F.col("support") / (F.col("n") + DOUBT) >= confidence)).select("pattern"), "patterns")
+        good = base.keep(patterns.where((F.col("support") >= support) & (F.col("support") / (F.col("n") + DOUBT) >= confidence)).select("pattern", "n"), "patterns")
         last, n = n, good.count()
         if not n or n == last:
             return good
@@ -209,10 +239,12 @@ def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = CONF
     edges = found.select(F.explode("found").alias("c")).select(F.explode("c.patterns").alias("pattern"), F.col("c.instance").alias("instance"), F.col("c.role").alias("role"))
     edges = base.keep(edges.groupBy("pattern", "instance").agg(F.max("role").alias("role")), "edges")
     most = trusted(edges, None, confidence, support)
-    wanted = most.toArrow()["pattern"].to_numpy()
-    if not len(wanted):
-        return most
-    return trusted(edges.join(most, "pattern"), plain_counts(docs, wanted), confidence, support)
+    if most.isEmpty():
+        return most.select("pattern")
+    # with all n instances trusted, more plain words than this leave a pattern below the confidence (1 for rounding)
+    limit = F.floor(F.col("n") / confidence - F.col("n") - DOUBT) + 1
+    plain = plain_counts(docs, most.select("pattern", limit.alias("limit")))
+    return trusted(edges.join(most.select("pattern"), "pattern"), plain, confidence, support).select("pattern")
 
 
 def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
