@@ -14,7 +14,8 @@ LABELS = {
 }
 #: Classifier classes that vote for a field.
 CLASSES = {"netQty": "net_qty", "mrp": "mrp", "batch": "batch", "mfg": "mfg_date", "exp": "exp_date", "manufacturer": "manufacturer", "care": "care", "fssai": "fssai", "origin": "origin"}
-VOTE_THRESHOLD = 0.45
+#: Votes that count, and that begin a block of text.
+VOTE_THRESHOLD, BLOCK_VOTE = 0.45, 0.6
 SERVING = r"serving|per 100|rda|/serve|nutrition"
 QUANTITY = r"(\d+(?:[.,]\d+)?)\s*(mg|g\b|gms?|grams?|kilograms?|kgs?|ml|cl|dl|litres?|liters?|l\b|pcs|pieces?|tablets?|capsules?)\b"
 PRICE = r"(₹|Rs\.?|INR)?\s*(\d[\d,]*)(?:\.(\d{1,2}))?"

@@ -52,7 +52,6 @@ def trained(lines: DataFrame, classes: Sequence[str], c: float = 4.0) -> tuple[D
     """(idf, weights, bias) of a multinomial logistic regression on labelled lines (id, text, label)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.linalg import VectorUDT  # noqa: F401
 
     spark = lines.sparkSession
     rows = lines.select("id", ngrams(F.col("text")).alias("grams"), F.array_position(F.array(*map(F.lit, classes)), F.col("label")).alias("k")).withColumn("label", (F.col("k") - 1).cast("double"))
@@ -60,7 +59,7 @@ def trained(lines: DataFrame, classes: Sequence[str], c: float = 4.0) -> tuple[D
     df = rows.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     idf = df.select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     # repeated by weight is not possible in a vocabulary count, so the model is fitted on counts scaled by idf
-    vectors = CountVectorizer(inputCol="grams", outputCol="tf").fit(rows)
+    vectors = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max(1, idf.count())).fit(rows)  # all n-grams
     from pyspark.ml.feature import ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 

@@ -161,11 +161,14 @@ def block_text(lines: DataFrame) -> DataFrame:
     return lines.withColumn("block_text", F.array_join(F.collect_list("text").over(w), "\n"))
 
 
+def has_vote(kind: str, least: float = L.VOTE_THRESHOLD) -> Column:
+    return F.coalesce((F.col("vote_class") == kind) & (F.col("vote_prob") >= least), F.lit(False))
+
+
 def in_care(lines: DataFrame) -> DataFrame:
     lines = block_text(with_votes(lines))
-    voted = F.coalesce((F.col("vote_class") == "care") & (F.col("vote_prob") >= L.VOTE_THRESHOLD), F.lit(False))
     w = Window.partitionBy(*KEYS, "block_no")
-    return lines.withColumn("voted", voted).withColumn("care", matches(F.col("block_text"), "care") | F.max(F.col("voted")).over(w))
+    return lines.withColumn("voted", has_vote("care")).withColumn("care", matches(F.col("block_text"), "care") | F.max(F.col("voted")).over(w))
 
 
 def in_long_run(line: Column, match: Column) -> Column:
@@ -203,9 +206,10 @@ def email(lines: DataFrame) -> DataFrame:
 
 
 def fssai(lines: DataFrame) -> DataFrame:
-    """A number of 14 digits in a block that has a licence label."""
+    """A number of 14 digits in a block that has a licence label, or a line voted to be one."""
     df = block_text(with_votes(lines))
-    df = df.where(matches(F.col("block_text"), "fssai")).withColumn("value", F.regexp_extract("text", L.alone(r"\d{14}"), 0)).where("value <> ''")
+    voted = F.max(has_vote("fssai")).over(Window.partitionBy(*KEYS, "block_no"))
+    df = df.withColumn("gate", matches(F.col("block_text"), "fssai") | voted).where("gate").withColumn("value", F.regexp_extract("text", L.alone(r"\d{14}"), 0)).where("value <> ''")
     df = df.withColumn("confidence", blend(F.lit(0.95), F.col("conf"))).withColumn("relationship", F.lit("block_gated"))
     return first_best(df, "fssai", "line_no")
 
@@ -219,8 +223,8 @@ def first_line(df: DataFrame, field: str) -> DataFrame:
 def origin(lines: DataFrame) -> DataFrame:
     """The first labelled origin, not the best."""
     df = hits(with_votes(lines), "origin")
+    # a colon after the label stays and counts towards the least length
     value = F.trim(F.element_at(F.split(F.trim(after_label(df)), "[.,;]"), 1))
-    value = F.regexp_replace(value, r"^[\s:\-]+", "")
     df = df.withColumn("value", F.initcap(value)).where(F.length("value") >= 3)
     df = df.withColumn("confidence", blend(F.col("strength"), F.col("conf"))).withColumn("relationship", F.lit("same_line_right"))
     return first_line(df, "origin")
@@ -270,12 +274,16 @@ def role(label: Column) -> Column:
     return F.when(low.contains("import"), "importer").when(low.contains("market"), "marketer").when(low.contains("pack") | low.contains("pkd"), "packer").otherwise("manufacturer")
 
 
-def block_field(lines: DataFrame, field: str, pattern: str) -> DataFrame:
-    """Text from a matching line to the block's end or next label, from 12 characters, cut at 600."""
+def block_field(lines: DataFrame, field: str, pattern: str, kind: str | None = None) -> DataFrame:
+    """Text from a matching line to the block's end or next label, from 12 characters, cut at 600.
+
+    A line voted to be of the class `kind` begins one as well, as a whole if it does not match.
+    """
     lines = with_votes(lines)
     rx = "(?i)" + pattern
-    df = lines.where(F.col("text").rlike(rx)).withColumn("label", F.regexp_extract("text", rx, 0))
-    df = df.withColumn("head", F.trim(F.expr("substring(text, instr(text, label))")))
+    df = lines.withColumn("voted", has_vote(kind, L.BLOCK_VOTE) if kind else F.lit(False)).where(F.col("text").rlike(rx) | F.col("voted"))
+    df = df.withColumn("label", F.nullif(F.regexp_extract("text", rx, 0), F.lit("")))
+    df = df.withColumn("head", F.trim(F.when(F.col("label").isNull(), F.col("text")).otherwise(F.expr("substring(text, instr(text, label))"))))
     df = followers(lines, df)
     zero = F.struct(F.col("head").alias("got"), F.lit(False).alias("stopped"))
 
@@ -285,7 +293,7 @@ def block_field(lines: DataFrame, field: str, pattern: str) -> DataFrame:
 
     df = df.withColumn("got", F.trim(F.aggregate("following", zero, step, lambda a: a["got"]))).where(F.length("got") >= 12)
     df = df.withColumn("value", F.when(F.length("got") > 600, F.concat(F.substring("got", 1, 600), F.lit("…"))).otherwise(F.col("got")))
-    df = df.withColumn("confidence", blend(F.lit(0.9), F.col("conf"))).withColumn("relationship", F.lit("block_capture"))
+    df = df.withColumn("confidence", blend(F.lit(0.9), F.col("conf"))).withColumn("relationship", F.when(F.col("voted"), "classifier_block_capture").otherwise("block_capture"))
     return first_line(df, field)
 
 
@@ -315,6 +323,6 @@ def product(lines: DataFrame) -> DataFrame:
     """All fields of every photo that have an observation."""
     parts = [
         identity(lines), net_quantity(lines), price(lines), batch(lines), date(lines, "mfg"), date(lines, "exp"), manufacturer(lines), phone(lines), email(lines), fssai(lines), origin(lines), barcode(lines),
-        block_field(lines, "ingredients", r"^\s*ingredients?(?![A-Za-z0-9_])"), block_field(lines, "allergen", r"allergen|contains:"),
+        block_field(lines, "ingredients", r"^\s*ingredients?(?![A-Za-z0-9_])", "ingredients"), block_field(lines, "allergen", r"allergen|contains:", "allergen"),
     ]
     return reduce(DataFrame.unionByName, parts)

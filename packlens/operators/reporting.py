@@ -148,7 +148,7 @@ def sheet(scans: DataFrame, observed: DataFrame, summary: DataFrame, photos: Dat
     """The flat sheet, SHEET's columns in order, one row a scan.
 
     observed has one observation a (scan_id, field) with value and a map data; values are given
-    whatever their status. Scans without observations or results have nulls and 0 counts.
+    whatever their status. What a scan lacks is '', counts are 0 and a missing confidence is 0.00.
     """
     pivoted = observed.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "data")))).alias("f"))
     df = scans.withColumnRenamed("id", "scan_id").join(pivoted, "scan_id", "left").join(summary, "scan_id", "left")
@@ -158,7 +158,7 @@ def sheet(scans: DataFrame, observed: DataFrame, summary: DataFrame, photos: Dat
     data = lambda name, key: F.try_element_at(F.try_element_at("f", F.lit(name))["data"], F.lit(key))
     columns = {
         "id": F.col("scan_id"), "product_name": F.col("product_name"), "category": F.col("category"), "scanned_at": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
-        "verdict": F.col("verdict"), "score": F.col("score"), "photo_count": F.col("photo_count"), "mean_confidence": F.format_string("%.2f", "mean_confidence"), "region_count": F.col("region_count"),
+        "verdict": F.col("verdict"), "score": F.col("score"), "photo_count": F.col("photo_count"), "mean_confidence": F.format_string("%.2f", F.coalesce("mean_confidence", F.lit(0.0))), "region_count": F.col("region_count"),
         "generic_name": value("genericName"), "brand": value("brand"), "net_qty_raw": value("netQty"), "net_qty_value": data("netQty", "value"), "net_qty_unit": data("netQty", "unit"),
         "mrp_raw": value("mrp"), "mrp_value": data("mrp", "value"), "mrp_tax_phrase": F.when(text.rlike(r"(?i)inclusive\s+of\s+all\s+taxes?"), "yes").otherwise("no"),
         "mfg_raw": value("mfg"), "exp_raw": value("exp"), "manufacturer_name": value("manufacturer"), "manufacturer_address": data("manufacturer", "address"),
@@ -166,4 +166,4 @@ def sheet(scans: DataFrame, observed: DataFrame, summary: DataFrame, photos: Dat
         "fail_count": F.coalesce("fail_count", F.lit(0)), "warning_count": F.coalesce("warning_count", F.lit(0)), "review_count": F.coalesce("review_count", F.lit(0)),
         "failed_rule_codes": F.coalesce("failed_rule_codes", F.lit("")), "photo_paths": F.coalesce("photo_paths", F.lit("")), "unverified_rule_codes": F.coalesce("unverified_rule_codes", F.lit("")),
     }
-    return df.select(*[columns[c].cast("string").alias(c) for c in vocab.SHEET])
+    return df.select(*[F.coalesce(columns[c].cast("string"), F.lit("")).alias(c) for c in vocab.SHEET])

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.functions import labels as L
+from packlens.operators.extract import blend
 
+#: Jobs a scan at most, fields of variable print, and what a strip (a crop without a label, low on the photo) demands of a pattern (fixed values).
 MOST_JOBS = 4
 FIELDS = ["batch", "mrp", "mfg", "exp"]
+STRIP_TOP, STRIP_PATTERN, FOUND = 0.55, 0.9, 0.7
 
 
 def targets(observed: DataFrame) -> DataFrame:
@@ -44,8 +47,30 @@ def parsed(rereads: DataFrame) -> DataFrame:
 
 
 def winners(read: DataFrame) -> DataFrame:
-    """The best variant of each job: found from 0.7, else unverified."""
+    """The best variant of each field: found from 0.7, else unverified.
+
+    Where read has the crop's left and top (rx1, ry1), a strip has no label, so a weak pattern doesn't count there.
+    """
     w = Window.partitionBy("scan_id", "field").orderBy(F.desc("confidence"), "job_no", "variant")
-    df = parsed(read).where("value is not null").withColumn("confidence", F.floor(F.col("pattern") * F.col("conf") * 100 + 0.5) / 100)
+    df = parsed(read).where("value is not null")
+    if {"rx1", "ry1"} <= set(read.columns):
+        strip = (F.col("ry1") >= STRIP_TOP) & (F.col("rx1") == 0) & (F.col("field") != "batch")
+        df = df.where(~F.coalesce(strip, F.lit(False)) | (F.col("pattern") >= STRIP_PATTERN))
+    df = df.withColumn("confidence", blend(F.col("pattern"), F.col("conf")))
     df = df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-    return df.withColumn("status", F.when(F.col("confidence") >= 0.7, "found").otherwise("unverified")).withColumn("relationship", F.lit("variable_crop"))
+    return df.withColumn("status", F.when(F.col("confidence") >= FOUND, "found").otherwise("unverified")).withColumn("relationship", F.lit("variable_crop"))
+
+
+def improved(observed: DataFrame, won: DataFrame) -> DataFrame:
+    """observed (one row a scan_id and field) with the winners in place of what they beat: a lower status, or the same with less confidence.
+
+    Columns that winners lack are null in their rows.
+    """
+    names = [c for c in observed.columns if c not in ("scan_id", "field")]
+    rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, ("notFound", "unverified", "found"))), c), F.lit(0))
+    new = won.select("scan_id", "field", F.struct(*[(F.col(c) if c in won.columns else F.lit(None)).cast(observed.schema[c].dataType).alias(c) for c in names]).alias("new"))
+    old = observed.select("scan_id", "field", F.struct(*names).alias("old"))
+    a, b = rank(F.col("new.status")), rank(F.col("old.status"))
+    better = F.col("old").isNull() | (a > b) | ((a == b) & (F.col("new.confidence") > F.col("old.confidence")))
+    df = old.join(new, ["scan_id", "field"], "full").withColumn("got", F.when(F.col("new").isNotNull() & better, F.col("new")).otherwise(F.col("old")))
+    return df.select("scan_id", "field", "got.*").select(*observed.columns)

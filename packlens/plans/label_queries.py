@@ -160,7 +160,7 @@ def extract_fssai(spark: SparkSession, d: str) -> DataFrame:
     return extract.fssai(A.label_lines(spark, d)).select("scan_id", "photo", "status", "value", "confidence")
 
 
-ORIGIN = f"""hit AS ({hit_sql("origin")}), v AS (SELECT *, regexp_replace(trim(string_split_regex(trim({AFTER.format("label")}), '[.,;]')[1]), '^[\\s:-]+', '') AS raw FROM hit),
+ORIGIN = f"""hit AS ({hit_sql("origin")}), v AS (SELECT *, trim(string_split_regex(trim({AFTER.format("label")}), '[.,;]')[1]) AS raw FROM hit),
  f AS (SELECT *, array_to_string(list_transform(string_split(raw, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS value, {blend("strength", "conf")} AS confidence, row_number() OVER (PARTITION BY scan_id, photo ORDER BY line_no) AS rn FROM v WHERE length(raw) >= 3)
  SELECT scan_id, photo, {STATUS}, value, confidence FROM f WHERE rn = 1"""
 
@@ -242,11 +242,11 @@ def clean_token(spark: SparkSession, d: str) -> DataFrame:
 GLUED = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'ALLERGENADVICE:ContainsSoy Mak' WHEN 1 THEN 'Oil(Palm),Sugar' WHEN 2 THEN 'PROTOIN 5g Sodum Enengy' ELSE 'Per  100 g serve   size' END AS t FROM part"
 
 
-@query(f"SELECT id, CASE id % 4 WHEN 0 THEN 'ALLERGEN ADVICE: Contains Soy Milk' WHEN 1 THEN 'Oil (Palm), Sugar' WHEN 2 THEN 'PROTEIN 5g Sodium Energy' ELSE 'Per 100 g SERVE SIZE' END AS fixed FROM ({GLUED}) WHERE id % 4 <> 3")
+@query(f"SELECT id, CASE id % 4 WHEN 0 THEN 'ALLERGEN ADVICE: Contains Soy Milk' WHEN 1 THEN 'Oil (Palm), Sugar' WHEN 2 THEN 'PROTEIN 5g Sodium Energy' ELSE 'Per 100 g serve size' END AS fixed FROM ({GLUED})")
 def fix_line(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    t = F.when(k % 4 == 0, "ALLERGENADVICE:ContainsSoy Mak").when(k % 4 == 1, "Oil(Palm),Sugar").otherwise("PROTOIN 5g Sodum Enengy")
-    return A.table(spark, d, "part").where("p_partkey % 4 <> 3").select(k.alias("id"), T.fixed_line(t).alias("fixed"))
+    t = F.when(k % 4 == 0, "ALLERGENADVICE:ContainsSoy Mak").when(k % 4 == 1, "Oil(Palm),Sugar").when(k % 4 == 2, "PROTOIN 5g Sodum Enengy").otherwise("Per  100 g serve   size")
+    return A.table(spark, d, "part").select(k.alias("id"), T.fixed_line(t).alias("fixed"))
 
 
 _vocab = ", ".join(f"({i}, '{w.lower()}', '{w}')" for i, w in enumerate(T.VOCABULARY))
@@ -263,14 +263,13 @@ def snap_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT doc_id AS scan_id, unnest(range(least(len(ws), 12))) AS line_no, unnest(list_slice(ws, 1, 12)) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE doc_id % 5 = 0)),
+    """WITH l AS (SELECT doc_id AS scan_id, unnest(range(len(ws))) AS line_no, unnest(ws) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)),
  h AS (SELECT scan_id, line_no, CASE WHEN line_no % 3 = 0 THEN w || '-' ELSE w END AS text FROM l),
  p AS (SELECT *, sum(CASE WHEN lag_text IS NOT NULL AND right(lag_text, 1) = '-' AND regexp_matches(text, '^[a-z]') THEN 0 ELSE 1 END) OVER (PARTITION BY scan_id ORDER BY line_no) AS part, right(text, 1) = '-' AND coalesce(regexp_matches(lead_text, '^[a-z]'), false) AS goes FROM (SELECT *, lag(text) OVER w AS lag_text, lead(text) OVER w AS lead_text FROM h WINDOW w AS (PARTITION BY scan_id ORDER BY line_no)))
  SELECT scan_id, min(line_no)::INTEGER AS line_no, string_agg(CASE WHEN goes THEN left(text, length(text) - 1) ELSE text END, '' ORDER BY line_no) AS text FROM p GROUP BY scan_id, part"""
 )
 def hyphen_wrap(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, 12)
-    lines = A.table(spark, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("scan_id"), F.posexplode(words).alias("line_no", "w"))
+    lines = A.table(spark, d, "documents").select(F.col("doc_id").alias("scan_id"), F.posexplode(F.split("text", " ")).alias("line_no", "w"))
     lines = lines.select("scan_id", "line_no", F.when(F.col("line_no") % 3 == 0, F.concat("w", F.lit("-"))).otherwise(F.col("w")).alias("text"))
     return T.unwrapped(lines, "scan_id")
 
@@ -327,18 +326,14 @@ def apply_line_edits(spark: SparkSession, d: str) -> DataFrame:
 
 # --- classifier
 
-GRAMS = """w AS (SELECT scan_id, line_no, ' ' || unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS p FROM line WHERE line_no IN (1, 3, 5)),
+GRAMS = """w AS (SELECT scan_id, line_no, ' ' || unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS p FROM line),
  g AS (SELECT scan_id, line_no, n, p, unnest(range(1, greatest(length(p) - n + 2, 1)::BIGINT)) AS i FROM w, (VALUES (3), (4), (5)) AS s(n)),
  c AS (SELECT scan_id, line_no, substr(p, i, n) AS gram, count(*) AS n FROM g WHERE length(p) >= n GROUP BY ALL)"""
 
 
-def some_lines(spark: SparkSession, d: str) -> DataFrame:
-    return A.label_lines(spark, d).where(F.col("line_no").isin(1, 3, 5))
-
-
 @query(over("line", "").rstrip() + f", {GRAMS} SELECT * FROM c")
 def ngram_features(spark: SparkSession, d: str) -> DataFrame:
-    return classify.counted(some_lines(spark, d), "scan_id", "line_no")
+    return classify.counted(A.label_lines(spark, d), "scan_id", "line_no")
 
 
 #: A small model by hand, for the query: gram, idf, weights of the classes mrp, net_qty and batch.
@@ -351,14 +346,14 @@ _model = ", ".join(f"('{g}', {i}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)
     over("line", "").rstrip()
     + f""", {GRAMS}, m(gram, idf, w0, w1, w2) AS (VALUES {_model}), v AS (SELECT scan_id, line_no, c.n * idf AS v, w0, w1, w2 FROM c JOIN m USING (gram)),
  s AS (SELECT scan_id, line_no, sqrt(sum(v * v)) AS norm, sum(v * w0) AS s0, sum(v * w1) AS s1, sum(v * w2) AS s2 FROM v GROUP BY ALL),
- z AS (SELECT l.scan_id, l.line_no, 0.1::DOUBLE + coalesce(s0 / norm, 0) AS z0, coalesce(s1 / norm, 0) AS z1, coalesce(s2 / norm, 0) - 0.1::DOUBLE AS z2 FROM line l LEFT JOIN s ON l.scan_id = s.scan_id AND l.line_no = s.line_no WHERE l.line_no IN (1, 3, 5))
+ z AS (SELECT l.scan_id, l.line_no, 0.1::DOUBLE + coalesce(s0 / norm, 0) AS z0, coalesce(s1 / norm, 0) AS z1, coalesce(s2 / norm, 0) - 0.1::DOUBLE AS z2 FROM line l LEFT JOIN s ON l.scan_id = s.scan_id AND l.line_no = s.line_no )
  SELECT scan_id, line_no, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 'mrp' WHEN z1 >= z2 THEN 'net_qty' ELSE 'batch' END AS vote_class, round(exp(greatest(z0, z1, z2)) / (exp(z0) + exp(z1) + exp(z2)), 6) AS vote_prob FROM z"""
 )
 def ngram_score(spark: SparkSession, d: str) -> DataFrame:
     idf = spark.createDataFrame([(g, i) for g, i, *_ in MODEL], "gram string, idf double")
     weights = spark.createDataFrame([(k, row[0], row[2 + k]) for row in MODEL for k in range(3)], "class_no int, gram string, weight double")
     bias = spark.createDataFrame(BIAS, "class_no int, class string, bias double")
-    df = classify.scored(some_lines(spark, d), idf, weights, bias, "scan_id", "line_no")
+    df = classify.scored(A.label_lines(spark, d), idf, weights, bias, "scan_id", "line_no")
     return df.withColumn("vote_prob", F.round("vote_prob", 6))
 
 
@@ -388,11 +383,11 @@ def reread_job_plan(spark: SparkSession, d: str) -> DataFrame:
     return reread.job_plan(reread.search_rect(reread.targets(label_only(spark, d)))).select("scan_id", "photo", "field", "job_no")
 
 
-@query("SELECT l_orderkey AS scan_id, f AS field, max(v) AS value, max(c) AS confidence FROM (SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN 'mrp' WHEN 1 THEN 'batch' ELSE 'exp' END AS f, CASE l_orderkey % 3 WHEN 0 THEN '1250.50' WHEN 1 THEN 'B' || l_orderkey::VARCHAR || 'X9' ELSE '12/05/2027' END AS v, floor(CASE l_orderkey % 3 WHEN 1 THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END * 0.8::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS c FROM lineitem) GROUP BY ALL")
+@query("SELECT l_orderkey AS scan_id, f AS field, max(v) AS value, max(c) AS confidence FROM (SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN 'mrp' WHEN 1 THEN 'batch' ELSE 'exp' END AS f, CASE l_orderkey % 3 WHEN 0 THEN '1250.50' WHEN 1 THEN 'B' || l_orderkey::VARCHAR || 'X9' ELSE '12/05/2027' END AS v, floor(CASE l_orderkey % 3 WHEN 1 THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END * (0.55::DOUBLE + 0.45::DOUBLE * ((l_orderkey + l_linenumber) % 50)::DOUBLE / 50) * 100 + 0.5::DOUBLE) / 100 AS c FROM lineitem) GROUP BY ALL")
 def reread_parse(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_orderkey")
     text = F.when(k % 3 == 0, "Rs. 1,250.50 (0.5/g)").when(k % 3 == 1, F.concat(F.lit("No "), F.lit("B"), k.cast("string"), F.lit("X9"))).otherwise("exp 12/05/2027")
-    rows = A.table(spark, d, "lineitem").select(k.alias("scan_id"), F.when(k % 3 == 0, "mrp").when(k % 3 == 1, "batch").otherwise("exp").alias("field"), text.alias("text"), F.lit(0.8).alias("conf"), F.lit(0).alias("job_no"), F.col("l_linenumber").cast("int").alias("variant"))
+    rows = A.table(spark, d, "lineitem").select(k.alias("scan_id"), F.when(k % 3 == 0, "mrp").when(k % 3 == 1, "batch").otherwise("exp").alias("field"), text.alias("text"), ((k + F.col("l_linenumber")) % 50 / 50).alias("conf"), F.lit(0).alias("job_no"), F.col("l_linenumber").cast("int").alias("variant"))
     return reread.winners(rows).select("scan_id", "field", "value", "confidence")
 
 
@@ -409,4 +404,6 @@ def outbox_drain_stream(spark: SparkSession, d: str) -> DataFrame:
     raw = stream.landed(spark, folder, schema, glob)
     events = raw.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("officer_id"), F.col("event_type").alias("kind"), (F.col("event_id") % 3 != 0).alias("synced"))
     stream.drained(events, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    if not scratch.folders(spark, f"{at}/table"):
+        return spark.createDataFrame([], "id long, created_at timestamp_ntz, officer_id long, kind string")
     return spark.read.option("basePath", f"{at}/table").parquet(f"{at}/table").select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "officer_id", "kind")

@@ -96,9 +96,9 @@ def scan_detail_with_officer(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", "product_name", "category", "verdict", "score", "created_at", "officer_id", "user_name", "email", "role")
 
 
-@query(over("scan usr", "SELECT id, coalesce(user_name, CASE WHEN id % 2 = 0 THEN 'Officer ' || officer_id::VARCHAR END, '—') AS officer FROM scan LEFT JOIN (SELECT * FROM usr WHERE user_id % 3 = 0) ON officer_id = user_id"))
+@query(over("scan usr", "SELECT id, coalesce(user_name, CASE WHEN id % 2 = 0 THEN 'Officer ' || officer_id::VARCHAR END, '—') AS officer FROM scan LEFT JOIN (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN user_name END AS user_name FROM usr) ON officer_id = user_id"))
 def report_officer_fallback(spark: SparkSession, d: str) -> DataFrame:
-    df = reporting.with_officer(A.scans(spark, d), A.users(spark, d).where("user_id % 3 = 0"))
+    df = reporting.with_officer(A.scans(spark, d), A.users(spark, d).withColumn("user_name", F.when(F.col("user_id") % 3 == 0, F.col("user_name"))))
     own = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Officer "), F.col("officer_id").cast("string")))
     return df.select("id", reporting.officer_label(F.col("user_name"), own).alias("officer"))
 
@@ -151,7 +151,8 @@ _pivot = ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS {c}" for c, f in
     over(
         "scan rr obs",
         f"""SELECT id::VARCHAR AS id, product_name, category, strftime(created_at, '%Y-%m-%dT%H:%M:%S.') || '000Z' AS scanned_at, verdict, score::VARCHAR AS score, photo_count::VARCHAR AS photo_count,
- region_count::VARCHAR AS region_count, {", ".join(f"p.{c}" for c in _value)}, CASE WHEN p.m THEN p.m_qty END AS net_qty_value, CASE WHEN p.m THEN 'g' END AS net_qty_unit,
+ region_count::VARCHAR AS region_count, {", ".join(f"coalesce(p.{c}, '') AS {c}" for c in _value)}, coalesce(CASE WHEN p.m THEN p.m_qty END, '') AS net_qty_value, CASE WHEN p.m THEN 'g' ELSE '' END AS net_qty_unit,
+ printf('%.2f', mean_confidence) AS mean_confidence, '' AS mrp_value, 'no' AS mrp_tax_phrase, '' AS manufacturer_address, '' AS photo_paths,
  coalesce(fail_count, 0)::VARCHAR AS fail_count, coalesce(warning_count, 0)::VARCHAR AS warning_count, coalesce(review_count, 0)::VARCHAR AS review_count,
  coalesce(failed_rule_codes, '') AS failed_rule_codes, coalesce(unverified_rule_codes, '') AS unverified_rule_codes
  FROM scan LEFT JOIN (SELECT scan_id, {_pivot}, bool_or(field = 'netQty') AS m, max(substr(value, 2)) FILTER (WHERE field = 'netQty') AS m_qty FROM {FIRST_OBS} GROUP BY scan_id) p ON id = p.scan_id LEFT JOIN ({AGG_CODES}) r ON id = r.scan_id""",
@@ -161,7 +162,7 @@ def csv_rows(spark: SparkSession, d: str) -> DataFrame:
     best = merge.merged(A.observations(spark, d))
     data = F.when(F.col("field") == "netQty", F.create_map(F.lit("value"), F.expr("substr(value, 2)"), F.lit("unit"), F.lit("g"))).otherwise(F.create_map().cast("map<string,string>"))
     df = reporting.sheet(A.scans(spark, d), best.withColumn("data", data), reporting.rule_summary(A.rule_results(spark, d)))
-    return df.drop("mean_confidence", "mrp_value", "mrp_tax_phrase", "manufacturer_address", "photo_paths")
+    return df
 
 
 @query(over("scan rr", "SELECT id, category, verdict, coalesce(n, 0) AS failed FROM scan LEFT JOIN (SELECT scan_id, count(*) AS n FROM rr WHERE status = 'fail' GROUP BY scan_id) ON id = scan_id WHERE verdict = 'nonCompliant' AND category = 'food' ORDER BY created_at DESC, id LIMIT 10000"))
@@ -220,7 +221,7 @@ def required_fields_exploded(spark: SparkSession, d: str) -> DataFrame:
 
 # --- ingest
 
-RAW = """SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE ' ' || substr(text, 1, 12) END AS product_name, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'FOOD' WHEN 2 THEN 'toys' ELSE 'general' END AS category,
+RAW = """SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE ' ' || text END AS product_name, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'FOOD' WHEN 2 THEN 'toys' ELSE 'general' END AS category,
  CASE doc_id % 3 WHEN 0 THEN 'compliant' WHEN 1 THEN 'oops' END AS verdict, CASE WHEN doc_id % 4 = 0 THEN 'NaNa' ELSE n_chars::VARCHAR END AS score, CASE WHEN doc_id % 2 = 0 THEN '0' ELSE (doc_id % 8)::VARCHAR END AS photo_count,
  '0.' || (doc_id % 100)::VARCHAR AS mean_confidence, CASE WHEN doc_id % 7 <> 0 THEN '12.5' END AS lat, CASE WHEN doc_id % 6 <> 0 THEN '77.' || doc_id::VARCHAR END AS lng FROM documents"""
 
@@ -229,7 +230,7 @@ def raw_scans(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("doc_id"), F.col("doc_id").cast("string")
     return A.table(spark, d, "documents").select(
         k.alias("id"),
-        F.when(k % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), F.substring("text", 1, 12))).alias("product_name"),
+        F.when(k % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("text"))).alias("product_name"),
         F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "FOOD").when(k % 5 == 2, "toys").otherwise("general").alias("category"),
         F.when(k % 3 == 0, "compliant").when(k % 3 == 1, "oops").alias("verdict"),
         F.when(k % 4 == 0, "NaNa").otherwise(F.col("n_chars").cast("string")).alias("score"),

@@ -23,3 +23,10 @@ def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path, in any store that Spark reads, is one file."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a path of any store; none where it does not exist."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in store.listStatus(at) if x.isDirectory()) if store.exists(at) else []

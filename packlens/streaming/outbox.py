@@ -6,23 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from packlens.sources import scratch
+
 
 def landed(spark: SparkSession, folder: str, schema: str | StructType, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drained(stream: DataFrame, target: str, checkpoint: str, delay: str = "1 hour"):
-    """Start writing unsynced rows (id, created_at, …) to target; a row sent again within `delay` is dropped.
+def drained(stream: DataFrame, target: str, checkpoint: str):
+    """Start writing unsynced rows (id, created_at, …) to target, each id once, however late it lands.
 
     The checkpoint replaces a synced flag: a batch that failed is written again under the same number,
-    into the same folder, so that no row comes twice.
+    into the same folder. A row whose id an earlier batch has written is left out, so that no row comes twice.
     """
-    once = stream.where("not synced").withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows = batch.dropDuplicates(["id"])
+        before = [x for x in scratch.folders(batch.sparkSession, target) if x.startswith("batch=") and int(x[6:]) < number]
+        if before:
+            done = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{target}/{x}" for x in before]).select("id")
+            rows = rows.join(done, "id", "left_anti").select(*batch.columns)
+        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.where("not synced").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upload_counts(stream: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
