@@ -42,6 +42,8 @@ RULES = [
     Rule("url_login", r"[a-z]{2,12}://[A-Za-z0-9._%+-]{1,64}:[A-Za-z0-9._%+!$*-]{3,64}@"),
 ]
 BASE_KINDS = 3
+#: Matches whose positions are summed at once, and candidates (a key and numbers of rules) that are sent to all executors at most.
+CHUNK, BROADCAST_CANDIDATES = 256, 1 << 19
 #: A run of exact strings is cut when it stands for more strings than this.
 MOST_STRINGS = 64
 
@@ -133,7 +135,8 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(trigram, rid) of these trigrams, clustered by both, so that one with very many documents is spread."""
     low = docs.select("rid", base.ascii_lower(F.col("text")).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams]))
-    rows = low.select("rid", F.explode(found).alias("trigram"))
+    # written before it is ranged, so that sampling for the ranges doesn't read all texts again
+    rows = base.keep(low.select("rid", F.explode(found).alias("trigram")), "trigrams")
     return base.keep(rows.repartitionByRange("trigram", "rid").sortWithinPartitions("trigram", "rid"), "postings")
 
 
@@ -157,13 +160,15 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def rule_spans(text: Column, number: int, rule: Rule) -> Column:
     """Sorted structs (start, rank, end, kind) of a rule's matches in code points, end exclusive.
 
-    What lies between the matches and the matches alternate, so that running lengths are positions.
+    What lies between the matches and the matches alternate, so that running lengths are positions. They
+    are summed over chunks first and then within each, because a fold copies its list for every match.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
     between = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
     lengths = F.arrays_zip(between.alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("n"), F.transform(judged, lambda x: F.length(x)).alias("judged"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    size = lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -171,7 +176,13 @@ def rule_spans(text: Column, number: int, rule: Rule) -> Column:
         span = F.struct(start.alias("start"), F.lit(number).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(x["judged"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
+    def placed(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + size(x)))
+        firsts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        return base.let(firsts, lambda f: F.flatten(F.transform(chunks, lambda c, i: F.aggregate(c, F.struct(F.get(f, i).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))))
+
+    chunks = base.let(lengths, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, CHUNK)))
+    return F.when(text.rlike(rule.regex), base.let(chunks, placed)).otherwise(none)
 
 
 def written(spans: Column) -> Column:
@@ -182,13 +193,16 @@ def secret_spans(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, text and spans (start, rank, end, kind), sorted by start and rule, for every row of docs.
 
     A null text is empty and has no spans. Null ids and repeated rows are rows like others. An empty
-    table gives no rows; other columns are ignored. Spans of different rules may overlap.
+    table gives no rows; other columns are ignored. Spans of different rules may overlap. Long texts are
+    scanned whole; time is in proportion to matches.
     """
     rules = RULES if rules is None else rules
     docs = keyed(docs)
     indexed = [bool(trigram_query(x.regex)) for x in rules]
     found = candidates(docs, rules) if any(indexed) else docs.sparkSession.createDataFrame([], "rid long, rules array<int>")
-    df = docs.join(found.select(F.col("rid"), "rules"), "rid", "left")
+    found = base.keep(found, "candidates")
+    # beyond what can be broadcast, all texts are shuffled once to meet their candidates
+    df = docs.join(F.broadcast(found) if found.count() <= BROADCAST_CANDIDATES else found, "rid", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = [F.when(F.array_contains("rules", i), rule_spans(F.col("text"), i, x)).otherwise(none) if indexed[i] else rule_spans(F.col("text"), i, x) for i, x in enumerate(rules)]
     return df.select("doc_id", "text", F.sort_array(F.concat(*parts)).alias("spans"))
