@@ -1,14 +1,15 @@
 """Line dedup across documents (operator 9), in DataFrame functions only.
 
-Counts of documents per line key are combined before they are shuffled. Only occurrences of keys that
-repeat are then range-partitioned by (key hash, document, position) and sorted so, which cuts a key
-with very many occurrences over as many partitions as it fills; the stream of each document's
-occurrences comes back as a run-length keep bitmap, never as text.
+Lines become hashes once. Counts of documents per line key are combined before they are shuffled. Only
+occurrences of keys that repeat are then range-partitioned by (key hash, document) and sorted by
+position within, which cuts a key with very many occurrences over as many partitions as it fills; first
+occurrences are read off the sorted stream. Each document gets back a compressed bitmap of its lines,
+never text, and keeps what that says.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packlens.llm import base
@@ -34,39 +35,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points: int = MIN_CODE_POINTS, keep_first: bool = False) -> DataFrame:
-    """rid, dropped (sorted positions from 0) and runs for each document that loses a line.
+    """rid and runs for each document that loses a line.
 
-    runs is the bitmap of kept lines up to the last dropped one as lengths of alternating runs, kept
-    lines first. With keep_first, the first line by (rid, position) of each key stays.
+    runs is the bitmap of kept and dropped lines, compressed: the positions where it changes, so that lines
+    from an even element to before the next are dropped. With keep_first, the first line by (rid,
+    position) of each key stays.
     """
-    lines = line_keys(keyed(docs).dropDuplicates(["rid"]) if keep_first else keyed(docs), min_code_points)
-    per_doc = lines.groupBy("h1", "h2", "rid").agg(F.min("pos").alias("pos"))
-    first = F.min(F.struct("rid", "pos")).alias("first")
-    frequent = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).where(F.col("n") >= min_docs).drop("n")
+    lines = base.keep(line_keys(keyed(docs).dropDuplicates(["rid"]) if keep_first else keyed(docs), min_code_points), "line_keys")
+    first = F.min("rid").alias("first")
+    frequent = lines.groupBy("h1", "h2", "rid").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n"), first).where(F.col("n") >= min_docs).drop("n")
     frequent = base.keep(frequent, "frequent")  # so that the join shuffles both sides for itself and a hot key can be split
-    hits = lines.join(frequent, ["h1", "h2"])
+    # ranges of (key, document) cut a frequent key over as many tasks as it fills; a document's occurrences stay together, in order
+    stream = lines.join(frequent, ["h1", "h2"]).repartitionByRange("h1", "h2", "rid").sortWithinPartitions("h1", "h2", "rid", "pos")
     if keep_first:
-        hits = hits.where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
-    runs = hits.select("h1", "h2", "rid", "pos").repartitionByRange("h1", "h2", "rid", "pos").sortWithinPartitions("h1", "h2", "rid", "pos")
-    by_doc = runs.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
-    return by_doc.withColumn("runs", run_lengths(F.col("dropped")))
-
-
-def run_lengths(dropped: Column) -> Column:
-    """Sorted positions as lengths of alternating kept and dropped runs."""
-    edges = F.filter(
-        F.flatten(
-            F.transform(
-                dropped,
-                lambda p, i: F.array(
-                    F.when((i == 0) | (F.get(dropped, i - 1) != p - 1), p),
-                    F.when((i == F.size(dropped) - 1) | (F.get(dropped, i + 1) != p + 1), p + 1),
-                ),
-            )
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return base.let(edges, lambda e: F.transform(e, lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1))))
+        before = F.lag("pos").over(Window.partitionBy("h1", "h2", "rid").orderBy("pos"))  # within the ranges, over the sorted stream
+        stream = stream.withColumn("before", before).where(F.col("before").isNotNull() | (F.col("rid") != F.col("first")))
+    by_doc = stream.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    return by_doc.select("rid", run_edges(F.col("dropped")).alias("runs"))
+
+
+def run_edges(dropped: Column) -> Column:
+    """Sorted positions as first and one past the last of each run."""
+    opens = F.filter(dropped, lambda p, i: (i == 0) | (F.get(dropped, i - 1) != p - 1))
+    ends = F.transform(F.filter(dropped, lambda p, i: (i == F.size(dropped) - 1) | (F.get(dropped, i + 1) != p + 1)), lambda p: p + 1)
+    return F.flatten(F.transform(F.arrays_zip(opens.alias("a"), ends.alias("b")), lambda x: F.array(x["a"], x["b"])))
 
 
 def without_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -74,15 +66,18 @@ def without_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     A null text is one empty line, which has no key: it becomes an empty text.
     """
-    marks = bitmaps.select(F.col("rid").alias("__rid"), F.col("dropped").alias("__dropped"))
+    marks = bitmaps.select(F.col("rid").alias("__rid"), F.col("runs").alias("__runs"))
     text = base.text_of()
     df = docs.withColumn("__text", text).withColumn("__rid", base.row_key(text)).join(marks, "__rid", "left")
     df = df.withColumn("__lines", F.split("__text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
-    left = F.array_join(base.let(F.col("__lines"), lambda ls: F.transform(kept, lambda i: F.get(ls, i))), "\n")
-    df = df.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("__text")).otherwise(left))
-    df = df.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
-    return df.drop("__rid", "__dropped", "__text", "__lines")
+    runs, kept_runs = F.col("__runs"), F.sequence(F.lit(0), (F.size("__runs") / 2).cast("int"))
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(runs, 2 * i - 1))
+    end = lambda i: F.coalesce(F.get(runs, 2 * i), F.size("__lines"))
+    kept = base.let(F.col("__lines"), lambda ls: F.flatten(F.transform(kept_runs, lambda i: F.slice(ls, start(i) + 1, end(i) - start(i)))))
+    df = df.withColumn("text", F.when(runs.isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n")))
+    lost = F.aggregate(runs, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("sign")), lambda a, p: F.struct((a["n"] + a["sign"] * p).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
+    df = df.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.coalesce(lost, F.lit(0)).cast("long"))
+    return df.drop("__rid", "__runs", "__text", "__lines")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points: int = MIN_CODE_POINTS, keep_first: bool = False) -> DataFrame:
