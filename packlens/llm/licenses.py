@@ -20,12 +20,32 @@ SENTENCES = [
     ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache2-note", "licensed under the apache license version 2.0"),
     ("apache2-note", "licensed under the apache license version 2.0 the license"),
+    ("apache2-title", "apache license version 2.0 january 2004 http www.apache.org licenses"),
+    ("apache2-title", "apache license version 2.0 january 2004"),
     ("apache2-terms", "you may not use this file except in compliance with the license"),
     ("apache2-copy", "you may obtain a copy of the license at"),
     ("gpl3-note", "this work is licensed under the gnu general public license version 3"),
     ("gpl3-note", "licensed under the gnu general public license version 3"),
     ("gpl2-note", "this work is licensed under the gnu general public license version 2"),
     ("gpl2-note", "licensed under the gnu general public license version 2"),
+    ("gpl3-title", "gnu general public license version 3 29 june 2007"),
+    ("gpl2-title", "gnu general public license version 2 june 1991"),
+    ("lgpl3-title", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl2-title", "gnu lesser general public license version 2.1 february 1999"),
+    ("agpl3-title", "gnu affero general public license version 3 19 november 2007"),
+    ("gpl-terms", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl3-later", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl2-later", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl3-only", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3"),
+    ("gpl2-only", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2"),
+    ("lgpl-terms", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl3-later", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl2-later", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("agpl3-later", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("version2-later", "either version 2 of the license or at your option any later version"),
+    ("version21-later", "either version 2.1 of the license or at your option any later version"),
+    ("version3-later", "either version 3 of the license or at your option any later version"),
+    ("version2", "version 2 of the license"),
     ("later", "or at your option any later version"),
     ("cc-by-nc4-note", "licensed under cc by-nc 4.0"),
     ("cc-by-nc4-note", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"),
@@ -37,6 +57,24 @@ SENTENCES = [
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("mpl2-note", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    ("mpl2-title", "mozilla public license version 2.0"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("bsl1-title", "boost software license version 1.0 august 17th 2003"),
+    ("unlicense-note", "this is free and unencumbered software released into the public domain"),
+    ("cc0-title", "cc0 1.0 universal"),
+    ("spdx", "spdx-license-identifier"),
+    ("id-mit", "mit"),
+    ("id-apache2", "apache-2.0"),
+    ("id-gpl2", "gpl-2.0-only"),
+    ("id-gpl2+", "gpl-2.0-or-later"),
+    ("id-gpl3", "gpl-3.0-only"),
+    ("id-gpl3+", "gpl-3.0-or-later"),
+    ("id-bsd2", "bsd-2-clause"),
+    ("id-bsd3", "bsd-3-clause"),
+    ("id-isc", "isc"),
+    ("id-mpl2", "mpl-2.0"),
     ("public-domain", "this work is in the public domain"),
     ("reserved", "all rights reserved"),
 ]
@@ -48,11 +86,46 @@ RULES = [
     ("Apache-2.0", ("apache2-note", "apache2-terms")),
     ("GPL-3.0-or-later", ("gpl3-note", "later")),
     ("GPL-2.0-or-later", ("gpl2-note", "later")),
+    ("GPL-3.0-or-later", ("gpl-terms", "version3-later")),
+    ("GPL-2.0-or-later", ("gpl-terms", "version2-later")),
+    ("GPL-2.0-only", ("gpl-terms", "version2")),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "version3-later")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "version21-later")),
+    ("MIT", ("spdx", "id-mit")),
+    ("Apache-2.0", ("spdx", "id-apache2")),
+    ("GPL-2.0-only", ("spdx", "id-gpl2")),
+    ("GPL-2.0-or-later", ("spdx", "id-gpl2+")),
+    ("GPL-3.0-only", ("spdx", "id-gpl3")),
+    ("GPL-3.0-or-later", ("spdx", "id-gpl3+")),
+    ("BSD-2-Clause", ("spdx", "id-bsd2")),
+    ("BSD-3-Clause", ("spdx", "id-bsd3")),
+    ("ISC", ("spdx", "id-isc")),
+    ("MPL-2.0", ("spdx", "id-mpl2")),
     ("MIT", ("mit-note", "mit-grant", "mit-notice")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-note",)),
     ("MIT", ("mit-grant",)),
     ("Apache-2.0", ("apache2-note",)),
+    ("Apache-2.0", ("apache2-title",)),
+    ("GPL-3.0-or-later", ("gpl3-later",)),
+    ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-3.0-only", ("gpl3-only",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("LGPL-2.1-or-later", ("lgpl2-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("GPL-3.0-only", ("gpl3-title",)),
+    ("GPL-2.0-only", ("gpl2-title",)),
+    ("LGPL-3.0-only", ("lgpl3-title",)),
+    ("LGPL-2.1-only", ("lgpl2-title",)),
+    ("AGPL-3.0-only", ("agpl3-title",)),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl1-title",)),
+    ("Unlicense", ("unlicense-note",)),
+    ("CC0-1.0", ("cc0-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
     ("GPL-3.0-only", ("gpl3-note",)),
     ("GPL-2.0-only", ("gpl2-note",)),
     ("CC-BY-NC-4.0", ("cc-by-nc4-note",)),
@@ -62,30 +135,39 @@ RULES = [
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("reserved",)),
 ]
-#: Sentences end at line ends and at these before white space; all but letters, digits, '.', '+' and '-' inside become one space.
-ENDS = r"\n+|[.!?;:]+[\x20\x09-\x0D]+"
+#: A version's mark, whose full stop ends nothing. Sentences end at lines without a letter or digit and at these
+#: before white space; all but letters, digits, '.', '+' and '-' inside become one space.
+MARK, MARKED = r"\bv\.[\x20\x09-\x0D]*([0-9])", r"v \1"
+ENDS = r"\n[^a-z0-9\n]*\n|[.!?;:]+[\x20\x09-\x0D]+"
 DROPPED = r"[^a-z0-9.+-]+"
+EDGES = r"^[ .+-]+|[ .+-]+\z"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, blank ones included."""
-    parts = F.split(base.ascii_lower(text), ENDS)
-    return F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, DROPPED, " "), r"^[ .+-]+|[ .+-]+\z", ""))
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, DROPPED, " "), EDGES, "")
+
+
+def known_sentences(text: Column) -> Column:
+    """Identifiers in order: of each sentence, or else of those of its lines that are sentences of their own, as notices without a full stop are."""
+    # fixed values compiled into the projection: no join, no shuffle, whole texts stay in their task; few sentences get as far as the map
+    names = F.create_map(*[F.lit(x) for i, s in SENTENCES for x in (s, i)])
+    known = lambda s: s.isin([x for _, x in SENTENCES])
+    of_lines = lambda part: F.filter(F.transform(F.split(part, "\n"), normalised), known)
+    found = lambda part: base.let(normalised(part), lambda s: F.when(known(s), F.array(s)).when(part.contains("\n"), of_lines(part)).otherwise(F.array().cast("array<string>")))
+    parts = F.split(F.regexp_replace(base.ascii_lower(text), MARK, MARKED.replace("\\1", "$1")), ENDS)
+    return F.transform(F.flatten(F.transform(parts, found)), lambda s: names[s])
 
 
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_known (known sentences), identifiers (in order) and licenses (distinct, in order), comma-joined.
 
     A null or empty text has none: 0 and empty strings. Sentences repeated in a document are found
-    each time, licences are named once. Null ids and repeated rows are rows like others; an empty
-    table gives no rows; other columns are ignored.
+    each time, licences are named once. A sentence may be wrapped over lines. Null ids and repeated rows
+    are rows like others; an empty table gives no rows; other columns are ignored; long texts are read whole.
     """
-    # a chain of fixed values compiled into the projection: no join, no shuffle, whole texts stay in their task
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES for x in (s, i)])
-    ids = F.array_compact(F.transform(sentences(base.text_of()), lambda s: F.try_element_at(known, s)))
-    df = docs.select("doc_id", ids.alias("ids"))
+    df = docs.select("doc_id", known_sentences(base.text_of()).alias("ids"))
     line = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))
-    rule = "|".join(f"(?: {'  '.join(r)} )".replace(".", r"\.") for _, r in RULES)
+    rule = "|".join(f"(?: {'  '.join(r)} )".replace("+", r"\+") for _, r in RULES)
     named = F.create_map(*[F.lit(x) for n, r in RULES for x in (f" {'  '.join(r)} ", n)])
     found = F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rule), F.lit(0)), lambda s: named[s]))
     return df.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("identifiers"), F.array_join(found, ",").alias("licenses"))
@@ -98,13 +180,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     known = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES)
     named = ", ".join(f"(' {'  '.join(r)} ', '{n}')" for n, r in RULES)
-    rule = "|".join(f"(?: {'  '.join(r)} )" for _, r in RULES)
+    rule = "|".join(f"(?: {'  '.join(r)} )".replace("+", r"\+") for _, r in RULES)
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    norm = lambda x: f"regexp_replace(regexp_replace({x}, '{DROPPED}', ' ', 'g'), '{EDGES}', '', 'g')"
     return rf"""
 WITH known(id, s) AS (VALUES {known}), named(k, license) AS (VALUES {named}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ENDS}') AS ps FROM documents),
+d AS (SELECT row_number() OVER () AS rid, doc_id, string_split_regex(regexp_replace({low}, '{MARK}', '{MARKED}', 'g'), '{ENDS}') AS ps FROM documents),
 u AS (SELECT rid, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM d),
-k AS (SELECT rid, i, id FROM (SELECT rid, i, regexp_replace(regexp_replace(p, '{DROPPED}', ' ', 'g'), '^[ .+-]+|[ .+-]+\z', '', 'g') AS s FROM u) JOIN known USING (s)),
-g AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids, ' ' || string_agg(id, '  ' ORDER BY i) || ' ' AS line FROM k GROUP BY rid),
+w AS (SELECT rid, i, p, id FROM (SELECT *, {norm('p')} AS s FROM u) LEFT JOIN known USING (s)),
+k AS (SELECT rid, i, 0 AS j, id FROM w WHERE id IS NOT NULL UNION ALL SELECT rid, i, j, known.id FROM
+  (SELECT rid, i, j, {norm('x')} AS s FROM (SELECT rid, i, unnest(range(len(ls))) AS j, unnest(ls) AS x FROM (SELECT rid, i, string_split(p, chr(10)) AS ls FROM w WHERE id IS NULL AND contains(p, chr(10))))) JOIN known USING (s)),
+g AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids, ' ' || string_agg(id, '  ' ORDER BY i, j) || ' ' AS line FROM k GROUP BY rid),
 f AS (SELECT rid, unnest(m) AS k, unnest(range(len(m))) AS j FROM (SELECT rid, regexp_extract_all(line, '{rule}', 0) AS m FROM g)),
 l AS (SELECT rid, string_agg(license, ',' ORDER BY j) AS licenses FROM (SELECT rid, license, min(j) AS j FROM f JOIN named USING (k) GROUP BY rid, license) GROUP BY rid)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS identifiers, coalesce(licenses, '') AS licenses
