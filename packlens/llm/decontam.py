@@ -127,7 +127,10 @@ def _cleaner(index: Index, width: int):
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, containment: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs whose text contains no item; each block of items filters what the one before has left."""
+    """The rows of docs whose text contains no item; each block of items filters what the one before has left.
+
+    Null and wordless texts contain none and stay; repeated rows go or stay together; all columns pass through.
+    """
     for index in indexes(items, containment, width, block_bytes):
         docs = docs.mapInArrow(_cleaner(index, width), docs.schema)
     return docs

@@ -259,9 +259,11 @@ def representatives(docs: DataFrame, similarity: float = base.SIMILARITY, width:
     """
     found = base.keep(near_duplicates(docs.select("doc_id", "text"), similarity, width), "found")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
-    chosen = base.keep(found.groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.rid").alias("__rid")).distinct(), "chosen")
+    chosen = base.keep(found.groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.rid").alias("__rid"), F.col("x.doc_id").alias("__id")).distinct(), "chosen")
     few = chosen.count() <= base.BROADCAST_KEYS
-    rows = docs.withColumn("__rid", base.row_key(base.text_of())).join(F.broadcast(chosen) if few else chosen, "__rid", "left_semi")
+    rows = docs.withColumn("__rid", base.row_key(base.text_of())).alias("d")
+    same = (F.col("d.__rid") == F.col("c.__rid")) & F.col("d.doc_id").eqNullSafe(F.col("c.__id"))  # the hash tells texts of one id apart
+    rows = rows.join((F.broadcast(chosen) if few else chosen).alias("c"), same, "left_semi")
     if not found.groupBy("rid").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["__rid"])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

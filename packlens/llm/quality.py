@@ -108,11 +108,15 @@ def judged(counts: DataFrame, suspect_rate: float) -> DataFrame:
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", base.text_of(), "source")
+    """128 bits for a row, as equal keys decide what goes."""
+    return F.struct(F.xxhash64("doc_id", base.text_of(), "source").alias("a"), F.xxhash64(F.lit(1), "doc_id", base.text_of(), "source").alias("b"))
 
 
 def good_documents(docs: DataFrame, suspect_rate: float = SUSPECT_RATE) -> DataFrame:
-    """The rows of docs that quality_rules keeps. The keys of the others are broadcast if they are few enough."""
+    """The rows of docs that quality_rules keeps, with all their columns. The keys of the others are broadcast if they are few enough.
+
+    Nulls and repeated rows are judged as in quality_rules, each row for itself; an empty table stays empty.
+    """
     counts = base.keep(rule_counts(docs, keys=True), "rule_counts")
     rejected = base.keep(judged(counts, suspect_rate).where("not kept").select(F.col("key").alias("__key")).distinct(), "rejected")
     few = rejected.count() <= base.BROADCAST_KEYS
