@@ -86,7 +86,8 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = base.SIMIL
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = docs.sparkSession.createDataFrame([], SCHEMA)
     for index in indexes(items, containment, width, block_bytes):
-        found = found.unionByName(docs.mapInArrow(_searcher(index, width), SCHEMA))
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # of about block_bytes of items; the driver keeps a file of it
+        found = found.unionByName(docs.mapInArrow(_searcher(shared, width), SCHEMA))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
@@ -103,21 +104,23 @@ def hits(index: Index, width: int, column: pa.Array) -> Iterator[tuple[int, int,
                 yield i + k, x, n
 
 
-def _searcher(index: Index, width: int):
+def _searcher(shared, width: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             found = list(hits(index, width, batch.column("text")))
-            at, item, shared = zip(*found, strict=True) if found else ((), (), ())
+            at, item, common = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([index.ids[x] for x in item], pa.int64()), pa.array([len(index.sets[x]) for x in item], pa.int64()), pa.array(shared, pa.int64())],
+                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([index.ids[x] for x in item], pa.int64()), pa.array([len(index.sets[x]) for x in item], pa.int64()), pa.array(common, pa.int64())],
                 names=["doc_id", "item_id", "n_item", "n_shared"],
             )
 
     return search
 
 
-def _cleaner(index: Index, width: int):
+def _cleaner(shared, width: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             keep[[i for i, _, _ in hits(index, width, batch.column("text"))]] = False
@@ -132,7 +135,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, containment: float = base
     Null and wordless texts contain none and stay; repeated rows go or stay together; all columns pass through.
     """
     for index in indexes(items, containment, width, block_bytes):
-        docs = docs.mapInArrow(_cleaner(index, width), docs.schema)
+        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index), width), docs.schema)
     return docs
 
 
