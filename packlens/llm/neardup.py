@@ -28,8 +28,9 @@ from packlens.llm.components import components
 
 #: Retained values; those in inverted lists; a list of at most SHORT classes gives all pairs, others stars of about GROUP.
 K, INDEXED, SHORT, GROUP = 64, 32, 4, 16
-#: Shingles of a block of classes that are compared with another block in one task.
-BLOCK_SHINGLES = 1 << 20
+#: Shingles of a block of classes that are compared with another block in one task; smaller clusters are cut
+#: into up to SPLIT blocks of SPLIT_SHINGLES all the same, so that they are compared in several tasks.
+BLOCK_SHINGLES, SPLIT, SPLIT_SHINGLES = 1 << 20, 8, 1 << 14
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -149,7 +150,7 @@ def links_between(members: DataFrame, classes: DataFrame, docs: DataFrame, simil
 
     rows = base.keep(members.join(classes.select("c", "rid", "n_shingles"), "c"), "clusters")
     sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.ceil(F.sum("shingles") / BLOCK_SHINGLES).alias("blocks"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.greatest(F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.least(F.lit(SPLIT), F.ceil(F.sum("shingles") / SPLIT_SHINGLES))).alias("blocks"))
     rows = rows.join(main.select("cluster", F.col("main.root").alias("main"), "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     x = rows.where("root <> main").select("cluster", "c", "root", "rid", F.col("block").alias("i"), every, F.lit(True).alias("outside")).withColumnRenamed("other", "j")
@@ -271,3 +272,16 @@ def representatives(docs: DataFrame, similarity: float = base.SIMILARITY, width:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(base.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Links by a join on shingles, components by reachability: for tables of a few thousand documents.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON a = p.rid JOIN n q ON b = q.rid WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.b FROM r JOIN l ON r.other = l.a),
+m AS (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN d o ON r.other = o.rid GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -53,3 +53,8 @@ def test_passage_shared_by_many(spark):
 
 def test_long_word_and_long_text(spark):
     check(spark, [(1, "x" * 1_200_000 + " y"), (2, "X" * 1_200_000 + " y"), (3, "p q r s t u v " * 20_000), (4, "p q r s t u v " * 20_001)])
+
+
+def test_clusters_compared_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT_SHINGLES", 64)
+    check(spark, near_copies(2, 1, 90))
