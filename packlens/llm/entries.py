@@ -17,8 +17,10 @@ QUERIES = {
     "op10_lm_scores": lmscore.op10,
 }
 ORACLE_SQL = {
+    "op1_near_duplicates": neardup.OP1_SQL,
     "op2_secret_scan": secretscan.OP2_SQL,
     "op3_decontaminate": decontam.OP3_SQL,
+    "op5_repeated_bytes": repeats.OP5_SQL,
     "op6_license_scan": licenses.OP6_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,

@@ -400,3 +400,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = remove_repeats(base.documents(spark, sf_dir))
     removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
     return df.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window by its hex digits, texts in pieces so that a window is near its piece's start.
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc, c * 500 AS o, substr(h, c * 1000 + 1, 1098) AS s FROM (SELECT *, unnest(range(0, (length(h) // 2 + 499) // 500)) AS c FROM d)),
+w AS (SELECT r, doc, o + i AS pos, substr(s, 2 * i + 1, 100) AS k FROM (SELECT *, unnest(range(0, least(500, length(s) // 2 - 49))) AS i FROM c WHERE length(s) >= 100)),
+m AS (SELECT k, min(doc) AS low FROM w GROUP BY k HAVING min(doc) < max(doc)),
+g AS (SELECT r, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS before FROM w JOIN m USING (k) WHERE doc > low),
+i AS (SELECT r, pos, sum(CASE WHEN before IS NULL OR pos > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS span FROM g),
+s AS (SELECT r, min(pos) AS a, max(pos) + 50 AS b FROM i GROUP BY r, span),
+p AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT r, max(b), NULL FROM s GROUP BY r),
+k AS (SELECT r, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, length(h) // 2) - x)), '' ORDER BY x) AS kept FROM p JOIN d USING (r) GROUP BY r),
+t AS (SELECT r, sum(b - a) AS n, count(*) AS spans FROM s GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN k USING (r)
+"""
