@@ -10,6 +10,19 @@ from packlens.functions import text as T
 KEYS = ["scan_id", "photo"]
 
 
+def first_fit(items: str, tol: Column) -> Column:
+    """means (cy, n) of lines and `at`, each item's line: the first one whose running mean of cy is within tol, or a new one."""
+    zero = F.struct(F.array().cast("array<struct<cy:double,n:int>>").alias("means"), F.array().cast("array<int>").alias("at"))
+
+    def step(a: Column, t: Column) -> Column:
+        near = F.array_position(F.transform(a["means"], lambda m: F.abs(t["cy"] - m["cy"]) < tol), F.lit(True)).cast("int")
+        means = F.transform(a["means"], lambda m, i: F.when(i + 1 == near, F.struct(((m["cy"] * m["n"] + t["cy"]) / (m["n"] + 1)).alias("cy"), (m["n"] + 1).alias("n"))).otherwise(m))
+        grown = F.array_append(a["means"], F.struct(t["cy"].alias("cy"), F.lit(1).alias("n")))
+        return F.when(near > 0, F.struct(means.alias("means"), F.array_append(a["at"], near - 1).alias("at"))).otherwise(F.struct(grown.alias("means"), F.array_append(a["at"], F.size(a["means"])).alias("at")))
+
+    return F.aggregate(items, zero, step)
+
+
 def lines(tokens: DataFrame) -> DataFrame:
     """One row a line: line_no, text, conf, box, cy, top and height (shares), med (of heights) and members.
 
@@ -24,15 +37,7 @@ def lines(tokens: DataFrame) -> DataFrame:
     heights = F.sort_array(F.transform("ts", lambda t: t["y2"] - t["y1"]))
     med = F.least(F.greatest(F.element_at(heights, (F.floor(F.size("ts") / 2) + 1).cast("int")), F.lit(8.0)), F.lit(80.0))
     df = df.withColumn("med", med).withColumn("tol", F.greatest(F.lit(8.0), F.least(F.col("med") * 0.6, F.col("img_h") * 0.05)))
-    zero = F.struct(F.array().cast("array<struct<cy:double,n:int>>").alias("means"), F.array().cast("array<int>").alias("at"))
-
-    def step(a: Column, t: Column) -> Column:
-        near = F.array_position(F.transform(a["means"], lambda m: F.abs(t["cy"] - m["cy"]) < F.col("tol")), F.lit(True)).cast("int")
-        means = F.transform(a["means"], lambda m, i: F.when(i + 1 == near, F.struct(((m["cy"] * m["n"] + t["cy"]) / (m["n"] + 1)).alias("cy"), (m["n"] + 1).alias("n"))).otherwise(m))
-        grown = F.array_append(a["means"], F.struct(t["cy"].alias("cy"), F.lit(1).alias("n")))
-        return F.when(near > 0, F.struct(means.alias("means"), F.array_append(a["at"], near - 1).alias("at"))).otherwise(F.struct(grown.alias("means"), F.array_append(a["at"], F.size(a["means"])).alias("at")))
-
-    df = df.withColumn("a", F.aggregate("ts", zero, step))
+    df = df.withColumn("a", first_fit("ts", F.col("tol")))
     rows = df.select(*KEYS, "img_h", "img_w", "med", "a.means", F.explode(F.arrays_zip(F.col("ts").alias("t"), F.col("a.at").alias("line"))).alias("z"))
     rows = rows.select(*KEYS, "img_h", "img_w", "med", "z.line", F.element_at("means", F.col("z.line") + 1)["cy"].alias("line_cy"), "z.t")
     t = lambda n: F.col(f"t.{n}")

@@ -167,3 +167,34 @@ def sheet(scans: DataFrame, observed: DataFrame, summary: DataFrame, photos: Dat
         "failed_rule_codes": F.coalesce("failed_rule_codes", F.lit("")), "photo_paths": F.coalesce("photo_paths", F.lit("")), "unverified_rule_codes": F.coalesce("unverified_rule_codes", F.lit("")),
     }
     return df.select(*[F.coalesce(columns[c].cast("string"), F.lit("")).alias(c) for c in vocab.SHEET])
+
+
+def csv_cell(value: Column) -> Column:
+    """A value as a cell: in quotes, its own doubled, where it holds a comma, a quote or a line end; '' for null."""
+    value = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(value.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+def csv_lines(sheet: DataFrame) -> DataFrame:
+    """`line`: a row's cells with commas between them."""
+    return sheet.select(F.concat_ws(",", *[csv_cell(F.col(c)) for c in sheet.columns]).alias("line"))
+
+
+def write_csv(sheet: DataFrame, path: str) -> None:
+    """One text file of csv_lines under the header, a line end after the last: for sheets that a person opens.
+
+    A sheet is cut to the export's limit first; larger tables are better written as Parquet or by
+    csv_lines and a text writer, a file a partition. An empty sheet is refused.
+    """
+    if sheet.isEmpty():
+        raise ValueError("no scans to export")
+    cells = [F.lit(c).alias(c) for c in sheet.columns]
+    header = csv_lines(sheet.sparkSession.range(1).select(*cells))
+    header.unionByName(csv_lines(sheet)).coalesce(1).write.text(path)
+
+
+def export_name(product_name: Column, scan_id: Column) -> Column:
+    """File name of a single scan's sheet: the product's letters, digits, '_' and '-' in lower case, words joined by '_'."""
+    kept = F.trim(F.regexp_replace(F.coalesce(product_name, F.lit("")), r"[^A-Za-z0-9_\- ]+", ""))
+    base = F.lower(F.regexp_replace(kept, " +", "_"))
+    return F.concat(F.when(base == "", "product").otherwise(base), F.lit("_"), F.coalesce(scan_id.cast("string"), F.lit("scan")), F.lit(".csv"))

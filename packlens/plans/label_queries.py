@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packlens.functions import labels as L
 from packlens.functions import text as T
-from packlens.operators import classify, extract, layout, merge, reread, rules
+from packlens.operators import classify, cleantext, extract, layout, merge, quality, reread, rules
 from packlens.sources import adapters as A
 from packlens.sources import scratch
 from packlens.sources.adapters import over
@@ -289,6 +289,53 @@ def line_cluster(spark: SparkSession, d: str) -> DataFrame:
     return layout.lines(tokens(spark, d)).select("scan_id", "photo", F.col("line_no").cast("int").alias("line_no"), "text")
 
 
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of two lines a part: its name, each word found twice, and its price, a digit a region."""
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("scan_id"), "p_name", F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").cast("string").alias("digits"))
+    item = lambda text, conf, x1, x2, y1: F.struct(text.alias("text"), F.lit(conf).alias("conf"), x1.alias("x1"), x2.alias("x2"), y1.alias("y1"))
+    at = lambda i: i * 100.0
+    shift = (F.col("scan_id") % 5).cast("double")
+    words = F.transform(F.split("p_name", " "), lambda w, i: item(w, 0.9, at(i), at(i) + 80, shift))
+    doubles = F.transform(F.split("p_name", " "), lambda w, i: item(F.upper(w), 0.6, at(i) + 4, at(i) + 84, shift + 1))
+    specks = F.array(item(F.lit("'"), 0.9, F.lit(300.0), F.lit(310.0), F.lit(0.0)), item(F.lit("blur"), 0.4, F.lit(400.0), F.lit(480.0), F.lit(0.0)))
+    price = F.transform(F.split("digits", ""), lambda c, i: item(c, 0.8, 200 + i * 13.0, 212 + i * 13.0, 60.0 + i % 2))
+    rows = p.select("scan_id", F.lit(0).alias("photo"), F.posexplode(F.concat(price, specks, doubles, words, F.array(item(F.lit("kcal"), 0.9, F.lit(400.0), F.lit(470.0), F.lit(60.0))))).alias("token_id", "r"))
+    return rows.select("scan_id", "photo", "token_id", "r.text", "r.conf", "r.x1", "r.y1", "r.x2", (F.col("r.y1") + 20).alias("y2"))
+
+
+@query("SELECT p_partkey AS scan_id, 0 AS photo, p_name || chr(10) || floor(p_retailprice * 100 + 0.5::DOUBLE)::BIGINT || ' kcal' AS text FROM part")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    """Specks go, doubled detections count once, digits come together, lines are in reading order."""
+    return cleantext.clean_text(regions(spark, d), lexicon=False)
+
+
+@query("SELECT p_partkey AS scan_id, 0 AS photo, (2 * len(string_split(p_name, ' ')) * 7.5::DOUBLE + 8 * length((floor(p_retailprice * 100 + 0.5::DOUBLE)::BIGINT)::VARCHAR) + 9)  / 10 / (2 * len(string_split(p_name, ' ')) + length((floor(p_retailprice * 100 + 0.5::DOUBLE)::BIGINT)::VARCHAR) + 1) AS mean_confidence FROM part")
+def kept_confidence(spark: SparkSession, d: str) -> DataFrame:
+    r = regions(spark, d)
+    return cleantext.mean_confidence(r, cleantext.reading_order(r))
+
+
+@query(over("line", "SELECT scan_id, count(*) AS n, count(*) FILTER (WHERE line_no % 3 = 1 AND trim(text) <> trim(upper(text))) AS n_changed FROM line GROUP BY scan_id"))
+def line_edits(spark: SparkSession, d: str) -> DataFrame:
+    lines = A.label_lines(spark, d)
+    answers = lines.where("line_no % 3 = 1").withColumn("text", F.upper("text"))
+    return quality.edits(lines, answers, ["scan_id", "photo", "line_no"])
+
+
+@query("SELECT source, count(*) AS n, avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS accuracy FROM documents GROUP BY source")
+def accuracy(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.table(spark, d, "documents").select("source", F.lit("en").alias("predicted"), F.col("lang").alias("gold"))
+    return quality.accuracy(docs, "source")
+
+
+@query(over("line", "SELECT scan_id, photo, line_no, CASE WHEN line_no % 2 = 0 THEN 'mrp' ELSE 'other' END AS vote_class, CASE WHEN line_no % 2 = 0 THEN 0.8 ELSE 0.0 END AS vote_prob FROM line"))
+def votes_or_none(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["scan_id", "photo", "line_no"]
+    lines = A.label_lines(spark, d).select(*keys)
+    votes = lines.where("line_no % 2 = 0").withColumns({"vote_class": F.lit("mrp"), "vote_prob": F.lit(0.8)})
+    return quality.votes_or_none(lines, votes, keys)
+
+
 def boxed(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("scan_id") + F.col("line_no")
     return A.label_lines(spark, d).drop("block_no").withColumns({"x1": (k % 3) * 300.0, "x2": (k % 3) * 300.0 + 100 + (k % 4) * 200, "y1": F.col("line_no") * 40.0 + (k % 5) * 8, "y2": F.col("line_no") * 40.0 + 20, "med": F.lit(20.0), "img_h": F.lit(1000.0)})

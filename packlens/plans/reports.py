@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packlens.functions import vocab
-from packlens.operators import merge, reporting, rules, validation
+from packlens.operators import merge, quality, reporting, rules, validation
 from packlens.sources import adapters as A
 from packlens.sources.adapters import over
 
@@ -165,6 +165,31 @@ def csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return df
 
 
+def _quoted(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[\",\\n\\r]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+@query("SELECT concat_ws(',', " + ", ".join(_quoted(f"coalesce({c}, '')") for c in vocab.SHEET) + f") AS line FROM ({ORACLE_SQL['csv_rows']})")
+def csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.csv_lines(csv_rows(spark, d))
+
+
+@query("SELECT p_partkey AS id, coalesce(nullif(lower(regexp_replace(trim(regexp_replace(p_name || ' (' || p_brand || '), \"x\"', '[^A-Za-z0-9_ -]+', '', 'g')), ' +', '_', 'g')), ''), 'product') || '_' || p_partkey || '.csv' AS name FROM part")
+def export_names(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat("p_name", F.lit(" ("), "p_brand", F.lit('), "x"'))
+    return A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), reporting.export_name(name, F.col("p_partkey")).alias("name"))
+
+
+@query(
+    """WITH photo AS (SELECT l_orderkey AS scan_id, CASE WHEN l_linestatus = 'F' THEN l_discount * 10 END AS mean_conf, CASE WHEN l_linestatus = 'F' THEN l_quantity::BIGINT END AS chars, CASE WHEN l_linestatus = 'F' THEN l_linenumber::BIGINT END AS regions FROM lineitem)
+ SELECT scan_id, floor(sum(coalesce(mean_conf, 0)) / count(*) * 1000 + 0.5) AS mean_confidence, coalesce(sum(chars), 0)::BIGINT AS total_chars, coalesce(sum(regions), 0)::BIGINT AS region_count, count(*) AS photo_count FROM photo GROUP BY scan_id"""
+)
+def capture_quality(spark: SparkSession, d: str) -> DataFrame:
+    read = F.col("l_linestatus") == "F"
+    photos = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scan_id"), F.when(read, F.col("l_discount") * 10).alias("mean_conf"), F.when(read, F.col("l_quantity").cast("long")).alias("chars"), F.when(read, F.col("l_linenumber").cast("long")).alias("regions"))
+    return quality.capture_quality(photos).withColumn("mean_confidence", F.floor(F.col("mean_confidence") * 1000 + 0.5).cast("double"))
+
+
 @query(over("scan rr", "SELECT id, category, verdict, coalesce(n, 0) AS failed FROM scan LEFT JOIN (SELECT scan_id, count(*) AS n FROM rr WHERE status = 'fail' GROUP BY scan_id) ON id = scan_id WHERE verdict = 'nonCompliant' AND category = 'food' ORDER BY created_at DESC, id LIMIT 10000"))
 def csv_filtered(spark: SparkSession, d: str) -> DataFrame:
     failed = A.rule_results(spark, d).where("status = 'fail'").groupBy(F.col("scan_id").alias("id")).agg(F.count("*").alias("failed"))
