@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,20 @@ def adequate(scans: DataFrame) -> DataFrame:
     return scans.withColumn("adequate", good)
 
 
-def by_field(observed: DataFrame) -> DataFrame:
-    """One row a scan with a map from field to (status, value, data)."""
-    return observed.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("status", "value", "data")))).alias("fields"))
+def by_field(observed: DataFrame, *more: str) -> DataFrame:
+    """One row a scan with a map from field to (status, value, data and more)."""
+    return observed.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("status", "value", "data", *more)))).alias("fields"))
 
 
-def evaluated(scans: DataFrame, observed: DataFrame, font_review: bool = True) -> DataFrame:
+def evaluated(scans: DataFrame, observed: DataFrame, font_review: bool = True, more: Sequence[str] = ()) -> DataFrame:
     """Scans with `results`, in the order of the rules; rules that don't apply leave none.
 
     scans: id, category, ocr_text, mean_confidence, total_chars, region_count. observed: at most one
     observation a (scan_id, field); a missing one is not found. Unverified quantity, licence and
-    origin count as absent. Without font_review, scans can be compliant.
+    origin count as absent. Without font_review, scans can be compliant. Where more columns of observed
+    are named, the map `fields` stays, with them.
     """
-    df = adequate(scans).join(by_field(observed).withColumnRenamed("scan_id", "id"), "id", "left")
+    df = adequate(scans).join(by_field(observed, *more).withColumnRenamed("scan_id", "id"), "id", "left")
     status = lambda f: F.coalesce(F.try_element_at("fields", F.lit(f))["status"], F.lit("notFound"))
     data = lambda f, k: F.try_element_at(F.try_element_at("fields", F.lit(f))["data"], F.lit(k))
     found, glimpsed = lambda f: status(f) == "found", lambda f: status(f) == "unverified"
@@ -61,7 +64,7 @@ def evaluated(scans: DataFrame, observed: DataFrame, font_review: bool = True) -
         "LM-R7-FONT": review if font_review else F.lit(None).cast("struct<status:string,severity:string>"),
     }
     rows = [F.when(outcome[c].isNotNull(), F.struct(F.lit(i).alias("rule_seq"), F.lit(c).alias("code"), outcome[c]["status"].alias("status"), outcome[c]["severity"].alias("severity"))) for i, c in enumerate(vocab.CODES)]
-    return df.withColumn("results", F.array_compact(F.array(*rows))).drop("fields")
+    return df.withColumn("results", F.array_compact(F.array(*rows))).drop(*[] if more else ["fields"])
 
 
 def score(results: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packlens.functions import vocab
-from packlens.operators import merge, quality, reporting, rules, validation
+from packlens.operators import findings, merge, quality, reporting, rules, validation
 from packlens.sources import adapters as A
 from packlens.sources.adapters import over
 
@@ -293,12 +293,16 @@ def quality_adequacy(spark: SparkSession, d: str) -> DataFrame:
     return rules.adequate(A.scans(spark, d).withColumn("total_chars", F.col("id") % 400)).select("id", "adequate")
 
 
-def rule_rows(spark: SparkSession, d: str) -> DataFrame:
+def rule_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scans = A.scans(spark, d).withColumn("total_chars", F.col("id") % 400)
     best = merge.merged(A.observations(spark, d))
     data = F.create_map(F.lit("address"), F.concat(F.lit("Plot "), F.col("value")), F.lit("role"), F.when(F.col("photo_index") == 1, "importer").otherwise("manufacturer"))
     text = F.concat(F.lit("MRP "), F.when(F.col("id") % 3 == 0, "and m.r.p. Inclusive of  all taxes").otherwise("imported"))
-    return rules.evaluated(scans.withColumn("ocr_text", text), best.withColumn("data", data))
+    return scans.withColumn("ocr_text", text), best.withColumn("data", data)
+
+
+def rule_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rules.evaluated(*rule_inputs(spark, d))
 
 
 _obs = ", ".join(f"max(status) FILTER (WHERE field = '{f}') AS {f}" for f in vocab.FIELDS)
@@ -328,6 +332,39 @@ def rules_from_observations(spark: SparkSession, d: str) -> DataFrame:
     return rule_rows(spark, d).select("id", F.explode("results").alias("r")).select("id", "r.rule_seq", "r.code", "r.status", "r.severity")
 
 
+# an observation's label, evidence, note and second reading by its photo
+_about = "'read ' || value AS ev, CASE WHEN photo_index % 2 = 1 THEN 'Label' END AS label, CASE WHEN photo_index = 2 THEN 'smudged' END AS note, CASE WHEN photo_index = 3 THEN ' (dot-matrix re-read)' ELSE '' END AS again"
+_q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_says = ", ".join(f"({', '.join(map(_q, (c, k, m, a, vocab.RESULT_FIELDS[c][1])))})" for c, k, m, a in vocab.FINDINGS)
+FINDING_SQL = f""", r AS ({RULE_SQL}), o AS (SELECT *, {_about} FROM {FIRST_OBS}), says(code, kind, said, panel, subject) AS (VALUES {_says}),
+ k AS (SELECT r.*, p.status = 'found' AS has_phone, e.status = 'found' AS has_email, p.value AS phone, e.value AS email, coalesce(p.ev, e.ev) AS care_ev, m.photo_index = 1 AS importer,
+  CASE WHEN r.status = 'pass' THEN 'found' WHEN r.status = 'fail' THEN 'absent' WHEN r.status = 'warning' THEN 'warned' WHEN r.status = 'manualReview' THEN 'review' WHEN r.severity = 'error' THEN 'weak'
+   WHEN r.code = 'LM-R6-CARE' AND (p.status = 'found' OR e.status = 'found') THEN 'partial' ELSE 'glimpsed' END AS kind
+  FROM r LEFT JOIN o p ON p.scan_id = r.id AND p.field = 'carePhone' LEFT JOIN o e ON e.scan_id = r.id AND e.field = 'careEmail' LEFT JOIN o m ON m.scan_id = r.id AND m.field = 'manufacturer'),
+ j AS (SELECT k.*, said, panel, o.value, o.ev, o.label, o.note, o.again, o.photo_index, scan.mean_confidence AS mc, (k.id % 7)::DOUBLE / 2 AS price,
+  o.status IN ('found', 'unverified') AND k.kind IN ('found', 'glimpsed', 'warned', 'partial') AS shown
+  FROM k JOIN says USING (code, kind) JOIN scan ON scan.id = k.id LEFT JOIN o ON o.scan_id = k.id AND o.field = says.subject)
+ SELECT id, seq::INTEGER AS rule_seq, code, CASE WHEN kind = 'weak' THEN 'Could not verify — ' || said || ' not detected and the capture is too weak to prove absence' || CASE WHEN code = 'LM-R6-DATE-MFG' THEN '.' ELSE ' (see capture quality below).' END
+  WHEN kind = 'glimpsed' AND note IS NOT NULL AND code IN ('LM-R6-MRP', 'LM-R6-BATCH', 'LM-R6-DATE-MFG', 'LM-R6-DATE-EXP') THEN note
+  ELSE replace(said, '{{}}', CASE code WHEN 'LM-R6-NAME' THEN CASE WHEN importer THEN 'Importer' ELSE 'Manufacturer' END WHEN 'LM-R6-COMMON' THEN coalesce(value, '')
+   WHEN 'LM-R6-MRP' THEN CASE WHEN price % 1 = 0 THEN price::BIGINT::VARCHAR ELSE printf('%.2f', price) END || ' detected' || coalesce(again, '') WHEN 'LM-R9-SINGLE-MRP' THEN '2'
+   WHEN 'LM-R6-CARE' THEN CASE WHEN has_phone THEN 'phone' ELSE 'email' END WHEN 'LM-READ-QUALITY' THEN printf('%.0f', mc * 100) ELSE coalesce(again, '') END) END AS message,
+  CASE WHEN code = 'LM-R9-SINGLE-MRP' THEN 'Mentions: 2' WHEN code = 'LM-READ-QUALITY' AND kind = 'glimpsed' THEN 'meanConfidence=' || printf('%.2f', mc) WHEN code = 'LM-R6-CARE' AND kind = 'found' THEN phone || ' • ' || email
+   WHEN code = 'LM-R6-CARE' AND kind IN ('partial', 'glimpsed', 'warned') THEN care_ev
+   WHEN shown AND kind = 'found' AND code IN ('LM-R6-NETQ', 'LM-R6-MRP', 'LM-R6-BATCH', 'LM-R6-DATE-MFG', 'LM-R6-DATE-EXP') THEN coalesce(label || ': ', '') || coalesce(ev, '') WHEN shown THEN ev END AS evidence,
+  CASE WHEN shown THEN photo_index END AS photo_index, 'Capture a closer, flat, glare-free photo of the ' || panel || ' and re-scan.' AS action FROM j"""
+
+
+@query(over("scan obs", "").rstrip() + FINDING_SQL)
+def rule_findings(spark: SparkSession, d: str) -> DataFrame:
+    """What each rule says of each scan: message, evidence, photo and action."""
+    scans, best = rule_inputs(spark, d)
+    photo = F.col("photo_index")
+    priced = F.map_concat("data", F.create_map(F.lit("value"), (F.col("scan_id") % 7 / 2).cast("string")))
+    best = best.withColumns({"data": priced, "evidence": F.concat(F.lit("read "), F.col("value")), "label": F.when(photo % 2 == 1, "Label"), "note": F.when(photo == 2, "smudged"), "relationship": F.when(photo == 3, "variable_crop")})
+    return findings.findings(scans, best).select("id", "rule_seq", "code", "message", "evidence", "photo_index", "action")
+
+
 @query(over("scan obs", f"SELECT id, greatest(0, 100 - sum(CASE status WHEN 'fail' THEN CASE WHEN severity = 'error' THEN 15 ELSE 10 END WHEN 'warning' THEN 5 WHEN 'unverified' THEN 5 WHEN 'manualReview' THEN 3 ELSE 0 END))::BIGINT AS score, CASE WHEN bool_or(status = 'fail') THEN 'nonCompliant' WHEN bool_or(status <> 'pass') THEN 'needsReview' ELSE 'compliant' END AS verdict FROM ({RULE_SQL}) GROUP BY id"))
 def rule_score(spark: SparkSession, d: str) -> DataFrame:
     return rule_rows(spark, d).select("id", rules.score(F.col("results")).alias("score"), rules.verdict(F.col("results")).alias("verdict"))
