@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,25 @@ def scored(lines: DataFrame, idf: DataFrame, weights: DataFrame, bias: DataFrame
     return z.select(*keys, F.col("class").alias("vote_class"), F.col("p").alias("vote_prob"))
 
 
+def loaded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(idf, weights, bias) of a stored model: a JSON file with format 1, classes, vocab, idf, coef (pairs of index and weight a class), intercept.
+
+    ValueError for another format or for parts whose sizes don't fit.
+    """
+    schema = "format int, classes array<string>, vocab array<string>, idf array<double>, coef array<array<array<double>>>, intercept array<double>"
+    model = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("m")).select("m.*")
+    size = lambda c: F.coalesce(F.size(c), F.lit(-1))
+    n = model.select("format", size("classes").alias("classes"), size("coef").alias("coef"), size("intercept").alias("intercept"), size("idf").alias("idf"), size(F.array_distinct("vocab")).alias("vocab")).first()
+    if n is None or n.format != 1:
+        raise ValueError(f"a model of unknown format: {n and n.format}")
+    if n.classes < 0 or n.vocab < 0 or not n.classes == n.coef == n.intercept or n.idf != n.vocab:
+        raise ValueError("a model whose parts don't fit")
+    grams = model.select(F.posexplode(F.arrays_zip("vocab", "idf")).alias("j", "g")).select("j", F.col("g.vocab").alias("gram"), "g.idf")
+    weights = model.select(F.posexplode("coef").alias("class_no", "row")).select("class_no", F.explode("row").alias("p")).select("class_no", F.col("p")[0].cast("int").alias("j"), F.col("p")[1].alias("weight"))
+    bias = model.select(F.posexplode(F.arrays_zip("classes", "intercept")).alias("class_no", "c")).select("class_no", F.col("c.classes").alias("class"), F.col("c.intercept").alias("bias"))
+    return grams.select("gram", "idf"), weights.join(grams, "j").select("class_no", "gram", "weight"), bias
+
+
 def trained(lines: DataFrame, classes: Sequence[str], c: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(idf, weights, bias) of a multinomial logistic regression on labelled lines (id, text, label)."""
     from pyspark.ml.classification import LogisticRegression

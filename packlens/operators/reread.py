@@ -12,6 +12,9 @@ from packlens.operators.extract import blend
 MOST_JOBS = 4
 FIELDS = ["batch", "mrp", "mfg", "exp"]
 STRIP_TOP, STRIP_PATTERN, FOUND = 0.55, 0.9, 0.7
+#: How a crop is prepared and by how much it grows, the most pixels it may then have, and the least side that is read (fixed values).
+VARIANTS = {"plain": 3, "contrast": 3, "highContrast": 4}
+MOST_PIXELS, LEAST_SIDE = 1_600_000, 8
 
 
 def targets(observed: DataFrame) -> DataFrame:
@@ -33,6 +36,28 @@ def job_plan(rects: DataFrame, most: int = MOST_JOBS) -> DataFrame:
     return rects.withColumn("area", area).withColumn("job_no", F.row_number().over(w)).where(F.col("job_no") <= most)
 
 
+def crops(jobs: DataFrame) -> DataFrame:
+    """A row for each variant of each job: left, top, width and height in pixels, scale, and how it is prepared.
+
+    jobs: rx1, ry1, rx2, ry2 as shares, img_w and img_h. Scales shrink to keep crops small; a contrasted
+    crop that can't grow is left plain. Crops with a side under 8 pixels are not read and leave no row.
+    """
+    pixels = lambda share, size: F.floor(F.col(share) * F.col(size) + 0.5).cast("int")
+    extent = lambda a, b, size: F.floor((F.col(b) - F.col(a)) * F.col(size) + 0.5).cast("int")
+    df = jobs.withColumns({"left": pixels("rx1", "img_w"), "top": pixels("ry1", "img_h"), "width": extent("rx1", "rx2", "img_w"), "height": extent("ry1", "ry2", "img_h")})
+    df = df.where((F.col("width") >= LEAST_SIDE) & (F.col("height") >= LEAST_SIDE))
+    within = lambda c, size: F.least(F.greatest(F.col(c), F.lit(0)), (F.col(size) - 1).cast("int"))
+    df = df.withColumns({"left": within("left", "img_w"), "top": within("top", "img_h")})
+    room_w, room_h = (F.col("img_w") - F.col("left")).cast("int"), (F.col("img_h") - F.col("top")).cast("int")
+    df = df.where((room_w >= LEAST_SIDE) & (room_h >= LEAST_SIDE)).withColumns({"width": F.least("width", room_w), "height": F.least("height", room_h)})
+    df = df.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(v).alias("wanted"), F.lit(most).alias("most")) for i, (v, most) in enumerate(VARIANTS.items())])).alias("v")).select("*", "v.*").drop("v")
+    area, scale = F.col("width").cast("long") * F.col("height"), F.lit(1)
+    for n in range(2, max(VARIANTS.values()) + 1):
+        scale = F.when((F.col("most") >= n) & (area * n * n <= MOST_PIXELS), n).otherwise(scale)
+    df = df.withColumn("scale", scale)
+    return df.withColumn("prepared", F.when((F.col("wanted") == "highContrast") & (F.col("scale") < 3), "plain").otherwise(F.col("wanted"))).drop("most")
+
+
 def parsed(rereads: DataFrame) -> DataFrame:
     """(…, value, pattern): what a second reading's text says for its field, stricter than the first."""
     text = F.col("text")

@@ -430,6 +430,20 @@ def reread_job_plan(spark: SparkSession, d: str) -> DataFrame:
     return reread.job_plan(reread.search_rect(reread.targets(label_only(spark, d)))).select("scan_id", "photo", "field", "job_no")
 
 
+CROPS = f"""{JOBS}, p AS (SELECT scan_id, photo, field, w, h, floor(rx1 * w + 0.5::DOUBLE)::BIGINT AS l, floor(ry1 * h + 0.5::DOUBLE)::BIGINT AS t, floor((1.0::DOUBLE - rx1) * w + 0.5::DOUBLE)::BIGINT AS cw, floor((ry2 - ry1) * h + 0.5::DOUBLE)::BIGINT AS ch
+  FROM (SELECT *, 50 + scan_id % 5 * 900 AS w, 40 + scan_id % 3 * 1500 AS h FROM a)),
+ c AS (SELECT scan_id, photo, field, least(l, w - 1) AS l, least(t, h - 1) AS t, least(cw, w - l) AS cw, least(ch, h - t) AS ch FROM p WHERE cw >= 8 AND ch >= 8 AND w - l >= 8 AND h - t >= 8),
+ u AS (SELECT c.*, v, name, (SELECT max(s) FROM range(1, most + 1) r(s) WHERE s = 1 OR cw * s * ch * s <= 1600000) AS scale FROM c, (VALUES (0, 'plain', 3), (1, 'contrast', 3), (2, 'highContrast', 4)) x(v, name, most))
+ SELECT scan_id, photo, field, v AS variant, l AS "left", t AS top, cw AS width, ch AS height, scale, CASE WHEN name = 'highContrast' AND scale < 3 THEN 'plain' ELSE name END AS prepared FROM u"""
+
+
+@query(over("obs", "").rstrip() + f", {CROPS}")
+def reread_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Where and how each label's crop is cut from photos of several sizes, some too small to read."""
+    rects = reread.search_rect(reread.targets(label_only(spark, d))).withColumns({"img_w": 50 + F.col("scan_id") % 5 * 900, "img_h": 40 + F.col("scan_id") % 3 * 1500})
+    return reread.crops(rects).select("scan_id", "photo", "field", "variant", "left", "top", "width", "height", "scale", "prepared")
+
+
 @query("SELECT l_orderkey AS scan_id, f AS field, max(v) AS value, max(c) AS confidence FROM (SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN 'mrp' WHEN 1 THEN 'batch' ELSE 'exp' END AS f, CASE l_orderkey % 3 WHEN 0 THEN '1250.50' WHEN 1 THEN 'B' || l_orderkey::VARCHAR || 'X9' ELSE '12/05/2027' END AS v, floor(CASE l_orderkey % 3 WHEN 1 THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END * (0.55::DOUBLE + 0.45::DOUBLE * ((l_orderkey + l_linenumber) % 50)::DOUBLE / 50) * 100 + 0.5::DOUBLE) / 100 AS c FROM lineitem) GROUP BY ALL")
 def reread_parse(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_orderkey")
