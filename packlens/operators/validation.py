@@ -86,3 +86,19 @@ def ingested(raw: DataFrame) -> DataFrame:
         (F.coalesce(F.trim("product_name"), F.lit("")) != "").alias("named"),
         category.isin(vocab.CATEGORIES).alias("known_category"),
     ).withColumn("accepted", F.col("named") & F.col("known_category"))
+
+
+#: Files of an upload at most, and bytes of one (fixed values).
+MOST_FILES, MOST_BYTES = 8, 12 * 1024 * 1024
+
+
+def uploads(files: DataFrame) -> DataFrame:
+    """(scan_id, n_files, n_bytes, accepted, reason): an upload goes as a whole, at the first limit that a file breaks.
+
+    files: scan_id, mime, bytes. Reasons: not_image, too_large, too_many, in this order. A file of
+    unknown type is no image; one of unknown size counts as empty.
+    """
+    size = F.coalesce("bytes", F.lit(0))
+    of = files.groupBy("scan_id").agg(F.count("*").alias("n_files"), F.sum(size).cast("long").alias("n_bytes"), F.max(size).alias("__largest"), F.count_if(~F.coalesce(F.col("mime").startswith("image/"), F.lit(False))).alias("__other"))
+    reason = F.when(F.col("__other") > 0, "not_image").when(F.col("__largest") > MOST_BYTES, "too_large").when(F.col("n_files") > MOST_FILES, "too_many")
+    return of.select("scan_id", "n_files", "n_bytes", reason.isNull().alias("accepted"), reason.alias("reason"))
