@@ -434,7 +434,7 @@ CROPS = f"""{JOBS}, p AS (SELECT scan_id, photo, field, w, h, floor(rx1 * w + 0.
   FROM (SELECT *, 50 + scan_id % 5 * 900 AS w, 40 + scan_id % 3 * 1500 AS h FROM a)),
  c AS (SELECT scan_id, photo, field, least(l, w - 1) AS l, least(t, h - 1) AS t, least(cw, w - l) AS cw, least(ch, h - t) AS ch FROM p WHERE cw >= 8 AND ch >= 8 AND w - l >= 8 AND h - t >= 8),
  u AS (SELECT c.*, v, name, (SELECT max(s) FROM range(1, most + 1) r(s) WHERE s = 1 OR cw * s * ch * s <= 1600000) AS scale FROM c, (VALUES (0, 'plain', 3), (1, 'contrast', 3), (2, 'highContrast', 4)) x(v, name, most))
- SELECT scan_id, photo, field, v AS variant, l AS "left", t AS top, cw AS width, ch AS height, scale, CASE WHEN name = 'highContrast' AND scale < 3 THEN 'plain' ELSE name END AS prepared FROM u"""
+ SELECT scan_id, photo, field, v AS variant, l::INTEGER AS "left", t::INTEGER AS top, cw::INTEGER AS width, ch::INTEGER AS height, scale::INTEGER AS scale, CASE WHEN name = 'highContrast' AND scale < 3 THEN 'plain' ELSE name END AS prepared FROM u"""
 
 
 @query(over("obs", "").rstrip() + f", {CROPS}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packlens.functions import vocab
 from packlens.operators import findings, merge, quality, reporting, rules, validation
 from packlens.sources import adapters as A
+from packlens.sources import changes
 from packlens.sources.adapters import over
 
 QUERIES: dict = {}
@@ -283,6 +284,29 @@ def ingest_rejects(spark: SparkSession, d: str) -> DataFrame:
     return validation.ingested(raw_scans(spark, d)).where("not accepted").select("id", F.when(~F.col("named"), "productName").otherwise("category").alias("reason"))
 
 
+@query(
+    "SELECT scan_id, n_files, n_bytes, reason IS NULL AS accepted, reason FROM (SELECT k AS scan_id, count(*) AS n_files, sum(b)::BIGINT AS n_bytes, "
+    "CASE WHEN bool_or(m NOT LIKE 'image/%') THEN 'not_image' WHEN max(b) > 12582912 THEN 'too_large' WHEN count(*) > 8 THEN 'too_many' END AS reason "
+    "FROM (SELECT l_orderkey // 3 AS k, floor(l_extendedprice)::BIGINT * 250 AS b, CASE l_suppkey % 40 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END AS m FROM lineitem) GROUP BY k)"
+)
+def upload_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads of photos that keep to the limits, and why the others don't."""
+    mime = F.when(F.col("l_suppkey") % 40 == 0, "text/plain").when(F.col("l_suppkey") % 40 == 1, "image/png").otherwise("image/jpeg")
+    files = A.table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 3).cast("long").alias("scan_id"), mime.alias("mime"), (F.floor("l_extendedprice").cast("long") * 250).alias("bytes"))
+    return validation.uploads(files)
+
+
+@query(over("outbox", "SELECT id, created_at, officer_id, kind, synced OR id % 4 = 1 AS synced FROM outbox WHERE NOT (id % 10 = 7) UNION ALL SELECT -id, created_at, officer_id, 'copy', false FROM outbox WHERE id % 50 = 0 AND id <> 0 UNION ALL SELECT id, created_at, officer_id, 'late', NULL FROM outbox WHERE id % 10 = 7 AND id % 4 = 1"))
+def outbox_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The outbox after rows were marked as sent, some deleted, and others put in."""
+    box, k = A.outbox(spark, d), F.col("id")
+    sent = changes.updated(box, box.where(k % 4 == 1).select("id", F.lit(True).alias("synced")), "id")
+    left = changes.removed(sent, box.where(k % 10 == 7), "id")
+    copies = box.where((k % 50 == 0) & (k != 0)).withColumns({"id": -k, "kind": F.lit("copy"), "synced": F.lit(False)})
+    late = box.where((k % 10 == 7) & (k % 4 == 1)).select("id", "created_at", "officer_id", F.lit("late").alias("kind"))
+    return changes.upserted(changes.upserted(left, copies, "id"), late, "id")
+
+
 # --- rules and merging
 
 QUALITY = "(SELECT id, category, mean_confidence, region_count >= 8 AND mean_confidence >= 0.55::DOUBLE AND id % 400 >= 150 AS adequate FROM scan)"

@@ -1,11 +1,12 @@
-"""Stored classifiers, and crops of small and large photos."""
+"""Stored classifiers, crops of small and large photos, limits of uploads, changed tables."""
 
 import json
 import math
 
 import pytest
 
-from packlens.operators import classify, reread
+from packlens.operators import classify, reread, validation
+from packlens.sources import changes
 
 MODEL = {"format": 1, "classes": ["mrp", "net_qty"], "vocab": ["mrp", "rs.", " ne"], "idf": [1.5, 1.2, 2.0], "coef": [[[0, 2.0], [1, 0.5]], [[2, 1.5]]], "intercept": [0.1, 0.0]}
 
@@ -37,3 +38,21 @@ def test_crops_shrink_their_scale(spark):
     assert (first.left, first.top, first.width, first.height, first.scale, first.prepared) == (100, 100, 200, 100, 4, "highContrast")
     assert [(got[2, v].scale, got[2, v].prepared) for v in range(3)] == [(1, "plain"), (1, "contrast"), (1, "plain")]
     assert [(got[4, v].scale, got[4, v].prepared) for v in range(3)] == [(3, "plain"), (3, "contrast"), (3, "highContrast")]
+
+
+def test_uploads_keep_to_limits(spark):
+    most = 12 * 1024 * 1024
+    rows = [(1, "image/png", most)] * 8 + [(2, "image/png", 1)] * 9 + [(3, "image/png", most + 1)] + [(4, None, 1)] + [(5, "image/jpeg", None)]
+    files = spark.createDataFrame(rows, "scan_id long, mime string, bytes long")
+    assert {r.scan_id: r.reason for r in validation.uploads(files).collect()} == {1: None, 2: "too_many", 3: "too_large", 4: "not_image", 5: None}
+    assert validation.uploads(files.limit(0)).count() == 0
+
+
+def test_tables_change(spark):
+    table = spark.createDataFrame([(1, "a", True), (2, "b", False), (None, "c", None)], "id long, name string, synced boolean")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    new = spark.createDataFrame([(2, None), (9, "z")], "id long, name string")
+    assert rows(changes.updated(table, new, "id")) == [(1, "a", True), (2, None, False), (None, "c", None)]
+    assert rows(changes.removed(table, new, "id")) == [(1, "a", True), (None, "c", None)]
+    assert rows(changes.upserted(table, new, "id")) == [(1, "a", True), (2, None, None), (9, "z", None), (None, "c", None)]
+    assert rows(changes.upserted(table, new.limit(0), "id")) == rows(table) and changes.removed(table.limit(0), new, "id").count() == 0
