@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packlens.llm import decontam, licenses, linededup, lmscore, mixing, neardup, pii, quality, repeats, secretscan
+from packlens.llm import decontam, licenses, linededup, lmscore, mixing, neardup, ngramjoin, pii, quality, repeats, secretscan
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8,
     "op9_line_dedup": linededup.op9,
     "op10_lm_scores": lmscore.op10,
+    "op11_ngram_join": ngramjoin.op11,
 }
 ORACLE_SQL = {
     "op1_near_duplicates": neardup.OP1_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_quality_rules": quality.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
+    "op11_ngram_join": ngramjoin.OP11_SQL,
 }
