@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packlens.llm import decontam, licenses, linededup, lmscore, mixing, neardup, ngramjoin, pii, quality, repeats, secretscan
+from packlens.llm import decontam, licenses, linededup, lmscore, mixing, neardup, ngramjoin, pii, quality, repeats, secretscan, trie, whiten
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_line_dedup": linededup.op9,
     "op10_lm_scores": lmscore.op10,
     "op11_ngram_join": ngramjoin.op11,
+    "op12_prefix_trie": trie.op12,
+    "op13_whitening": whiten.op13,
 }
 ORACLE_SQL = {
     "op1_near_duplicates": neardup.OP1_SQL,
@@ -27,4 +29,5 @@ ORACLE_SQL = {
     "op8_source_mix": mixing.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
     "op11_ngram_join": ngramjoin.OP11_SQL,
+    "op12_prefix_trie": trie.OP12_SQL,
 }

@@ -30,6 +30,10 @@ def tables(spark, tmp_path_factory):
     rows = [(i, TEXTS[i % len(TEXTS)], "en", [None, "a", "b"][i % 3], 1, "x", 2.0) for i in range(99)] + [(None, "null id text", "en", "a", 1, "x", 1.0), (5, TEXTS[5], "en", "c", 1, "x", 1.0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rid string, kept double").coalesce(2).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, "licensed under the apache license, version 2.0."), (2, None)], "item_id long, text string").coalesce(1).write.parquet(f"{d}/benchmark.parquet")
+    talk = [(c, [None, 1, 2, 2][t], ["user", "bot", None][(c + t) % 3], [None, "", "one two", "a\tb c"][(c * t + t) % 4], "x") for c in range(70) for t in range(c % 5)]
+    spark.createDataFrame([*talk, (None, 0, "user", "nobody's", "x")], "conv_id long, turn long, role string, text string, rid string").coalesce(2).write.parquet(f"{d}/conversations.parquet")
+    vectors = [(i, [(i * k % 11) / 7 - 0.5 for k in range(1, 6)], i % 3) for i in range(40)] + [(None, None, 1), (40, [0.0, None, 1.0, 1.0, 1.0], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(2).write.parquet(f"{d}/embeddings.parquet")
     return str(d), rows
 
 
@@ -41,7 +45,7 @@ def rows_of(found):
 def test_against_sql(spark, tables, name):
     d, _ = tables
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet/*.parquet')")
     df = entries.QUERIES[name](spark, d)
     columns = sorted(df.columns)
@@ -127,4 +131,12 @@ def test_many_secrets_in_one_text(spark):
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert entries.QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_whitening(spark, tables):
+    d, _ = tables
+    got = entries.QUERIES["op13_whitening"](spark, d).collect()
+    assert len(got) == 160 and {r.component for r in got} == {1, 2, 3, 4} and all(r.identity_error < 1e-9 for r in got)
