@@ -77,7 +77,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     with conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept = path  # for forget()
+    return kept
 
 
 @contextlib.contextmanager
@@ -105,14 +107,24 @@ def only_keys(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return df.join(F.broadcast(keys), name, "left_semi") if keys.count() <= BROADCAST_KEYS else df
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more, before the session ends."""
+    for t in tables:
+        own, path = next(x for x in _written if x[0] is t.sparkSession and getattr(t, "_kept", None) == x[1])
+        delete(own, path)
+
+
+def delete(own: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = own.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        at.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove((own, path))
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete the scratch tables (of one session)."""
     for own, path in [x for x in _written if spark is None or x[0] is spark]:
-        with contextlib.suppress(Exception):
-            jvm = own.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
-            at.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _written.remove((own, path))
+        delete(own, path)
 
 
 atexit.register(release)

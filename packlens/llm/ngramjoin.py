@@ -160,10 +160,15 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, width: int = base.SHINGL
     empty table gives no rows; other columns are ignored. Shingles are compared by 64-bit hashes,
     whole sets of copies by 128 bits.
     """
-    rows = base.keep(class_rows(docs, percent, width), "rows")
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"))
-    classes = base.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    sets = shinglesets.stored_sets(docs, with_partners(classes, percent), width)
+    wide = base.keep(class_rows(docs, percent, width), "wide")
+    rows = base.keep(wide.drop("low"), "rows")
+    classes = wide.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("low").alias("low"))
+    listed = base.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    base.forget(wide)
+    classes = base.keep(listed.drop("low"), "narrow")
+    wanted = with_partners(listed, percent)
+    base.forget(listed)
+    sets = shinglesets.stored_sets(docs, wanted, width)
     kept = base.keep(prefixes(sets, percent), "prefixes")
     groups = base.keep(kept.groupBy("n", "s", "prefix").agg(F.min("c").alias("g"), F.count("*").alias("size")), "groups")
     members = base.keep(kept.join(groups.select("n", "s", "prefix", "g"), ["n", "s", "prefix"]).select("g", "c", "n", "s"), "members")

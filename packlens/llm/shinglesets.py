@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from packlens.llm import base, npwords
 
-#: Shingles of one side of a unit that are compared with another block in one task.
-BLOCK_SHINGLES = 1 << 20
+#: Shingles of one side of a unit that are compared with another block in one task; less are cut into up to SPLIT
+#: blocks of SPLIT_SHINGLES all the same, so that a cluster is compared in several tasks.
+BLOCK_SHINGLES, SPLIT, SPLIT_SHINGLES = 1 << 20, 8, 1 << 14
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -132,7 +133,8 @@ def across(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK
     sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("k"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("x")).select("cluster", F.col("x.root").alias("main"))
     rows = rows.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main"))
-    blocks = lambda df, name: df.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / block).alias(name))
+    parts = F.greatest(F.ceil(F.sum("n") / block), F.least(F.lit(SPLIT), F.ceil(F.sum("n") / SPLIT_SHINGLES)))
+    blocks = lambda df, name: df.groupBy("cluster", "band").agg(parts.alias(name))
     # log() may put a bound on either side: two steps are allowed where one is enough
     near = blocks(rows.where("outside"), "xs").select("cluster", F.col("band").alias("x"), "xs", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("y"))
     units = base.keep(near.join(blocks(rows, "ys").withColumnRenamed("band", "y"), ["cluster", "y"]), "units")
