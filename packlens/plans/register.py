@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from packlens.plans import label_queries, reports
+from packlens.plans import label_queries, photo_queries, reports
 
-QUERIES = {**reports.QUERIES, **label_queries.QUERIES}
-ORACLE_SQL = {**reports.ORACLE_SQL, **label_queries.ORACLE_SQL}
+QUERIES = {**reports.QUERIES, **label_queries.QUERIES, **photo_queries.QUERIES}
+ORACLE_SQL = {**reports.ORACLE_SQL, **label_queries.ORACLE_SQL, **photo_queries.ORACLE_SQL}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for what is dear and used more than once."""
+    path = f"{shared_dir(df.sparkSession)}/packlens/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path, in any store that Spark reads, is one file."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
