@@ -130,18 +130,18 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 
 @query(over("product regulation", "SELECT category, any_value(version) AS version, any_value(n_rules)::INTEGER AS n_rules, any_value(len(requiredFields))::INTEGER AS n_required, count(p) AS n_products FROM regulation LEFT JOIN (SELECT lower(category) AS category, 1 AS p FROM product) USING (category) GROUP BY category"))
-def catalog_by_category(spark: SparkSession, d: str) -> DataFrame:
+def regulations_by_category(spark: SparkSession, d: str) -> DataFrame:
     """The stored catalog, with how many products each category has to do with."""
     n = A.products(spark, d).groupBy(F.lower("category").alias("category")).agg(F.count("*").alias("n_products"))
     df = catalog(spark).join(n, "category", "left")
     return df.select("category", "version", F.size("rules").alias("n_rules"), F.size("requiredFields").alias("n_required"), F.coalesce("n_products", F.lit(0)).alias("n_products"))
 
 
-@query(over("product regulation", "SELECT category, seq, field, count(p) AS n_products FROM (SELECT category, unnest(range(len(requiredFields)))::INTEGER AS seq, unnest(requiredFields) AS field FROM regulation) LEFT JOIN (SELECT lower(category) AS category, 1 AS p FROM product) USING (category) GROUP BY ALL"))
-def catalog_required_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Required fields of the stored catalog, in order, and the products that must have them."""
+@query(over("product regulation", "SELECT category, seq, field, count(p) AS n_products FROM (SELECT category, unnest(range(len(requiredFields)))::INTEGER AS seq, unnest(requiredFields) AS field FROM regulation WHERE category = lower('FOOD')) LEFT JOIN (SELECT lower(category) AS category, 1 AS p FROM product) USING (category) GROUP BY ALL"))
+def required_fields_exploded(spark: SparkSession, d: str) -> DataFrame:
+    """Required fields of one category of the stored catalog, in order, and the products that must have them."""
     n = A.products(spark, d).groupBy(F.lower("category").alias("category")).agg(F.count("*").alias("n_products"))
-    df = catalog(spark).select("category", F.posexplode("requiredFields").alias("seq", "field")).join(n, "category", "left")
+    df = catalog(spark).where(F.col("category") == "FOOD".lower()).select("category", F.posexplode("requiredFields").alias("seq", "field")).join(n, "category", "left")
     return df.withColumn("n_products", F.coalesce("n_products", F.lit(0)))
 
 

@@ -235,16 +235,6 @@ def validation_history(spark: SparkSession, d: str) -> DataFrame:
     return s.orderBy(F.desc("created_at"), "id").limit(200).join(p, "p_partkey", "left").select("id", "created_at", "score", F.col("product.name").alias("product_name"), F.col("product.brand").alias("brand"))
 
 
-@query(over("regulation", "SELECT category, version, n_rules, len(requiredFields)::INTEGER AS n_required FROM regulation ORDER BY category"))
-def regulations_by_category(spark: SparkSession, d: str) -> DataFrame:
-    return A.regulations(spark).select("category", "version", F.size("rules").alias("n_rules"), F.size("requiredFields").alias("n_required")).orderBy("category")
-
-
-@query(over("regulation", "SELECT category, unnest(range(len(requiredFields)))::INTEGER AS seq, unnest(requiredFields) AS field FROM regulation WHERE category = lower('FOOD')"))
-def required_fields_exploded(spark: SparkSession, d: str) -> DataFrame:
-    return A.regulations(spark).where(F.col("category") == "FOOD".lower()).select("category", F.posexplode("requiredFields").alias("seq", "field"))
-
-
 # --- ingest
 
 RAW = """SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE ' ' || text END AS product_name, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'FOOD' WHEN 2 THEN 'toys' ELSE 'general' END AS category,
