@@ -8,13 +8,12 @@
 4. The union sketch estimates each pair's similarity and drops pairs that can't reach it; the whole
    shingle sets decide the rest.
 5. Links make components. A long list whose classes are then in several components is the one place
-   where a link can have been missed: there classes outside the main component are held against all
-   others by an inverted index of whole sets.
+   where a link can have been missed: there classes outside the main component are held against those
+   of a like size by an inverted index of whole sets, which are written once (shinglesets.py).
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -23,14 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.llm import base, npwords
+from packlens.llm import base, npwords, shinglesets
 from packlens.llm.components import components
 
 #: Retained values; those in inverted lists; a list of at most SHORT classes gives all pairs, others stars of about GROUP.
 K, INDEXED, SHORT, GROUP = 64, 32, 4, 16
-#: Shingles of a block of classes that are compared with another block in one task; smaller clusters are cut
-#: into up to SPLIT blocks of SPLIT_SHINGLES all the same, so that they are compared in several tasks.
-BLOCK_SHINGLES, SPLIT, SPLIT_SHINGLES = 1 << 20, 8, 1 << 14
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -44,7 +40,7 @@ def least_shared(n: int, similarity: float) -> int:
 
 
 def sketches(docs: DataFrame, width: int = base.SHINGLE_WORDS) -> DataFrame:
-    """doc_id, rid, n_shingles, s1, s2 (hash of the whole set), sketch (K smallest values, little-endian)."""
+    """doc_id, rid and rid2 (128 bits of the row), n_shingles, s1, s2 (128 bits of the whole set), sketch (K smallest values, little-endian)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,16 +50,16 @@ def sketches(docs: DataFrame, width: int = base.SHINGLE_WORDS) -> DataFrame:
                 for s in npwords.shingles(firsts, h, width):
                     s = np.unique(s)
                     n.append(len(s))
-                    ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    ids.append(shinglesets.set_id(np.roll(s, -int(np.searchsorted(s, np.uint64(1 << 63))))))  # in the order of signed numbers
                     kept.append(s[:K].tobytes())
             pair = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(kept, pa.binary())],
-                names=["doc_id", "rid", "n_shingles", "s1", "s2", "sketch"],
+                [batch.column("doc_id"), batch.column("rid"), batch.column("rid2"), pa.array(n, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(kept, pa.binary())],
+                names=["doc_id", "rid", "rid2", "n_shingles", "s1", "s2", "sketch"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.row_key(base.text_of()).alias("rid"), "text")
-    return rows.mapInArrow(of, "doc_id long, rid long, n_shingles long, s1 long, s2 long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.row_key(base.text_of()).alias("rid"), base.row_key2(base.text_of()).alias("rid2"), "text")
+    return rows.mapInArrow(of, "doc_id long, rid long, rid2 long, n_shingles long, s1 long, s2 long, sketch binary")
 
 
 def lists(classes: DataFrame, similarity: float) -> DataFrame:
@@ -107,60 +103,6 @@ def clusters(listed: DataFrame, roots: DataFrame) -> DataFrame:
     return members.select("c", "root").distinct().join(at, "root", "left").select(F.coalesce("cluster", "root").alias("cluster"), "c", "root")
 
 
-def links_between(members: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Links across components of a cluster, exact, one for each class and component it is linked to.
-
-    Classes outside the cluster's main component are held against all of the cluster through an
-    inverted index of whole shingle sets, block by block, so that no pair is written down that isn't a link.
-    """
-    percent = round(100 * similarity)
-
-    def compared(x_rows: list, y_rows: list) -> Iterator[tuple[int, int]]:
-        if not x_rows or not y_rows:
-            return
-        sizes = np.array([len(s) for _, _, s in y_rows])
-        values, owners = np.concatenate([s for _, _, s in y_rows]), np.repeat(np.arange(len(y_rows)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], owners[order]
-        roots = np.array([r for _, r, _ in y_rows], np.int64)
-        for c, root, s in x_rows:
-            low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-            n = high - low
-            at = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
-            common = np.bincount(owners[at], minlength=len(y_rows))
-            near = np.flatnonzero((100 * common >= percent * (len(s) + sizes - common)) & (roots != root))
-            for i in near[np.unique(roots[near], return_index=True)[1]].tolist():
-                yield c, y_rows[i][0]
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, x_rows, y_rows = None, [], []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            offsets, data = npwords.text_bytes(batch.column("text"))
-            units, cs, roots, outside = (batch.column(n).to_pylist() for n in ("unit", "c", "root", "outside"))
-            for i, _, firsts, h in npwords.rows(offsets, data):
-                for k, s in enumerate(npwords.shingles(firsts, h, width), i):
-                    if units[k] != unit:
-                        out += compared(x_rows, y_rows)
-                        unit, x_rows, y_rows = units[k], [], []
-                    (x_rows if outside[k] else y_rows).append((cs[k], roots[k], np.unique(s)))
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-        out = list(compared(x_rows, y_rows))
-        yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    rows = base.keep(members.join(classes.select("c", "rid", "n_shingles"), "c"), "clusters")
-    sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.greatest(F.ceil(F.sum("shingles") / BLOCK_SHINGLES), F.least(F.lit(SPLIT), F.ceil(F.sum("shingles") / SPLIT_SHINGLES))).alias("blocks"))
-    rows = rows.join(main.select("cluster", F.col("main.root").alias("main"), "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    x = rows.where("root <> main").select("cluster", "c", "root", "rid", F.col("block").alias("i"), every, F.lit(True).alias("outside")).withColumnRenamed("other", "j")
-    y = rows.select("cluster", "c", "root", "rid", F.col("block").alias("j"), every, F.lit(False).alias("outside")).withColumnRenamed("other", "i")
-    units = x.unionByName(y).select(F.xxhash64("cluster", "i", "j").alias("unit"), "c", "root", "rid", "outside")
-    units = base.keep(units, "units")
-    rows = units.join(texts_of(docs, units), "rid").select("unit", "c", "root", "outside", "text").repartition("unit").sortWithinPartitions("unit")
-    return rows.mapInArrow(linked, "a long, b long").distinct()
-
-
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose sizes and union sketches allow the similarity."""
     need = [0] + [least_shared(k, similarity) for k in range(1, K + 1)]
@@ -185,88 +127,58 @@ def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     return near.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
 
 
-def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(rid, text) of docs, as far as can be told those that are needed."""
-    texts = docs.select(base.row_key(base.text_of()).alias("rid"), "text")
-    return base.only_keys(texts, base.keep(needed.select("rid").distinct(), "rids"), "rid")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Pairs whose whole shingle sets reach the similarity; a text goes once to each class it is compared with."""
-    percent = round(100 * similarity)
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, own, waiting = None, None, []
-        for batch in batches:
-            offsets, data = npwords.text_bytes(batch.column("text"))
-            units, cs = batch.column("unit").to_pylist(), batch.column("c").to_pylist()
-            a, b = [], []
-            for i, _, firsts, h in npwords.rows(offsets, data):
-                for k, s in enumerate(npwords.shingles(firsts, h, width), i):
-                    s = np.unique(s)
-                    if units[k] != unit:
-                        unit, own, waiting = units[k], None, []
-                    if cs[k] == unit:  # comes first
-                        own = s
-                    elif own is not None:
-                        common = len(own) + len(s) - len(np.unique(np.concatenate([own, s])))
-                        if 100 * common >= percent * (len(own) + len(s) - common):
-                            a.append(unit)
-                            b.append(cs[k])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    needed = pairs.select(F.col("a").alias("unit"), F.col("b").alias("c")).unionByName(pairs.select(F.col("a").alias("unit"), F.col("a").alias("c")).distinct())
-    rows = base.keep(needed.join(classes.select("c", "rid"), "c"), "needed")
-    rows = rows.join(texts_of(docs, rows), "rid").select("unit", "c", (F.col("c") != F.col("unit")).alias("other"), "text")
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "other", "c")
-    return rows.select("unit", "c", "text").mapInArrow(linked, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, similarity: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, rid (see base) and group for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, rid and rid2 (see base), group and group2 for every row of docs (doc_id, text).
 
     Words are lower-cased (A-Z). A text with fewer words than the width is one shingle; without words
     or with a null text it has none and is linked with nothing. component_id is the smallest doc_id
     linked, by however many steps. Null ids are carried and smallest only where all are null; kept
     compares null-safely. Rows repeated in full, or with one id and different texts, are rows like
-    others. An empty table gives no rows; other columns are ignored.
+    others. An empty table gives no rows; other columns are ignored. Shingles are compared by 64-bit
+    hashes, whole sets and rows by 128 bits; a link between sketches is missed with a chance under 1e-7.
     """
+    percent = round(100 * similarity)
     all_docs = base.keep(sketches(docs, width), "sketches")
     classes = all_docs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = base.keep(classes.withColumn("c", F.col("s1")), "classes")
+    # ids of the written rows: unlike a part of the set's hash, no two classes can share one
+    classes = base.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     listed = base.keep(lists(classes, similarity), "lists")
     pairs = base.keep(estimated(first_pairs(listed), classes, similarity), "pairs")
-    links = base.keep(verified(pairs, classes, docs, similarity, width), "links")
+    # sets of whatever may be compared: classes of pairs, and of long lists, whose members may have to be searched
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(listed.where(F.col("df") > SHORT).select("c")).distinct()
+    wanted = base.keep(classes.drop("sketch").join(compared, "c"), "wanted")
+    sets = shinglesets.stored_sets(docs, wanted, width)
+    links = base.keep(shinglesets.verified(pairs, sets, percent).distinct(), "links")
     roots = components(links)
     members = base.keep(clusters(listed, roots), "clustered")
     if not members.isEmpty():
-        more = base.keep(links_between(members, classes, docs, similarity, width), "more_links")
+        more = base.keep(shinglesets.across(members, sets, percent), "more_links")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = classes.select("s1", "s2", "doc_id", "c").join(roots, F.col("c") == F.col("node"), "left").select("s1", "s2", "doc_id", F.coalesce("root", "c").alias("group"))
     smallest = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     labels = base.keep(placed.join(smallest, "group").select("s1", "s2", "component_id", "group"), "labels")
-    df = all_docs.select("doc_id", "n_shingles", "s1", "s2", "rid")
-    linked = df.where("n_shingles > 0").join(labels, ["s1", "s2"], "left")
-    alone = df.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("group", F.col("rid"))
-    names = ["doc_id", "n_shingles", "component_id", "rid", "group"]
+    df = all_docs.select("doc_id", "n_shingles", "s1", "s2", "rid", "rid2")
+    linked = df.where("n_shingles > 0").join(labels, ["s1", "s2"], "left").withColumn("group2", F.lit(None).cast("long"))
+    alone = df.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "group": F.col("rid"), "group2": F.col("rid2")})
+    names = ["doc_id", "n_shingles", "component_id", "rid", "rid2", "group", "group2"]
     both = linked.select(*names).unionByName(alone.select(*names))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "rid", "group")
+    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", *names[3:])
 
 
 def representatives(docs: DataFrame, similarity: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS) -> DataFrame:
     """One row of docs for each group of near-duplicates: that of the smallest id (null last), of equal ids any one.
 
-    Texts without words are groups of their own, but rows repeated in full are one.
+    Texts without words are groups of their own, but rows repeated in full are one. Rows are told apart
+    by 128 bits of id and text.
     """
     found = base.keep(near_duplicates(docs.select("doc_id", "text"), similarity, width), "found")
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
-    chosen = base.keep(found.groupBy("group").agg(F.min(order).alias("x")).select(F.col("x.rid").alias("__rid"), F.col("x.doc_id").alias("__id")).distinct(), "chosen")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid", "rid2")
+    chosen = base.keep(found.groupBy("group", "group2").agg(F.min(order).alias("x")).select(F.col("x.rid").alias("__rid"), F.col("x.rid2").alias("__rid2")).distinct(), "chosen")
     few = chosen.count() <= base.BROADCAST_KEYS
-    rows = docs.withColumn("__rid", base.row_key(base.text_of())).alias("d")
-    same = (F.col("d.__rid") == F.col("c.__rid")) & F.col("d.doc_id").eqNullSafe(F.col("c.__id"))  # the hash tells texts of one id apart
-    rows = rows.join((F.broadcast(chosen) if few else chosen).alias("c"), same, "left_semi")
-    if not found.groupBy("rid").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["__rid"])
+    rows = docs.withColumn("__rid", base.row_key(base.text_of())).withColumn("__rid2", base.row_key2(base.text_of()))
+    rows = rows.join(F.broadcast(chosen) if few else chosen, ["__rid", "__rid2"], "left_semi")
+    if not found.groupBy("rid", "rid2").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__rid", "__rid2"])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from packlens.llm import neardup
+from packlens.llm import base, neardup, shinglesets
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, rid string, c int"
@@ -56,5 +57,16 @@ def test_long_word_and_long_text(spark):
 
 
 def test_clusters_compared_in_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SPLIT_SHINGLES", 64)
+    monkeypatch.setattr(shinglesets, "SPLIT_SHINGLES", 64)
     check(spark, near_copies(2, 1, 90))
+
+
+def test_rows_that_share_64_bits(spark, monkeypatch):
+    """With one row key for all rows, classes get their own sets and each group keeps its own row."""
+    monkeypatch.setattr(base, "row_key", lambda text: F.lit(7).cast("long"))
+    rows = [*near_copies(6, 8, 3), (20_000, ""), (20_001, " "), (20_002, None), (20_003, "alone")]
+    check(spark, rows)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    want = brute.near_duplicates(rows)
+    got = sorted(r.doc_id for r in neardup.representatives(df).collect())
+    assert got == sorted(d for d, t in rows if want[d, t][1] == d) and len(got) >= 12
