@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packlens.functions import garble
+
 
 def ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
     """Substrings of each lower-case word with a space on both sides, of least to most characters."""
@@ -29,19 +31,27 @@ def counted(lines: DataFrame, *keys: str) -> DataFrame:
     return lines.select(*keys, F.explode(ngrams(F.col("text"))).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
+def vectors(lines: DataFrame, idf: DataFrame, *keys: str) -> DataFrame:
+    """(keys, gram, v): tf-idf vectors of length one, over the known n-grams."""
+    v = counted(lines, *keys).join(idf, "gram").withColumn("v", F.col("n") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
+    return v.select(*keys, "gram", (F.col("v") / F.when(norm > 0, norm).otherwise(1.0)).alias("v"))
+
+
+def with_classes(lines: DataFrame, bias: DataFrame) -> DataFrame:
+    """lines with a row for every class: class_no, class, bias. The classes are a scalar subquery, one small array when the query runs."""
+    classes = bias.agg(F.sort_array(F.collect_list(F.struct("class_no", "class", F.col("bias").cast("double").alias("bias")))).alias("cs"))
+    return lines.withColumn("__c", F.explode(classes.scalar())).select(*lines.columns, "__c.*")
+
+
 def scored(lines: DataFrame, idf: DataFrame, weights: DataFrame, bias: DataFrame, *keys: str) -> DataFrame:
     """(keys, vote_class, vote_prob): softmax over linear scores of tf-idf vectors of length one.
 
     idf: gram, idf; weights: class_no, gram, weight; bias: class_no, class, bias. The first class wins ties;
     a line without known n-grams is scored by the biases.
     """
-    v = counted(lines, *keys).join(idf, "gram").withColumn("v", F.col("n") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
-    v = v.withColumn("v", F.col("v") / F.when(norm > 0, norm).otherwise(1.0))
-    sums = v.join(weights, "gram").groupBy(*keys, "class_no").agg(F.sum(F.col("v") * F.col("weight")).alias("s"))
-    # every line has a score for every class; there are as many classes as the model has
-    classes = lines.select(*keys).withColumn("c", F.explode(F.array(*[F.struct(F.lit(r.class_no).alias("class_no"), F.lit(r["class"]).alias("class"), F.lit(float(r.bias)).alias("bias")) for r in bias.orderBy("class_no").collect()]))).select(*keys, "c.*")
-    z = classes.join(sums, [*keys, "class_no"], "left").withColumn("z", F.col("bias") + F.coalesce("s", F.lit(0.0)))
+    sums = vectors(lines, idf, *keys).join(weights, "gram").groupBy(*keys, "class_no").agg(F.sum(F.col("v") * F.col("weight")).alias("s"))
+    z = with_classes(lines.select(*keys), bias).join(sums, [*keys, "class_no"], "left").withColumn("z", F.col("bias") + F.coalesce("s", F.lit(0.0)))
     w = Window.partitionBy(*keys)
     z = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(w))).withColumn("p", F.col("e") / F.sum("e").over(w))
     z = z.withColumn("rn", F.row_number().over(w.orderBy(F.desc("p"), "class_no"))).where("rn = 1")
@@ -67,26 +77,69 @@ def loaded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFr
     return grams.select("gram", "idf"), weights.join(grams, "j").select("class_no", "gram", "weight"), bias
 
 
-def trained(lines: DataFrame, classes: Sequence[str], c: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(idf, weights, bias) of a multinomial logistic regression on labelled lines (id, text, label)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
+def trained(lines: DataFrame, classes: Sequence[str], c: float = 4.0, bank: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(idf, weights, bias) of a multinomial logistic regression on labelled lines (id, text, label).
 
-    spark = lines.sparkSession
-    rows = lines.select("id", ngrams(F.col("text")).alias("grams"), F.array_position(F.array(*map(F.lit, classes)), F.col("label")).alias("k")).withColumn("label", (F.col("k") - 1).cast("double"))
-    n = rows.count()
-    df = rows.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    idf = df.select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    # repeated by weight is not possible in a vocabulary count, so the model is fitted on counts scaled by idf
-    vectors = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max(1, idf.count())).fit(rows)  # all n-grams
-    from pyspark.ml.feature import ElementwiseProduct, Normalizer
+    The n-grams, and how common they are, are those of the bank (id, text), the lines themselves if none is given.
+    A model has a weight for each of its n-grams and classes, which the driver holds; a bank is small, as
+    people write it, however many copies are learnt from.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    known = {r.gram: r.idf for r in idf.collect()}
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense([known[g] for g in vectors.vocabulary]), inputCol="tf", outputCol="tfidf").transform(vectors.transform(rows))
+    spark = lines.sparkSession
+    grams = lambda df: df.withColumn("grams", ngrams(F.col("text")))
+    rows = grams(lines).select("id", "grams", (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("double").alias("label"))
+    own = grams(lines if bank is None else bank).select("grams")
+    known = own.select(F.explode("grams").alias("gram")).agg(F.count_distinct("gram")).first()[0]
+    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max(1, known)).fit(own)
+    common = IDF(inputCol="tf", outputCol="x").fit(counts.transform(own)).idf.toArray() + 1
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(common), inputCol="tf", outputCol="tfidf").transform(counts.transform(rows))
     unit = Normalizer(inputCol="tfidf", outputCol="features").transform(scaled)
-    model = LogisticRegression(family="multinomial", regParam=1 / (c * n), elasticNetParam=0, standardization=False, maxIter=200).fit(unit)
+    model = LogisticRegression(family="multinomial", regParam=1 / (c * rows.count()), elasticNetParam=0, standardization=False, maxIter=200).fit(unit)
     matrix = model.coefficientMatrix.toArray()
-    weights = [(k, g, float(matrix[k, j])) for k in range(len(matrix)) for j, g in enumerate(vectors.vocabulary) if abs(matrix[k, j]) > 1e-4]
-    bias = [(k, classes[k], float(model.interceptVector[k])) for k in range(len(matrix))]
+    weights = [(k, g, float(w)) for k, row in enumerate(matrix) for g, w in zip(counts.vocabulary, row, strict=True) if w]
+    bias = [(k, classes[k], float(x)) for k, x in enumerate(model.interceptVector)]
+    idf = spark.createDataFrame([(g, float(x)) for g, x in zip(counts.vocabulary, common, strict=True)], "gram string, idf double")
     return idf, spark.createDataFrame(weights, "class_no int, gram string, weight double"), spark.createDataFrame(bias, "class_no int, class string, bias double")
+
+
+#: Thresholds below which a weight may go, the strongest first (fixed values).
+THRESHOLDS = (0.10, 0.05, 0.03, 0.02, 0.01, 0.005, 0.0)
+
+
+def ladder(lines: DataFrame, idf: DataFrame, weights: DataFrame, bias: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
+    """(set, threshold, n, accuracy): how many of each set's lines keep their class with weights under the threshold gone.
+
+    lines: id (unique), set, text, gold. All thresholds are measured in one pass over the lines; 0 is the whole model.
+    """
+    sums = [F.sum(F.when(F.abs("weight") >= t, F.col("v") * F.col("weight")).otherwise(0.0)).alias(f"s{i}") for i, t in enumerate(thresholds)]
+    s = vectors(lines, idf, "id").join(weights, "gram").groupBy("id", "class_no").agg(*sums)
+    z = with_classes(lines.select("id", "set", "gold"), bias).join(s, ["id", "class_no"], "left")
+    best = [F.max(F.struct((F.col("bias") + F.coalesce(f"s{i}", F.lit(0.0))).alias("z"), (-F.col("class_no")).alias("first"), "class"))["class"].eqNullSafe(F.first("gold")).cast("int").alias(f"r{i}") for i in range(len(thresholds))]
+    right = z.groupBy("id", "set").agg(*best)
+    found = right.groupBy("set").agg(F.count("*").alias("n"), *[F.avg(f"r{i}").alias(f"a{i}") for i in range(len(thresholds))])
+    steps = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"a{i}").alias("accuracy")) for i, t in enumerate(thresholds)]))
+    return found.select("set", "n", steps.alias("x")).select("set", "x.threshold", "n", "x.accuracy")
+
+
+def kept_threshold(measured: DataFrame) -> float:
+    """The strongest threshold at which no set's accuracy differs from the whole model's."""
+    whole = Window.partitionBy("set").orderBy("threshold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = measured.withColumn("same", F.abs(F.col("accuracy") - F.first("accuracy").over(whole)) < 1e-12)
+    found = same.groupBy("threshold").agg(F.min(F.col("same").cast("int")).alias("same")).where("same = 1").agg(F.max("threshold")).first()[0]
+    return found or 0.0
+
+
+def retrained(bank: DataFrame, classes: Sequence[str], held_out: DataFrame, copies: int = garble.COPIES, seed: int = garble.SEED) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(idf, weights, bias, threshold): a model of the bank (id, text, label) and garbled copies, its weights pruned as far as the held-out sets allow.
+
+    held_out: set, text, gold. A set `synth` of other copies of the bank is held out beside them.
+    """
+    idf, weights, bias = trained(garble.copies(bank, n=copies, seed=seed), classes, bank=bank)
+    synth = garble.copies(bank, n=3, seed=seed + 1, level=1.0).where("copy > 0").select(F.lit("synth").alias("set"), "text", F.col("label").alias("gold"))
+    lines = held_out.select("set", "text", "gold").unionByName(synth)
+    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    threshold = kept_threshold(ladder(lines, idf, weights, bias))
+    return idf, weights.where(F.abs("weight") >= threshold), bias, threshold

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +38,42 @@ def votes_or_none(lines: DataFrame, votes: DataFrame | None, keys: list[str]) ->
         return lines.withColumns({"vote_class": F.lit("other"), "vote_prob": F.lit(0.0)})
     v = votes.select(*keys, "vote_class", "vote_prob")
     return lines.join(v, keys, "left").withColumns({"vote_class": F.coalesce("vote_class", F.lit("other")), "vote_prob": F.coalesce("vote_prob", F.lit(0.0))})
+
+
+def chosen_votes(lines: DataFrame, tiers: list[tuple[str, DataFrame | None]], keys: list[str], fall_back: bool = False) -> DataFrame:
+    """lines with vote_class, vote_prob and engine: a scan's votes are those of its first model whose votes fit its lines.
+
+    tiers: models' names and votes (keys, vote_class, vote_prob), the best first, None for one that isn't
+    ready. Votes fit a scan if they are as many as its lines. Without fall_back only the first ready
+    model counts, and a scan that it doesn't fit has no votes (engine null, class `other`, 0).
+    keys begin with the scan's.
+    """
+    scan, ready = keys[0], [(n, v) for n, v in tiers if v is not None]
+    counts = lines.groupBy(scan).agg(F.count("*").alias("__lines"))
+    engine = F.lit(None).cast("string")
+    for i, (name, votes) in reversed(list(enumerate(ready if fall_back else ready[:1]))):
+        counts = counts.join(votes.groupBy(scan).agg(F.count("*").alias(f"__n{i}")), scan, "left")
+        engine = F.when(F.col(f"__n{i}") == F.col("__lines"), name).otherwise(engine)
+    df = lines.join(counts.select(scan, engine.alias("engine")), scan)
+    if ready:
+        both = reduce(DataFrame.unionByName, [v.select(*keys, F.lit(n).alias("engine"), "vote_class", "vote_prob") for n, v in ready])
+        df = df.join(both, [*keys, "engine"], "left")
+    else:
+        df = df.withColumns({"vote_class": F.lit(None).cast("string"), "vote_prob": F.lit(None).cast("double")})
+    return df.withColumns({"vote_class": F.coalesce("vote_class", F.lit("other")), "vote_prob": F.coalesce("vote_prob", F.lit(0.0))})
+
+
+#: What is said of how fields were read: by mode and, where there were votes, their engine (fixed values).
+MODES = {
+    "regex": "Regex-only path (smart assist not used).",
+    "assisted": {None: "Smart assist unavailable on this device — fell back to regex-only.", "transformer": "Smart-assist (on-device transformer) votes fused with regex validators.", "": "Smart-assist (keyword model) votes fused with regex validators."},
+    "ensemble": {None: "Smart assist unavailable — ensemble degraded to regex-only.", "transformer": "Ensemble: best-per-field of regex-only ∪ transformer-assist runs.", "": "Ensemble: best-per-field of regex-only ∪ smart-assist runs."},
+}
+
+
+def mode_note(mode: str, engine: Column) -> Column:
+    """The note of a scan read in a mode with an engine's votes (null: none)."""
+    notes = MODES[mode]
+    if isinstance(notes, str):
+        return F.lit(notes)
+    return F.when(engine.isNull(), notes[None]).when(engine == "transformer", notes["transformer"]).otherwise(notes[""])

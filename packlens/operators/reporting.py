@@ -198,3 +198,63 @@ def export_name(product_name: Column, scan_id: Column) -> Column:
     kept = F.trim(F.regexp_replace(F.coalesce(product_name, F.lit("")), r"[^A-Za-z0-9_\- ]+", ""))
     base = F.lower(F.regexp_replace(kept, " +", "_"))
     return F.concat(F.when(base == "", "product").otherwise(base), F.lit("_"), F.coalesce(scan_id.cast("string"), F.lit("scan")), F.lit(".csv"))
+
+
+#: Lines of a scan's report and their order (fixed values): what a verdict is called, its meaning, and the declared fields.
+VERDICT_LABELS = {"compliant": "COMPLIANT", "nonCompliant": "NON-COMPLIANT", None: "NEEDS REVIEW"}
+VERDICT_COLOURS = {"compliant": "#1B5E20", "nonCompliant": "#C1272D", None: "#B7791F"}
+HEADER = ("Legal Metrology (Packaged Commodities) Rules, 2011", "Compliance Inspection Report")
+SEMANTICS = "Verdict semantics: FAIL = proven violation on an adequate capture. UNVERIFIED = capture too weak to prove absence — retake, don't penalise."
+DECLARED = [
+    ("Generic name", "genericName"), ("Brand", "brand"), ("Net quantity", "netQty"), ("MRP", "mrp"), ("Mfg / Pack date", "mfg"), ("Expiry / Best-before", "exp"), ("Manufacturer", "manufacturer"),
+    ("Care phone", "carePhone"), ("Care email", "careEmail"), ("Country of origin", "origin"), ("Batch / lot", "batch"), ("FSSAI Lic. No.", "fssai"),
+]
+SIGNATURE = "Officer signature: ____________________________"
+EVIDENCE_CUT, NONE = 140, "—"
+
+
+def report_rows(scans: DataFrame, observed: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows of each scan's report in order: scan_id, row_no, section, code, clause, text, colour.
+
+    scans: id, product_name, category, verdict, score, created_at, photo_count, mean_confidence and, where
+    there are such, officer_name, image_urls, checked_at. observed: one value a scan_id and field. results:
+    scan_id, rule_seq, code, clause, status, message, evidence, photo_index. What is missing or '' is a dash;
+    evidence is cut to 140 characters. A scan's rows are made of one row, as long as its results and photos.
+    """
+    text = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(NONE))
+    maybe = lambda n, kind="string": F.col(n) if n in scans.columns else F.lit(None).cast(kind)
+    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    values = observed.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("__values"))
+    order = F.struct("rule_seq", "code", "status", "message", "evidence", "photo_index", "clause")
+    found = results.groupBy("scan_id").agg(F.sort_array(F.collect_list(order)).alias("__results"))
+    df = scans.withColumnRenamed("id", "scan_id").join(values, "scan_id", "left").join(found, "scan_id", "left")
+    blank = F.lit(None).cast("string")
+    row = lambda section, t, code=blank, clause=blank, colour=blank: F.struct(F.lit(section).alias("section"), code.alias("code"), clause.alias("clause"), t.alias("text"), colour.alias("colour"))
+    of_verdict = lambda named: F.when(F.col("verdict") == "compliant", named["compliant"]).when(F.col("verdict") == "nonCompliant", named["nonCompliant"]).otherwise(named[None])
+    header = [
+        *map(F.lit, HEADER),
+        F.concat(F.lit("Product: "), F.coalesce("product_name", F.lit("")), F.lit("   |   Category: "), F.coalesce("category", F.lit(""))),
+        F.concat(F.lit("Officer: "), text(maybe("officer_name")), F.lit("   |   Date: "), F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit(NONE))),
+        F.concat(F.lit("Scan ID: "), F.col("scan_id").cast("string"), F.lit("   |   Photos: "), F.coalesce(F.col("photo_count").cast("string"), F.lit("0"))),
+    ]
+    verdict = F.concat(of_verdict(VERDICT_LABELS), F.lit("  •  Score "), number(F.col("score")), F.lit("/100"))
+    declared = [F.concat(F.lit(f"{label}: "), text(F.try_element_at("__values", F.lit(field)))) for label, field in DECLARED]
+
+    def finding(r: Column) -> Column:
+        evidence = F.when(F.coalesce(r["evidence"], F.lit("")) != "", F.concat(F.lit(" ["), F.substring(r["evidence"], 1, EVIDENCE_CUT), F.lit("]"))).otherwise("")
+        photo = F.when(r["photo_index"].isNotNull(), F.concat(F.lit(" (photo "), (r["photo_index"] + 1).cast("string"), F.lit(")"))).otherwise("")
+        said = F.concat(F.upper(F.coalesce(r["status"], F.lit(""))), F.lit(" — "), F.coalesce(r["message"], F.lit("")), evidence, photo)
+        return row("findings", said, F.coalesce(r["code"], F.lit("")), F.coalesce(r["clause"], F.lit("")))
+
+    urls = F.coalesce(maybe("image_urls", "array<string>"), F.array().cast("array<string>"))
+    photos = F.when(F.size(urls) == 0, F.array(row("photos", F.lit("No photo URLs stored.")))).otherwise(F.transform(urls, lambda u, i: row("photos", F.concat(F.lit("Photo "), (i + 1).cast("string"), F.lit(": "), F.coalesce(u, F.lit(""))))))
+    generated = F.concat(F.lit("Generated by the compliance server • reportJson checkedAt: "), text(maybe("checked_at")), F.lit(" • meanConfidence: "), F.coalesce(number(F.col("mean_confidence")), F.lit(NONE)))
+    parts = [
+        F.array(*[row("header", t) for t in header], row("verdict", verdict, colour=of_verdict(VERDICT_COLOURS)), row("verdict", F.lit(SEMANTICS)), row("declared", F.lit("Declared values (as extracted on device)")), *[row("declared", t) for t in declared]),
+        F.array(row("findings", F.lit("Rule findings")), row("findings", F.lit("Status / evidence"), F.lit("Code"), F.lit("Clause"))),
+        F.transform(F.coalesce("__results", F.expr("array()").cast(found.schema["__results"].dataType)), finding),
+        F.array(row("photos", F.lit("Photo evidence (reference URLs)"))),
+        photos,
+        F.array(row("signature", F.lit(SIGNATURE)), row("signature", generated)),
+    ]
+    return df.select("scan_id", F.posexplode(F.concat(*parts)).alias("row_no", "r")).select("scan_id", "row_no", "r.*")

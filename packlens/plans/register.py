@@ -1,6 +1,7 @@
 """All queries of the engine and their SQL."""
 
-from packlens.plans import label_queries, photo_queries, reports
+from packlens.plans import label_queries, model_queries, photo_queries, reports
 
-QUERIES = {**reports.QUERIES, **label_queries.QUERIES, **photo_queries.QUERIES}
-ORACLE_SQL = {**reports.ORACLE_SQL, **label_queries.ORACLE_SQL, **photo_queries.ORACLE_SQL}
+_ALL = (reports, label_queries, photo_queries, model_queries)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
