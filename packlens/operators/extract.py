@@ -56,15 +56,48 @@ def after_label(df: DataFrame) -> Column:
     return F.when(F.col("voted"), F.col("text")).when(F.trim(full) != "", full).otherwise(F.expr(after.format("element_at(split(label, ' '), -1)")))
 
 
-def attempts(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Texts to read a value from for each hit: the rest of its line, then the photo's nearby lines."""
-    own = found.select(*KEYS, F.col("line_no").alias("hit_seq") if "hit_seq" not in found.columns else F.col("hit_seq"), "strength", "label", F.col("text").alias("label_text"), F.lit(-1).alias("attempt_seq"), F.lit(1.0).alias("prox"), F.lit("same_line_right").alias("relationship"), after_label(found).alias("attempt"), F.col("conf").alias("ocr"))
-    other = lines.select(*KEYS, F.col("line_no").alias("attempt_seq"), F.col("text").alias("attempt"), F.col("conf").alias("ocr"), F.col("cy").alias("other_cy"))
-    hit = found.select(*KEYS, "line_no", F.col("line_no").alias("hit_seq") if "hit_seq" not in found.columns else F.col("hit_seq"), "strength", "label", F.col("text").alias("label_text"), "cy")
-    near = hit.join(other, KEYS).where((F.col("line_no") != F.col("attempt_seq")) & (F.abs(F.col("other_cy") - F.col("cy")) < 0.07) & (F.trim("attempt") != ""))
-    row = F.abs(F.col("other_cy") - F.col("cy")) < 0.03
-    near = near.withColumn("prox", F.when(row, 0.95).otherwise(0.75)).withColumn("relationship", F.when(row, "same_row").otherwise("nearby"))
-    return own.unionByName(near.select(*own.columns))
+def hits_of(field: str) -> Column:
+    """An array of the line's hit of the field (field, hit_seq, strength, label, voted), or of none; each pattern is read once."""
+    patterns = L.LABELS[field]
+    texts = F.array(*[F.regexp_extract("text", L.java(p), 0) for p, _ in patterns])
+    strengths = F.array(*[F.lit(float(s)) for _, s in patterns])
+    found = F.filter(F.transform(texts, lambda x, i: F.struct(F.get(strengths, i).alias("strength"), (-i).alias("order"), x.alias("label"))), lambda x: x["label"] != "")
+    none = F.array().cast("array<struct<field:string,hit_seq:long,strength:double,label:string,voted:boolean>>")
+    hit = lambda strength, label, voted: F.array(F.struct(F.lit(field).alias("field"), F.col("line_no").cast("long").alias("hit_seq"), strength.alias("strength"), label.alias("label"), voted.alias("voted")))
+
+    def of(best: Column) -> Column:
+        by_vote = F.coalesce((F.col("vote_class") == L.CLASSES[field]) & (F.col("vote_prob") >= L.VOTE_THRESHOLD) & (F.col("vote_prob") > F.coalesce(best["strength"], F.lit(0.0))), F.lit(False))
+        return F.when(by_vote, hit(F.col("vote_prob"), F.col("text"), F.lit(True))).when(best.isNotNull(), hit(best["strength"], best["label"], F.lit(False))).otherwise(none)
+
+    return F.transform(F.array(F.array_max(found)), of)[0]
+
+
+def after(label: Column, text: Column, voted: Column) -> Column:
+    """after_label for columns of any name."""
+    rest = lambda x: F.when(F.instr(F.lower(text), F.lower(x)) > 0, text.substr(F.instr(F.lower(text), F.lower(x)) + F.length(x), F.length(text))).otherwise("")
+    return F.when(voted, text).when(F.trim(rest(label)) != "", rest(label)).otherwise(rest(F.element_at(F.split(label, " "), -1)))
+
+
+def attempts(lines: DataFrame) -> DataFrame:
+    """Texts to read a value from for each hit in lines' `hits`: the rest of its line, then the photo's nearby lines.
+
+    A photo's lines are gathered once, whatever the fields; a photo bounds them.
+    """
+    item = F.struct("line_no", "text", "conf", "cy", "hits")
+    df = lines.groupBy(*KEYS).agg(F.sort_array(F.collect_list(item)).alias("ls")).where(F.exists("ls", lambda x: F.size(x["hits"]) > 0))
+
+    def tried(h: Column, x: Column, seq: Column, prox: Column, relationship: Column, text: Column, conf: Column) -> Column:
+        return F.struct(*[h[n].alias(n) for n in ("field", "hit_seq", "strength", "label")], x["text"].alias("label_text"), seq.cast("long").alias("attempt_seq"), prox.alias("prox"), relationship.alias("relationship"), text.alias("attempt"), conf.alias("ocr"))
+
+    def of(x: Column, h: Column) -> Column:
+        own = tried(h, x, F.lit(-1), F.lit(1.0), F.lit("same_line_right"), after(h["label"], x["text"], h["voted"]), x["conf"])
+        row = lambda o: F.abs(o["cy"] - x["cy"]) < 0.03
+        near = F.filter("ls", lambda o: (o["line_no"] != x["line_no"]) & (F.abs(o["cy"] - x["cy"]) < 0.07) & (F.trim(o["text"]) != ""))
+        others = F.transform(near, lambda o: tried(h, x, o["line_no"], F.when(row(o), 0.95).otherwise(0.75), F.when(row(o), "same_row").otherwise("nearby"), o["text"], o["conf"]))
+        return F.concat(F.array(own), others)
+
+    every = F.flatten(F.transform(F.filter("ls", lambda x: F.size(x["hits"]) > 0), lambda x: F.flatten(F.transform(x["hits"], lambda h: of(x, h)))))
+    return df.select(*KEYS, F.explode(every).alias("t")).select(*KEYS, "t.*")
 
 
 def first_best(candidates: DataFrame, field: str, *order: str) -> DataFrame:
@@ -81,79 +114,129 @@ def shaped(df: DataFrame, field: str) -> DataFrame:
     return df.withColumn("field", F.lit(field)).select(*OUT)
 
 
-def or_label_only(best: DataFrame, found: DataFrame, field: str) -> DataFrame:
-    """The best candidates, and for photos with a label but no candidate an unverified 0.5 with the first label."""
-    w = Window.partitionBy(*KEYS).orderBy("line_no")
-    first = found.withColumn("rn", F.row_number().over(w)).where("rn = 1").join(best.select(*KEYS), KEYS, "left_anti")
-    only = first.select(*KEYS, "label").withColumn("status", F.lit("unverified")).withColumn("confidence", F.lit(0.5)).withColumn("relationship", F.lit("label_only"))
-    return best.unionByName(shaped(only, field))
+CANDIDATE = "array<struct<value:string,number:double,unit:string,confidence:double,match_no:int>>"
 
 
-ORDER = ["hit_seq", "attempt_seq"]
+def candidate(value: Column, confidence: Column, when: Column, number: Column | None = None, unit: Column | None = None) -> Column:
+    """An array of what an attempt gives for its field, or of nothing."""
+    none = F.lit(None)
+    one = F.struct(value.alias("value"), (none if number is None else number).cast("double").alias("number"), (none if unit is None else unit).cast("string").alias("unit"), confidence.alias("confidence"), F.lit(0).alias("match_no"))
+    return F.when(when, F.array(one)).otherwise(F.array().cast(CANDIDATE)).cast(CANDIDATE)
 
 
-def net_quantity(lines: DataFrame) -> DataFrame:
-    """Labelled quantities; also NET wrapped over two lines, or alone; never in a serving's context."""
-    lines = with_votes(lines)
-    found = hits(lines, "netQty").withColumn("hit_seq", F.col("line_no"))
-    w = Window.partitionBy(*KEYS, "block_no").orderBy("line_no")
-    nexts = lines.withColumns({"is_net": F.col("text").rlike(r"(?i)^\s*net\s*$"), "before": F.lag("text").over(w), "after": F.lead("text").over(w)})
-    wrap = r"(?i)^\s*(weight|wt\.?|qty\.?|quantity|contents?)(?![A-Za-z0-9_])"
-    wrapped = nexts.where(F.col("before").rlike(r"(?i)^\s*net\s*$") & F.col("text").rlike(wrap)).withColumn("strength", F.lit(0.9)).withColumn("label", F.concat(F.lit("NET "), F.trim("text")))
-    lone = nexts.where(F.col("is_net") & ~F.coalesce(F.col("after").rlike(wrap), F.lit(False))).withColumn("strength", F.lit(0.85)).withColumn("label", F.lit("NET"))
-    extra = wrapped.unionByName(lone).withColumn("voted", F.lit(False)).withColumn("hit_seq", F.col("line_no") + 100_000).drop("is_net", "before", "after")
-    tried = attempts(lines, found.unionByName(extra)).where((F.trim("attempt") != "") & ~F.col("attempt").rlike("(?i)" + L.SERVING))
+def bound(values: list[Column], body) -> Column:
+    """body of values that are computed once each."""
+    return F.transform(F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])), lambda x: body(*[x[f"v{i}"] for i in range(len(values))]))[0]
+
+
+def quantity_of() -> Column:
+    """Quantities, never in a serving's context."""
     rx = L.java(L.QUANTITY)
+    fits = (F.trim("attempt") != "") & ~F.col("attempt").rlike("(?i)" + L.SERVING)
     number = F.regexp_replace(F.regexp_extract("attempt", rx, 1), ",", ".").try_cast("double")
     unit = F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.lower(F.regexp_extract("attempt", rx, 2)))
-    df = tried.withColumn("number", number).withColumn("unit", unit).where(F.col("unit").isNotNull() & (F.col("number") > 0) & (F.col("number") < 1e6))
-    df = df.withColumn("confidence", blend(F.col("strength") * F.col("prox"), F.col("ocr"))).withColumn("value", F.concat_ws(" ", F.col("number").cast("string"), "unit"))
-    return first_best(df, "netQty", *ORDER)
+    confidence = blend(F.col("strength") * F.col("prox"), F.col("ocr"))
+    return bound([number, unit], lambda n, u: candidate(F.concat_ws(" ", n.cast("string"), u), confidence, F.coalesce(fits & u.isNotNull() & (n > 0) & (n < 1e6), F.lit(False)), n, u))
 
 
-def price(lines: DataFrame) -> DataFrame:
-    """Labelled prices, prices by unit in brackets and long digit runs excluded; a label alone is unverified."""
-    lines = with_votes(lines)
-    found = hits(lines, "mrp")
+def price_of() -> Column:
+    """Prices; those by unit in brackets and long digit runs don't count."""
     text, rx = F.regexp_replace("attempt", "(?-i)" + L.PER_UNIT, " "), "(?i)" + L.PRICE
-    currency, whole, part = (F.regexp_extract(text, rx, i) for i in (1, 2, 3))
-    whole = F.regexp_replace(whole, ",", "")
-    df = attempts(lines, found).withColumns({"currency": currency, "whole": whole, "part": part})
-    number = F.when(F.col("part") != "", F.concat_ws(".", "whole", "part")).otherwise(F.col("whole")).try_cast("double")
-    df = df.withColumn("number", number).where((F.col("whole") != "") & ~F.col("whole").rlike(r"^\d{8,}$") & (F.col("number") > 0) & (F.col("number") <= 1e6))
-    pattern = F.when(F.col("currency") != "", 0.95).when((F.col("part") != "") | F.col("label_text").rlike("(?i)" + L.CURRENCY), 0.9).otherwise(0.8)
-    df = df.withColumn("confidence", blend(F.col("strength") * (pattern * F.col("prox")), F.col("ocr")))
-    df = df.withColumn("value", F.concat(F.lit("₹"), F.when(F.col("number") % 1 == 0, F.col("number").cast("long").cast("string")).otherwise(F.format_string("%.2f", "number"))))
-    return or_label_only(first_best(df, "mrp", *ORDER), found, "mrp")
 
+    def read(t: Column) -> Column:
+        return bound([F.regexp_extract(t, rx, 1), F.regexp_replace(F.regexp_extract(t, rx, 2), ",", ""), F.regexp_extract(t, rx, 3)], judged)
 
-def batch(lines: DataFrame) -> DataFrame:
-    lines = with_votes(lines)
-    found = hits(lines, "batch")
+    def judged(currency: Column, whole: Column, part: Column) -> Column:
+        pattern = F.when(currency != "", 0.95).when((part != "") | F.col("label_text").rlike("(?i)" + L.CURRENCY), 0.9).otherwise(0.8)
+        confidence = blend(F.col("strength") * (pattern * F.col("prox")), F.col("ocr"))
+        value = lambda n: F.concat(F.lit("₹"), F.when(n % 1 == 0, n.cast("long").cast("string")).otherwise(F.format_string("%.2f", n)))
+        number = F.when(part != "", F.concat_ws(".", whole, part)).otherwise(whole).try_cast("double")
+        return bound([number], lambda n: candidate(value(n), confidence, F.coalesce((whole != "") & ~whole.rlike(r"^\d{8,}$") & (n > 0) & (n <= 1e6), F.lit(False)), n))
+
+    return bound([text], read)
+
+
+def batch_of() -> Column:
     words = F.regexp_extract_all("attempt", F.lit(L.java(L.BATCH)), F.lit(1))
-    df = attempts(lines, found).select("*", F.posexplode(words).alias("match_no", "value"))
-    v = F.col("value")
-    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    low = F.lower(F.regexp_replace(v, r"[\-/]", ""))
-    df = df.where(~low.isin(L.BATCH_STOP) & (digits > 0) & ((digits >= 2) | (F.length(v) >= 5)) & ~v.rlike("[./]") & ~v.rlike(r"^\d{8,}$"))
     weight = F.when(F.col("relationship") == "same_line_right", 1.0).otherwise(0.95)
-    df = df.withColumn("confidence", blend(F.col("strength") * F.col("prox") * weight, F.col("ocr")))
-    return or_label_only(first_best(df, "batch", *ORDER, "match_no"), found, "batch")
+    confidence = blend(F.col("strength") * F.col("prox") * weight, F.col("ocr"))
 
+    def fits(v: Column) -> Column:
+        digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
+        return ~F.lower(F.regexp_replace(v, r"[\-/]", "")).isin(L.BATCH_STOP) & (digits > 0) & ((digits >= 2) | (F.length(v) >= 5)) & ~v.rlike("[./]") & ~v.rlike(r"^\d{8,}$")
 
-def date(lines: DataFrame, field: str) -> DataFrame:
-    """field: mfg or exp. The matched text is kept as it is; only numeric dates are checked for sense."""
-    lines = with_votes(lines)
-    found = hits(lines, field)
+    of = F.transform(words, lambda v, i: F.struct(v.alias("value"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("unit"), confidence.alias("confidence"), i.alias("match_no")))
+    return F.filter(of, lambda c: fits(c["value"])).cast(CANDIDATE)
+
+
+def date_of() -> Column:
+    """The matched text is kept as it is; only numeric dates are checked for sense."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("attempt", r"\(.*", ""), r"[^0-9./\-A-Za-z ]", " "), r"\s+", " "))
     number, word = L.java(L.DATE_NUMBER, False), L.java(L.DATE_WORD)
-    df = attempts(lines, found).withColumn("clean", clean)
-    df = df.withColumn("numeric", F.regexp_extract("clean", number, 0)).withColumn("value", F.when(F.col("numeric") != "", F.col("numeric")).otherwise(F.regexp_extract("clean", word, 0)))
-    year = F.regexp_extract("clean", number, 3).try_cast("int")
-    year = F.when(year >= 100, year).when(year <= 49, year + 2000).otherwise(year + 1900)
-    df = df.where((F.col("value") != "") & ((F.col("numeric") == "") | year.between(1990, 2045)))
-    df = df.withColumn("confidence", blend(F.col("strength") * F.col("prox"), F.col("ocr")))
-    return or_label_only(first_best(df, field, *ORDER), found, field)
+    confidence = blend(F.col("strength") * F.col("prox"), F.col("ocr"))
+
+    def read(t: Column) -> Column:
+        year = F.regexp_extract(t, number, 3).try_cast("int")
+        year = F.when(year >= 100, year).when(year <= 49, year + 2000).otherwise(year + 1900)
+        numeric = F.regexp_extract(t, number, 0)
+        return bound([numeric, F.when(numeric != "", numeric).otherwise(F.regexp_extract(t, word, 0))], lambda x, value: candidate(value, confidence, F.coalesce((value != "") & ((x == "") | year.between(1990, 2045)), F.lit(False))))
+
+    return bound([clean], read)
+
+
+#: How an attempt at each labelled field is read, and fields that a label alone leaves unverified.
+READERS = {"netQty": quantity_of, "mrp": price_of, "batch": batch_of, "mfg": date_of, "exp": date_of}
+LABEL_ONLY = ["mrp", "batch", "mfg", "exp"]
+
+
+def net_hits(lines: DataFrame) -> DataFrame:
+    """lines with the further hits of net quantity: NET wrapped over two lines, or alone."""
+    w = Window.partitionBy(*KEYS, "block_no").orderBy("line_no")
+    wrap, net = r"(?i)^\s*(weight|wt\.?|qty\.?|quantity|contents?)(?![A-Za-z0-9_])", r"(?i)^\s*net\s*$"
+    df = lines.withColumns({"__before": F.lag("text").over(w), "__after": F.lead("text").over(w)})
+    wrapped = F.coalesce(F.col("__before").rlike(net) & F.col("text").rlike(wrap), F.lit(False))
+    lone = F.coalesce(F.col("text").rlike(net) & ~F.coalesce(F.col("__after").rlike(wrap), F.lit(False)), F.lit(False))
+    hit = lambda strength, label: F.struct(F.lit("netQty").alias("field"), (F.col("line_no") + 100_000).cast("long").alias("hit_seq"), F.lit(strength).alias("strength"), label.alias("label"), F.lit(False).alias("voted"))
+    more = F.array_compact(F.array(F.when(wrapped, hit(0.9, F.concat(F.lit("NET "), F.trim("text")))), F.when(lone, hit(0.85, F.lit("NET")))))
+    return df.withColumn("hits", F.concat("hits", more)).drop("__before", "__after")
+
+
+def labelled(lines: DataFrame, *fields: str) -> DataFrame:
+    """Observations of labelled fields, one a photo and field: lines are read once for the hits of all fields and shuffled once.
+
+    The candidate of highest confidence wins, the first in order of equals; a label without a candidate is
+    unverified at 0.5, where LABEL_ONLY has its field.
+    """
+    df = with_votes(lines).withColumn("hits", F.concat(*[hits_of(f) for f in fields]))
+    df = attempts(net_hits(df) if "netQty" in fields else df)
+    found = F.array().cast(CANDIDATE)
+    for f in fields:
+        found = F.when(F.col("field") == f, READERS[f]()).otherwise(found)
+    df = df.select(*KEYS, "field", "hit_seq", "attempt_seq", "label", "relationship", F.explode_outer(found).alias("c")).select(*KEYS, "field", "hit_seq", "attempt_seq", "label", "relationship", "c.*")
+    w = Window.partitionBy(*KEYS, "field").orderBy(F.desc_nulls_last("confidence"), "hit_seq", "attempt_seq", "match_no")
+    df = df.withColumn("rn", F.row_number().over(w)).where("rn = 1").where(F.col("confidence").isNotNull() | F.col("field").isin(LABEL_ONLY))
+    only = F.col("confidence").isNull()
+    df = df.withColumn("relationship", F.when(only, "label_only").otherwise(F.col("relationship"))).withColumn("status", F.when(only, "unverified").otherwise(status_of(F.col("confidence"))))
+    return df.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).select(*OUT)
+
+
+def net_quantity(lines: DataFrame) -> DataFrame:
+    """Labelled quantities; also NET wrapped over two lines, or alone; never in a serving's context."""
+    return labelled(lines, "netQty")
+
+
+def price(lines: DataFrame) -> DataFrame:
+    """Labelled prices; a label alone is unverified."""
+    return labelled(lines, "mrp")
+
+
+def batch(lines: DataFrame) -> DataFrame:
+    return labelled(lines, "batch")
+
+
+def date(lines: DataFrame, field: str) -> DataFrame:
+    """field: mfg or exp."""
+    return labelled(lines, field)
 
 
 def block_text(lines: DataFrame) -> DataFrame:
@@ -322,7 +405,7 @@ def identity(lines: DataFrame) -> DataFrame:
 def product(lines: DataFrame) -> DataFrame:
     """All fields of every photo that have an observation."""
     parts = [
-        identity(lines), net_quantity(lines), price(lines), batch(lines), date(lines, "mfg"), date(lines, "exp"), manufacturer(lines), phone(lines), email(lines), fssai(lines), origin(lines), barcode(lines),
+        identity(lines), labelled(lines, *READERS), manufacturer(lines), phone(lines), email(lines), fssai(lines), origin(lines), barcode(lines),
         block_field(lines, "ingredients", r"^\s*ingredients?(?![A-Za-z0-9_])", "ingredients"), block_field(lines, "allergen", r"allergen|contains:", "allergen"),
     ]
     return reduce(DataFrame.unionByName, parts)

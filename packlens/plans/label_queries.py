@@ -210,6 +210,19 @@ def extract_product(spark: SparkSession, d: str) -> DataFrame:
     return extract.product(A.label_lines(spark, d))
 
 
+#: Each field's own SQL, for all fields at once; the label lines have no ingredients and no allergens.
+PRODUCT = " UNION ALL ".join(
+    [f"SELECT scan_id, photo, '{field}' AS field, status, confidence FROM ({ORACLE_SQL[name]})" for field, name in {"netQty": "extract_net_qty", "mrp": "extract_mrp", "batch": "extract_batch", "mfg": "extract_mfg_date", "exp": "extract_exp_date", "manufacturer": "extract_manufacturer", "carePhone": "extract_phone", "careEmail": "extract_email", "fssai": "extract_fssai", "origin": "extract_origin", "barcode": "extract_barcode"}.items()]
+    + [f"SELECT scan_id, 0 AS photo, field, status, confidence FROM ({ORACLE_SQL['extract_identity']})"]
+)
+
+
+@query(PRODUCT)
+def product_fields(spark: SparkSession, d: str) -> DataFrame:
+    """All fields of every label in one plan, against a union of each field's SQL."""
+    return extract.product(A.label_lines(spark, d)).select("scan_id", "photo", "field", "status", "confidence")
+
+
 @query()
 def label_reports(spark: SparkSession, d: str) -> DataFrame:
     """Lines to fields to rules to verdicts, end to end."""
