@@ -127,6 +127,43 @@ def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     return near.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
 
 
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(rid, rid2, text) of docs, as far as can be told those that are needed."""
+    texts = docs.select(base.row_key(base.text_of()).alias("rid"), base.row_key2(base.text_of()).alias("rid2"), "text")
+    return base.only_keys(texts, base.keep(needed.select("rid").distinct(), "rids"), "rid")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Pairs whose whole shingle sets reach the similarity; a text goes once to each class it is compared with."""
+    percent = round(100 * similarity)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, own, waiting = None, None, []
+        for batch in batches:
+            offsets, data = npwords.text_bytes(batch.column("text"))
+            units, cs = batch.column("unit").to_pylist(), batch.column("c").to_pylist()
+            a, b = [], []
+            for i, _, firsts, h in npwords.rows(offsets, data):
+                for k, s in enumerate(npwords.shingles(firsts, h, width), i):
+                    s = np.unique(s)
+                    if units[k] != unit:
+                        unit, own, waiting = units[k], None, []
+                    if cs[k] == unit:  # comes first
+                        own = s
+                    elif own is not None:
+                        common = len(own) + len(s) - len(np.unique(np.concatenate([own, s])))
+                        if 100 * common >= percent * (len(own) + len(s) - common):
+                            a.append(unit)
+                            b.append(cs[k])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    needed = pairs.select(F.col("a").alias("unit"), F.col("b").alias("c")).unionByName(pairs.select(F.col("a").alias("unit"), F.col("a").alias("c")).distinct())
+    rows = base.keep(needed.join(classes.select("c", "rid", "rid2"), "c"), "needed")
+    rows = rows.join(texts_of(docs, rows), ["rid", "rid2"]).select("unit", "c", (F.col("c") != F.col("unit")).alias("other"), "text")
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "other", "c")
+    return rows.select("unit", "c", "text").mapInArrow(linked, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = base.SIMILARITY, width: int = base.SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, rid and rid2 (see base), group and group2 for every row of docs (doc_id, text).
 
@@ -137,22 +174,19 @@ def near_duplicates(docs: DataFrame, similarity: float = base.SIMILARITY, width:
     others. An empty table gives no rows; other columns are ignored. Shingles are compared by 64-bit
     hashes, whole sets and rows by 128 bits; a link between sketches is missed with a chance under 1e-7.
     """
-    percent = round(100 * similarity)
     all_docs = base.keep(sketches(docs, width), "sketches")
-    classes = all_docs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = all_docs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("rid", "rid2")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = classes.select("s1", "s2", "doc_id", "row.*", "n_shingles", "sketch")
     # ids of the written rows: unlike a part of the set's hash, no two classes can share one
     classes = base.keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     listed = base.keep(lists(classes, similarity), "lists")
     pairs = base.keep(estimated(first_pairs(listed), classes, similarity), "pairs")
-    # sets of whatever may be compared: classes of pairs, and of long lists, whose members may have to be searched
-    compared = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(listed.where(F.col("df") > SHORT).select("c")).distinct()
-    wanted = base.keep(classes.drop("sketch").join(compared, "c"), "wanted")
-    sets = shinglesets.stored_sets(docs, wanted, width)
-    links = base.keep(shinglesets.verified(pairs, sets, percent).distinct(), "links")
+    links = base.keep(verified(pairs, classes, docs, similarity, width), "links")
     roots = components(links)
     members = base.keep(clusters(listed, roots), "clustered")
     if not members.isEmpty():
-        more = base.keep(shinglesets.across(members, sets, percent), "more_links")
+        wanted = base.keep(classes.select("c", "n_shingles", "s1", "s2", "rid").join(members.select("c").distinct(), "c"), "wanted")
+        more = base.keep(shinglesets.across(members, shinglesets.stored_sets(docs, wanted, width), round(100 * similarity)), "more_links")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = classes.select("s1", "s2", "doc_id", "c").join(roots, F.col("c") == F.col("node"), "left").select("s1", "s2", "doc_id", F.coalesce("root", "c").alias("group"))
     smallest = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))

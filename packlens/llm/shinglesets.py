@@ -18,7 +18,7 @@ from packlens.llm import base, npwords
 
 #: Shingles of one side of a unit that are compared with another block in one task; less are cut into up to SPLIT
 #: blocks of SPLIT_SHINGLES all the same, so that a cluster is compared in several tasks.
-BLOCK_SHINGLES, SPLIT, SPLIT_SHINGLES = 1 << 20, 8, 1 << 14
+BLOCK_SHINGLES, SPLIT, SPLIT_SHINGLES = 1 << 20, 4, 1 << 14
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -134,14 +134,13 @@ def across(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK
     main = sizes.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("x")).select("cluster", F.col("x.root").alias("main"))
     rows = rows.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main"))
     parts = F.greatest(F.ceil(F.sum("n") / block), F.least(F.lit(SPLIT), F.ceil(F.sum("n") / SPLIT_SHINGLES)))
-    blocks = lambda df, name: df.groupBy("cluster", "band").agg(parts.alias(name))
-    # log() may put a bound on either side: two steps are allowed where one is enough
-    near = blocks(rows.where("outside"), "xs").select("cluster", F.col("band").alias("x"), "xs", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("y"))
-    units = base.keep(near.join(blocks(rows, "ys").withColumnRenamed("band", "y"), ["cluster", "y"]), "units")
+    blocks = lambda df, name: df.groupBy("cluster", "y").agg(parts.alias(name))
+    reach = rows.where("outside").withColumn("y", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    units = base.keep(blocks(reach, "xs").join(blocks(rows.withColumnRenamed("band", "y"), "ys"), ["cluster", "y"]), "units")
     own = lambda n: F.pmod(F.xxhash64("c"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    first = rows.where("outside").join(units, (rows.cluster == units.cluster) & (rows.band == units.x)).select(units.cluster, "x", "y", own(F.col("xs")).alias("i"), every("ys").alias("j"), F.lit(True).alias("outside"), "c", "root")
-    second = rows.join(units, (rows.cluster == units.cluster) & (rows.band == units.y)).select(units.cluster, "x", "y", every("xs").alias("i"), own(F.col("ys")).alias("j"), F.lit(False).alias("outside"), "c", "root")
-    dealt = base.keep(first.unionByName(second).select(F.xxhash64("cluster", "x", "y", "i", "j").alias("unit"), "outside", "c", "root"), "dealt")
+    first = reach.join(units, ["cluster", "y"]).select("cluster", "y", own(F.col("xs")).alias("i"), every("ys").alias("j"), F.lit(True).alias("outside"), "c", "root")
+    second = rows.withColumnRenamed("band", "y").join(units, ["cluster", "y"]).select("cluster", "y", every("xs").alias("i"), own(F.col("ys")).alias("j"), F.lit(False).alias("outside"), "c", "root")
+    dealt = base.keep(first.unionByName(second).select(F.xxhash64("cluster", "y", "i", "j").alias("unit"), "outside", "c", "root"), "dealt")
     dealt = dealt.join(sets.select("c", "set"), "c").repartition("unit").sortWithinPartitions("unit", "outside")
     return dealt.select("unit", "outside", "c", "root", "set").mapInArrow(compared, "a long, b long").distinct()
