@@ -389,7 +389,7 @@ def fitter(shared, kind: type, steps: int, most: float):
 
 
 def fitted(pieces: DataFrame, model: Attention, kind: type, steps: int, shard_windows: int = SHARD) -> Attention:
-    """The model fitted on all pieces. The driver gets one row a weight; sums of longs don't depend on their order."""
+    """The model fitted on all pieces. The driver gets one row a weight; sums of whole numbers don't depend on their order."""
     spark = pieces.sparkSession
     # equal pieces, of copies, are learnt once with their number as weight
     pieces = base.keep(pieces.groupBy("piece", "n", "ids").agg(F.count("*").alias("copies")), "pieces")
@@ -400,9 +400,10 @@ def fitted(pieces: DataFrame, model: Attention, kind: type, steps: int, shard_wi
         if n and (shards > 1 or where == "shard = 0"):
             shared = spark.sparkContext.broadcast(model)
             sums = dealt.where(where).groupBy("shard").applyInArrow(fitter(shared, kind, least, most), "at long, sum long")
-            sums = sums.groupBy("at").agg(F.sum("sum").alias("sum")).toArrow().sort_by("at")["sum"].to_numpy()
-            if len(sums):
-                model, flat, used = copy.copy(model), sums[1:] / sums[0] * UNIT, 0
+            # a shard's sums fit longs; those of all shards, which the input sizes, are kept in 38 digits
+            sums = sums.groupBy("at").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).toArrow().sort_by("at")["sum"].to_pylist()
+            if sums:
+                model, flat, used = copy.copy(model), np.array([float(x) for x in sums[1:]]) / float(sums[0]) * UNIT, 0
                 p = {}
                 for k in sorted(model.p):
                     x = model.p[k]

@@ -168,3 +168,25 @@ def test_score_against_a_loop_over_ids():
         want += math.log10(softmax(z @ p["u1"] + p["c1"])[group] * softmax(z @ p["u2"][group] + p["c2"][group])[own]) + float(model.within[goal])
     got = lmscore.model_scores(model, model.tables(), np.array([len(ids)]), ids, subwords.end)[0]
     assert abs(got - want) < 1e-3 * abs(want)
+
+
+def test_the_model_beats_a_unigram_on_held_out_text(spark):
+    """On the test tables' documents, over the same ids: log10 a token of held-out text against add-one counts of training ids."""
+    pd = pytest.importorskip("pandas")
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    rows = [(int(d), t) for d, t in pd.read_parquet(path)[["doc_id", "text"]].itertuples(index=False)]
+    score = {r.doc_id: r.score for r in run(spark, rows)}
+    subwords = lmscore.Subwords(Path(lmscore.TOKENIZER).read_bytes())
+    ids = {}
+    for d, t in rows:
+        _, own = subwords.ids([w.encode() for w in words(t)]) if words(t) else (None, np.zeros(0, int))
+        ids[d] = [*own.tolist(), subwords.end]
+    counts = Counter(i for d in ids if not is_held_out(d) for i in ids[d])
+    total = sum(counts.values()) + subwords.size
+    held = [d for d in ids if is_held_out(d)]
+    n = sum(len(words(t)) + 1 for d, t in rows if is_held_out(d))
+    model, unigram = sum(score[d] for d in held) / n, sum(math.log10((counts[i] + 1) / total) for d in held for i in ids[d]) / n
+    print(f"log10 a token of held-out text: model {model:.3f}, unigram {unigram:.3f}")
+    assert len(held) > 15 and model > unigram + 0.2
