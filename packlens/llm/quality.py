@@ -40,7 +40,8 @@ def repeated_words(words: Column) -> Column:
         zero = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(starts, zero, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")), lambda a: a["n"])
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    # words are hashed once and windows are made of neighbours: a slice would copy the whole array each time
+    windows = base.let(F.transform(words, lambda w: F.xxhash64(w)), lambda hs: F.transform(F.sequence(F.lit(0), F.size(hs) - WINDOW), lambda i: F.xxhash64(*[F.get(hs, i + k) for k in range(WINDOW)])))
     found = base.let(
         windows,
         lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(base.let(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)),

@@ -1,9 +1,9 @@
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 
-from tests.llm import brute
+from tests.llm import brute, test_quality
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -32,19 +32,15 @@ def corpus(seed=9):
         if r.random() < 0.4:
             lines.append(r.choice(common))
         rows.append((i, "\n".join(lines), "en", r.choice(["a", "a", "a", "b", "c", None]), 0))
+    for i in range(160, 200):  # a host whose documents mostly break an advisory rule, and another's that break it as well
+        own = " ".join("".join(r.choices("xyz", k=r.choice([1, 2]))) for _ in range(40)) if i % 5 else " ".join(words(25))
+        rows.append((i, own, "en", "poor" if i < 190 else "a", 0))
     return [(d, t, lang, s, len(t)) for d, t, lang, s, _ in rows], items
 
 
 def brute_run(rows, items):
-    good = []
-    for row in rows:
-        w = brute.WORD.findall(row[1])
-        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-        many = {g for g, n in Counter(grams).items() if n > 1}
-        repeated = {i + j for i, g in enumerate(grams) if g in many for j in range(5)}
-        symbols = sum(row[1].count(c) for c in "#*$%&|<>")
-        if len(w) >= 10 and 100 * len(repeated) <= 20 * len(w) and 100 * symbols <= 10 * len(w):
-            good.append(row)
+    good = [row for row, (*_, kept) in zip(rows, test_quality.verdicts([(d, t, s) for d, t, _, s, _ in rows]), strict=True) if kept]
+    assert not any(s == "poor" and len(t.split()) == 40 for _, t, _, s, _ in good) and any(s == "a" and len(t.split()) == 40 for _, t, _, s, _ in good)
     holders = defaultdict(set)
     key = lambda x: x.strip(" \t\n\v\f\r").translate(brute.A_Z)
     for row in good:
