@@ -251,7 +251,9 @@ def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, support: int
     """doc_id and spans (start, rank, end), sorted, for every row of docs; rank is the place in KINDS.
 
     A null or empty text has no spans. Null ids and repeated rows are rows like others. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. Whole texts of any length are read. Identifiers that are found
+    by their context alone have at least LEAST_CHARS characters and LEAST_DIGITS digits: shorter ones, and
+    words without a digit, are not found that way. Patterns of equal confidence are trusted alike.
     """
     found = base.keep(extracted(docs), "extracted")
     good = trusted_patterns(docs, found.where(F.size("found") > 0), confidence, support)
