@@ -19,6 +19,15 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over the session's tasks, for rows of which much is made: a small file is one task, whatever comes of it.
+
+    What is gathered by the key, or by it and more, needs no further shuffle.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
@@ -108,7 +117,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label lines of each part, some garbled or wrapped: scan_id, photo, line_no, block_no, text, conf, cy, top."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     k = F.col("p_partkey")
     s = lambda c: c.cast("string")
     pad = lambda c, n: F.lpad(s(c), n, "0")
