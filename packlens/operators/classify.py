@@ -33,7 +33,9 @@ def counted(lines: DataFrame, *keys: str) -> DataFrame:
 
 def vectors(lines: DataFrame, idf: DataFrame, *keys: str) -> DataFrame:
     """(keys, gram, v): tf-idf vectors of length one, over the known n-grams."""
-    v = counted(lines, *keys).join(idf, "gram").withColumn("v", F.col("n") * F.col("idf"))
+    # a model is small, its driver held it; unknown n-grams leave before they are counted
+    known = lines.select(*keys, F.explode(ngrams(F.col("text"))).alias("gram")).join(F.broadcast(idf), "gram")
+    v = known.groupBy(*keys, "gram", "idf").agg(F.count("*").alias("n")).withColumn("v", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
     return v.select(*keys, "gram", (F.col("v") / F.when(norm > 0, norm).otherwise(1.0)).alias("v"))
 
@@ -50,8 +52,9 @@ def scored(lines: DataFrame, idf: DataFrame, weights: DataFrame, bias: DataFrame
     idf: gram, idf; weights: class_no, gram, weight; bias: class_no, class, bias. The first class wins ties;
     a line without known n-grams is scored by the biases.
     """
-    sums = vectors(lines, idf, *keys).join(weights, "gram").groupBy(*keys, "class_no").agg(F.sum(F.col("v") * F.col("weight")).alias("s"))
-    z = with_classes(lines.select(*keys), bias).join(sums, [*keys, "class_no"], "left").withColumn("z", F.col("bias") + F.coalesce("s", F.lit(0.0)))
+    sums = vectors(lines, idf, *keys).join(F.broadcast(weights), "gram").groupBy(*keys, "class_no").agg(F.sum(F.col("v") * F.col("weight")).alias("s"))
+    # sums grow with the lines, which Spark's estimate takes for few where they are exploded
+    z = with_classes(lines.select(*keys), bias).join(sums.hint("merge"), [*keys, "class_no"], "left").withColumn("z", F.col("bias") + F.coalesce("s", F.lit(0.0)))
     w = Window.partitionBy(*keys)
     z = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(w))).withColumn("p", F.col("e") / F.sum("e").over(w))
     z = z.withColumn("rn", F.row_number().over(w.orderBy(F.desc("p"), "class_no"))).where("rn = 1")
@@ -115,8 +118,8 @@ def ladder(lines: DataFrame, idf: DataFrame, weights: DataFrame, bias: DataFrame
     lines: id (unique), set, text, gold. All thresholds are measured in one pass over the lines; 0 is the whole model.
     """
     sums = [F.sum(F.when(F.abs("weight") >= t, F.col("v") * F.col("weight")).otherwise(0.0)).alias(f"s{i}") for i, t in enumerate(thresholds)]
-    s = vectors(lines, idf, "id").join(weights, "gram").groupBy("id", "class_no").agg(*sums)
-    z = with_classes(lines.select("id", "set", "gold"), bias).join(s, ["id", "class_no"], "left")
+    s = vectors(lines, idf, "id").join(F.broadcast(weights), "gram").groupBy("id", "class_no").agg(*sums)
+    z = with_classes(lines.select("id", "set", "gold"), bias).join(s.hint("merge"), ["id", "class_no"], "left")
     best = [F.max(F.struct((F.col("bias") + F.coalesce(f"s{i}", F.lit(0.0))).alias("z"), (-F.col("class_no")).alias("first"), "class"))["class"].eqNullSafe(F.first("gold")).cast("int").alias(f"r{i}") for i in range(len(thresholds))]
     right = z.groupBy("id", "set").agg(*best)
     found = right.groupBy("set").agg(F.count("*").alias("n"), *[F.avg(f"r{i}").alias(f"a{i}") for i in range(len(thresholds))])
