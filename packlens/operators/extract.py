@@ -320,21 +320,23 @@ def barcode(lines: DataFrame) -> DataFrame:
     return first_line(df, "barcode")
 
 
-def followers(lines: DataFrame, start: DataFrame) -> DataFrame:
-    """start with `following`: the trimmed texts of its block's later lines, in order."""
-    later = lines.select(*KEYS, "block_no", F.col("line_no").alias("later_no"), F.trim("text").alias("later"))
-    pairs = start.join(later, [*KEYS, "block_no"], "left").where(F.col("later_no").isNull() | (F.col("later_no") >= F.col("line_no")))
-    keys = [c for c in start.columns if c not in ("following",)]
-    rows = F.sort_array(F.collect_list(F.when(F.col("later_no") > F.col("line_no"), F.struct("later_no", "later"))))
-    return pairs.groupBy(*keys).agg(F.transform(rows, lambda x: x["later"]).alias("following"))
+def in_block(lines: DataFrame) -> DataFrame:
+    """lines with `in_block`: the numbers and trimmed texts of its block's lines, which a photo bounds. A join of lines with lines would be broadcast by its estimated size, which leaves out that rows are exploded."""
+    w = Window.partitionBy(*KEYS, "block_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return lines.withColumn("in_block", F.collect_list(F.struct("line_no", F.trim("text").alias("text"))).over(w))
+
+
+def followers(start: DataFrame) -> DataFrame:
+    """start, lines of in_block, with `following`: the trimmed texts of its block's later lines, in order."""
+    later = F.sort_array(F.filter("in_block", lambda x: x["line_no"] > F.col("line_no")))
+    return start.withColumn("following", F.transform(later, lambda x: x["text"])).drop("in_block")
 
 
 def manufacturer(lines: DataFrame) -> DataFrame:
     """Name and address after the label within its block: up to four pieces, until another label."""
-    lines = with_votes(lines)
-    df = hits(lines, "manufacturer")
+    df = hits(in_block(with_votes(lines)), "manufacturer")
     full = F.expr("substring(text, locate(lower(label), lower(text)) + length(label))")
-    df = followers(lines, df.withColumn("rest", F.trim(full)))
+    df = followers(df.withColumn("rest", F.trim(full)))
     first = F.when((F.col("rest") != "") & ~F.lower("rest").contains("address above"), F.array("rest")).otherwise(F.array().cast("array<string>"))
     zero = F.struct(first.alias("got"), F.lit(False).alias("stopped"))
 
@@ -362,12 +364,12 @@ def block_field(lines: DataFrame, field: str, pattern: str, kind: str | None = N
 
     A line voted to be of the class `kind` begins one as well, as a whole if it does not match.
     """
-    lines = with_votes(lines)
+    lines = in_block(with_votes(lines))
     rx = "(?i)" + pattern
     df = lines.withColumn("voted", has_vote(kind, L.BLOCK_VOTE) if kind else F.lit(False)).where(F.col("text").rlike(rx) | F.col("voted"))
     df = df.withColumn("label", F.nullif(F.regexp_extract("text", rx, 0), F.lit("")))
     df = df.withColumn("head", F.trim(F.when(F.col("label").isNull(), F.col("text")).otherwise(F.expr("substring(text, instr(text, label))"))))
-    df = followers(lines, df)
+    df = followers(df)
     zero = F.struct(F.col("head").alias("got"), F.lit(False).alias("stopped"))
 
     def step(a: Column, t: Column) -> Column:
