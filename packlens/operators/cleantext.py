@@ -80,5 +80,6 @@ def clean_text(regions: DataFrame, lexicon: bool = True) -> DataFrame:
 
 def mean_confidence(regions: DataFrame, kept: DataFrame) -> DataFrame:
     """(scan_id, photo, mean_confidence) of every photo of regions, over its rows in kept; 0 where there is none."""
-    means = kept.groupBy(*KEYS).agg(F.avg("conf").alias("mean"))
+    # both grow with the regions, which Spark's estimate takes for few where they are exploded
+    means = kept.groupBy(*KEYS).agg(F.avg("conf").alias("mean")).hint("merge")
     return regions.select(*KEYS).distinct().join(means, KEYS, "left").select(*KEYS, F.coalesce("mean", F.lit(0.0)).alias("mean_confidence"))

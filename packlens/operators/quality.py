@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tables that grow with the lines are sorted and merged: Spark's estimate of exploded rows is far too small, and would broadcast them.
+LARGE = "merge"
+
+
 def capture_quality(photos: DataFrame) -> DataFrame:
     """A row a scan: mean_confidence, total_chars, region_count and photo_count.
 
@@ -21,7 +25,7 @@ def capture_quality(photos: DataFrame) -> DataFrame:
 
 def edits(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(scan_id, n, n_changed): rows an officer saw and those whose trimmed text differs; rows without an answer stay as they were."""
-    both = before.select(*keys, F.col("text").alias("was")).join(after.select(*keys, F.col("text").alias("now")), keys, "left")
+    both = before.select(*keys, F.col("text").alias("was")).join(after.select(*keys, F.col("text").alias("now")).hint(LARGE), keys, "left")
     same = F.trim(F.coalesce("now", "was")).eqNullSafe(F.trim("was"))
     return both.groupBy("scan_id").agg(F.count("*").alias("n"), F.count_if(~same).alias("n_changed"))
 
@@ -37,7 +41,7 @@ def votes_or_none(lines: DataFrame, votes: DataFrame | None, keys: list[str]) ->
     if votes is None:
         return lines.withColumns({"vote_class": F.lit("other"), "vote_prob": F.lit(0.0)})
     v = votes.select(*keys, "vote_class", "vote_prob")
-    return lines.join(v, keys, "left").withColumns({"vote_class": F.coalesce("vote_class", F.lit("other")), "vote_prob": F.coalesce("vote_prob", F.lit(0.0))})
+    return lines.join(v.hint(LARGE), keys, "left").withColumns({"vote_class": F.coalesce("vote_class", F.lit("other")), "vote_prob": F.coalesce("vote_prob", F.lit(0.0))})
 
 
 def chosen_votes(lines: DataFrame, tiers: list[tuple[str, DataFrame | None]], keys: list[str], fall_back: bool = False) -> DataFrame:
@@ -52,12 +56,12 @@ def chosen_votes(lines: DataFrame, tiers: list[tuple[str, DataFrame | None]], ke
     counts = lines.groupBy(scan).agg(F.count("*").alias("__lines"))
     engine = F.lit(None).cast("string")
     for i, (name, votes) in reversed(list(enumerate(ready if fall_back else ready[:1]))):
-        counts = counts.join(votes.groupBy(scan).agg(F.count("*").alias(f"__n{i}")), scan, "left")
+        counts = counts.join(votes.groupBy(scan).agg(F.count("*").alias(f"__n{i}")).hint(LARGE), scan, "left")
         engine = F.when(F.col(f"__n{i}") == F.col("__lines"), name).otherwise(engine)
-    df = lines.join(counts.select(scan, engine.alias("engine")), scan)
+    df = lines.join(counts.select(scan, engine.alias("engine")).hint(LARGE), scan)
     if ready:
         both = reduce(DataFrame.unionByName, [v.select(*keys, F.lit(n).alias("engine"), "vote_class", "vote_prob") for n, v in ready])
-        df = df.join(both, [*keys, "engine"], "left")
+        df = df.join(both.hint(LARGE), [*keys, "engine"], "left")
     else:
         df = df.withColumns({"vote_class": F.lit(None).cast("string"), "vote_prob": F.lit(None).cast("double")})
     return df.withColumns({"vote_class": F.coalesce("vote_class", F.lit("other")), "vote_prob": F.coalesce("vote_prob", F.lit(0.0))})
