@@ -16,9 +16,11 @@ def capture_quality(photos: DataFrame) -> DataFrame:
     """A row a scan: mean_confidence, total_chars, region_count and photo_count.
 
     photos: scan_id, photo, mean_conf, chars, regions; a photo that couldn't be read has nulls and
-    counts as confidence 0, so that unread photos lower the mean.
+    counts as confidence 0, so that unread photos lower the mean. Confidences are summed to twelve places
+    in decimals, so that the mean doesn't depend on the order of rows; one that isn't finite counts as 0.
     """
-    mean = F.sum(F.coalesce("mean_conf", F.lit(0.0))) / F.count("*")
+    sure = F.coalesce(F.col("mean_conf").try_cast("decimal(38,12)"), F.lit(0).cast("decimal(38,12)"))
+    mean = F.sum(sure).cast("double") / F.count("*")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return photos.groupBy("scan_id").agg(mean.alias("mean_confidence"), total("chars").alias("total_chars"), total("regions").alias("region_count"), F.count("*").alias("photo_count"))
 

@@ -183,7 +183,7 @@ def export_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH photo AS (SELECT l_orderkey AS scan_id, CASE WHEN l_linestatus = 'F' THEN l_discount * 10 END AS mean_conf, CASE WHEN l_linestatus = 'F' THEN l_quantity::BIGINT END AS chars, CASE WHEN l_linestatus = 'F' THEN l_linenumber::BIGINT END AS regions FROM lineitem)
- SELECT scan_id, floor(sum(coalesce(mean_conf, 0)) / count(*) * 1000 + 0.5) AS mean_confidence, coalesce(sum(chars), 0)::BIGINT AS total_chars, coalesce(sum(regions), 0)::BIGINT AS region_count, count(*) AS photo_count FROM photo GROUP BY scan_id"""
+ SELECT scan_id, floor(sum(coalesce(mean_conf, 0)::DECIMAL(38,12))::DOUBLE / count(*) * 1000 + 0.5) AS mean_confidence, coalesce(sum(chars), 0)::BIGINT AS total_chars, coalesce(sum(regions), 0)::BIGINT AS region_count, count(*) AS photo_count FROM photo GROUP BY scan_id"""
 )
 def capture_quality(spark: SparkSession, d: str) -> DataFrame:
     read = F.col("l_linestatus") == "F"

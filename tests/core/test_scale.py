@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from packlens.operators import classify
+from packlens.operators import classify, quality
 from packlens.plans import register
 from packlens.sources import adapters as A
 
@@ -37,3 +37,10 @@ def test_label_lines_come_from_many_tasks(spark):
     assert A.label_lines(spark, DATA).rdd.getNumPartitions() == many
     # and a photo's lines are gathered where they are
     assert plan(A.label_lines(spark, DATA).groupBy("scan_id", "photo").count()).count("Exchange") == 1
+
+
+def test_a_mean_does_not_depend_on_the_order_of_photos(spark):
+    rows = [(1, i, c, 1, 1) for i, c in enumerate((0.1, 0.2, 0.3))]
+    for order in (rows, rows[::-1]):
+        photos = spark.createDataFrame([*order, (2, 0, float("nan"), 1, 1), (2, 1, None, None, None)], "scan_id int, photo int, mean_conf double, chars int, regions int").coalesce(1)
+        assert {r.scan_id: r.mean_confidence for r in quality.capture_quality(photos).collect()} == {1: 0.6 / 3, 2: 0.0}
