@@ -136,7 +136,8 @@ def any_label(field: str, text: str) -> str:
     return "(" + " OR ".join(f"regexp_matches({text}, '{p}', 'i')" for p, _ in L.LABELS[field]) + ")"
 
 
-BLOCK = "blk AS (SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY scan_id, photo, block_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS block_text FROM line)"
+# grouped, not a window: DuckDB's string_agg over a window loses texts where the window doesn't fit its memory
+BLOCK = "blk AS (SELECT * FROM line JOIN (SELECT scan_id, photo, block_no, string_agg(text, chr(10) ORDER BY line_no) AS block_text FROM line GROUP BY ALL) USING (scan_id, photo, block_no))"
 PHONE = f"""{BLOCK}, c AS (SELECT *, {any_label("care", "block_text")} AS care, regexp_extract(text, '(^|[^0-9])({L.LANDLINE})([^0-9]|$)', 2) AS land, regexp_extract(text, '(^|[^0-9])({L.TOLL_FREE})([^0-9]|$)', 2) AS free,
   regexp_extract(text, '(^|[^0-9])({L.MOBILE})([^0-9]|$)', 2) AS mob FROM blk),
  k AS (SELECT scan_id, photo, line_no, 0 AS match_no, regexp_replace(regexp_replace(land, '\\s+', '', 'g'), '\\.+', '-', 'g') AS value, {blend("0.95::DOUBLE * CASE WHEN care THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END", "conf")} AS confidence FROM c WHERE land <> '' AND length(regexp_replace(text, '[^0-9]', '', 'g')) < 12

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packlens.operators import classify, quality
-from packlens.plans import register
+from packlens.plans import label_queries, register
 from packlens.sources import adapters as A
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +44,8 @@ def test_a_mean_does_not_depend_on_the_order_of_photos(spark):
     for order in (rows, rows[::-1]):
         photos = spark.createDataFrame([*order, (2, 0, float("nan"), 1, 1), (2, 1, None, None, None)], "scan_id int, photo int, mean_conf double, chars int, regions int").coalesce(1)
         assert {r.scan_id: r.mean_confidence for r in quality.capture_quality(photos).collect()} == {1: 0.6 / 3, 2: 0.0}
+
+
+def test_block_texts_of_the_sql_fit_little_memory():
+    """A window's string_agg loses texts where it doesn't fit; a group's does not."""
+    assert "string_agg" in label_queries.BLOCK and " OVER " not in label_queries.BLOCK
