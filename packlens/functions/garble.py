@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packlens.functions.text import bound, table_of
+
 #: Copies of a line, their seed and how strongly they are garbled; most edits of a text, and characters for each.
 COPIES, SEED, LEVEL, MOST_EDITS, CHARACTERS = 15, 123, 1.2, 4, 12
 #: What a character, or two, is misread as (fixed values).
@@ -33,19 +35,20 @@ def draw(digest: Column, i: int) -> Column:
 
 
 def edited(text: Column, digest: Column) -> Column:
-    """text after one edit."""
-    kind = draw(digest, 0)
-    at = F.floor(draw(digest, 1) * F.length(text)).cast("int") + 1
+    """text after one edit; the hash, the kind and the place are computed once."""
+    at = lambda h: F.floor(draw(h, 1) * F.length(text)).cast("int") + 1
+    return bound([digest], lambda h: bound([draw(h, 0), at(h)], lambda kind, i: _edit(text, h, kind, i)))
+
+
+def _edit(text: Column, digest: Column, kind: Column, at: Column) -> Column:
     before, ch, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.length(text))
-    table = F.create_map(*[F.lit(x) for p in CONFUSED.items() for x in p])
+    table = table_of(CONFUSED)
     two, rest = F.substring(text, at, F.lit(2)), F.substring(text, at + 2, F.length(text))
     as_one = F.when(F.length(two) == 2, F.try_element_at(table, two))
-    like = F.coalesce(F.try_element_at(table, ch), F.try_element_at(table, F.lower(ch)))
+    own = F.coalesce(F.try_element_at(table, ch), F.try_element_at(table, F.lower(ch)))
     letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.floor(draw(digest, 4) * 26).cast("int") + 1, F.lit(1))
-    misread = (
-        F.when(as_one.isNotNull() & (draw(digest, 2) < BOTH), F.concat(before, as_one, rest)).when(like.isNotNull() & (draw(digest, 3) < LIKE), F.concat(before, like, after))
-        .when(ch.rlike(r"^\p{L}$"), F.concat(before, letter, after)).otherwise(text)
-    )
+    other = lambda like: F.when(like.isNotNull() & (draw(digest, 3) < LIKE), F.concat(before, like, after)).when(ch.rlike(r"^\p{L}$"), F.concat(before, letter, after)).otherwise(text)
+    misread = F.when((draw(digest, 2) < BOTH) & as_one.isNotNull(), F.concat(before, as_one, rest)).otherwise(bound([own], other))
     without = F.concat(before, after)
     space = F.instr(text, " ")
     joined = F.when(space > 0, F.concat(F.substring(text, F.lit(1), space - 1), F.substring(text, space + 1, F.length(text)))).otherwise(without)

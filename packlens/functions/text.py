@@ -32,6 +32,16 @@ _END = "(?![A-Za-z0-9_])"
 _START = "(?<![A-Za-z0-9_])"
 
 
+def bound(values: list[Column], body) -> Column:
+    """body of values that are computed once each."""
+    return F.transform(F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])), lambda x: body(*[x[f"v{i}"] for i in range(len(values))]))[0]
+
+
+def table_of(values: dict[str, str]) -> Column:
+    """A constant map, small in the plan: a map of literals is walked by every rule of the planner, wherever it is used."""
+    return F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in values.items())), F.lit("\n"), F.lit("\t"))
+
+
 def swap(text: Column, *pairs: tuple[str, str]) -> Column:
     for pattern, to in pairs:
         text = F.regexp_replace(text, pattern, to)
@@ -81,28 +91,37 @@ def clean_token(text: Column) -> Column:
 
 def snapped(word: Column) -> Column:
     """The vocabulary's word nearest to a lower-case word, null beyond 1 edit, or 2 from 9 letters with the same first letter."""
-    words = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w.lower()).alias("low"), F.lit(w).alias("word")) for i, w in enumerate(VOCABULARY)])
-    near = F.filter(words, lambda v: F.abs(F.length(v["low"]) - F.length(word)) <= 2)
-    best = F.array_min(F.transform(near, lambda v: F.struct(F.levenshtein(v["low"], word).alias("d"), v["i"].alias("i"), v["low"].alias("low"), v["word"].alias("word"))))
+    # the words whose length is at most 2 off, by a word's length, in order of preference
+    of_length = [" ".join(w for w in VOCABULARY if abs(len(w) - n) <= 2) for n in range(1, max(map(len, VOCABULARY)) + 3)]
+    near = F.get(F.array(*[F.split(F.lit(ws), " ") for ws in of_length]), F.length(word) - 1)
+    far = F.transform(near, lambda w, i: F.struct(F.levenshtein(F.lower(w), word, 2).alias("d"), i.alias("i"), w.alias("word")))
+    best = F.array_min(F.filter(far, lambda x: x["d"] >= 0))
     limit = F.when(F.length(word) >= 9, 2).otherwise(1)
-    same = F.substring(best["low"], 1, 1) == F.substring(word, 1, 1)
-    return F.when((best["d"] <= limit) & ((best["d"] < 2) | same), best["word"])
+    same = lambda b: F.lower(F.substring(b["word"], 1, 1)) == F.substring(word, 1, 1)
+    return bound([best], lambda b: F.when((b["d"] <= limit) & ((b["d"] < 2) | same(b)), b["word"]))
 
 
 def fixed_word(word: Column, split: bool = True) -> Column:
     """A word by the fixes and the vocabulary, keeping its capitals and what surrounds its letters."""
     numeric = word.rlike(r"(?i)^[\d.,/%\-+()gmlkach]+$") & word.rlike(r"\d")
-    low = F.regexp_replace(F.lower(word), "^[^a-z]+|[^a-z]+$", "")
+    bare = F.regexp_replace(F.lower(word), "^[^a-z]+|[^a-z]+$", "")
     lead, trail = F.regexp_extract(word, "^[^A-Za-z]+", 0), F.regexp_extract(word, "[^A-Za-z]+$", 0)
     upper = word == F.upper(word)
-    exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in FIXES.items() for x in kv]), low)
-    snap = F.when(F.length(low) >= 6, snapped(low))
-    cased = F.when(upper, F.upper(snap)).when(word.rlike("^[A-Z]"), F.concat(F.upper(F.substring(snap, 1, 1)), snap.substr(F.lit(2), F.length(snap)))).otherwise(snap)
-    out = F.when(numeric | (low == ""), word).when(exact.isNotNull(), F.concat(lead, F.when(upper, F.upper(exact)).otherwise(exact), trail)).when(snap.isNotNull(), F.concat(lead, cased, trail))
-    if split:
-        parts = F.split(F.regexp_replace(word, "([a-z])([A-Z])", "$1 $2"), " ")
-        out = out.when(word.rlike("[a-z][A-Z]"), F.array_join(F.transform(parts, lambda p: fixed_word(p, False)), " "))
-    return out.otherwise(word)
+    fixes = table_of(FIXES)
+
+    def by_fix(low: Column, exact: Column) -> Column:
+        known = F.concat(lead, F.when(upper, F.upper(exact)).otherwise(exact), trail)
+        return F.when(numeric | (low == ""), word).when(exact.isNotNull(), known).otherwise(bound([F.when(F.length(low) >= 6, snapped(low))], by_vocabulary))
+
+    def by_vocabulary(snap: Column) -> Column:
+        cased = F.when(upper, F.upper(snap)).when(word.rlike("^[A-Z]"), F.concat(F.upper(F.substring(snap, 1, 1)), snap.substr(F.lit(2), F.length(snap)))).otherwise(snap)
+        out = F.when(snap.isNotNull(), F.concat(lead, cased, trail))
+        if split:
+            parts = F.split(F.regexp_replace(word, "([a-z])([A-Z])", "$1 $2"), " ")
+            out = out.when(word.rlike("[a-z][A-Z]"), F.array_join(F.transform(parts, lambda p: fixed_word(p, False)), " "))
+        return out.otherwise(word)
+
+    return bound([bare], lambda low: bound([F.try_element_at(fixes, low)], lambda exact: by_fix(low, exact)))
 
 
 def fixed_line(line: Column, lexicon: bool = True) -> Column:

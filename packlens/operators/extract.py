@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.functions import labels as L
+from packlens.functions.text import bound
 from packlens.operators.merge import UNITS
 
 KEYS = ["scan_id", "photo"]
@@ -124,11 +125,6 @@ def candidate(value: Column, confidence: Column, when: Column, number: Column |
     return F.when(when, F.array(one)).otherwise(F.array().cast(CANDIDATE)).cast(CANDIDATE)
 
 
-def bound(values: list[Column], body) -> Column:
-    """body of values that are computed once each."""
-    return F.transform(F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])), lambda x: body(*[x[f"v{i}"] for i in range(len(values))]))[0]
-
-
 def quantity_of() -> Column:
     """Quantities, never in a serving's context."""
     rx = L.java(L.QUANTITY)

@@ -260,7 +260,7 @@ GLUED = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'ALLERGENADVICE:
 def fix_line(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     t = F.when(k % 4 == 0, "ALLERGENADVICE:ContainsSoy Mak").when(k % 4 == 1, "Oil(Palm),Sugar").when(k % 4 == 2, "PROTOIN 5g Sodum Enengy").otherwise("Per  100 g serve   size")
-    return A.table(spark, d, "part").select(k.alias("id"), T.fixed_line(t).alias("fixed"))
+    return A.spread(A.table(spark, d, "part"), "p_partkey").select(k.alias("id"), T.fixed_line(t).alias("fixed"))
 
 
 _vocab = ", ".join(f"({i}, '{w.lower()}', '{w}')" for i, w in enumerate(T.VOCABULARY))
@@ -305,7 +305,7 @@ def line_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
     """Regions of two lines a part: its name, each word found twice, and its price, a digit a region."""
-    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("scan_id"), "p_name", F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").cast("string").alias("digits"))
+    p = A.spread(A.table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("scan_id"), "p_name", F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long").cast("string").alias("digits"))
     item = lambda text, conf, x1, x2, y1: F.struct(text.alias("text"), F.lit(conf).alias("conf"), x1.alias("x1"), x2.alias("x2"), y1.alias("y1"))
     at = lambda i: i * 100.0
     shift = (F.col("scan_id") % 5).cast("double")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from packlens.functions import garble, text
 from packlens.operators import classify, quality
 from packlens.plans import label_queries, register
 from packlens.sources import adapters as A
@@ -23,8 +24,8 @@ def test_lines_are_not_broadcast(spark, name):
 
 def test_only_the_model_is_broadcast(spark):
     for name in ("ngram_score", "pruning_ladder"):
-        text = plan(register.QUERIES[name](spark, DATA))
-        assert text.count("BroadcastExchange") == 2 and "BuildLeft" not in text, text
+        shown = plan(register.QUERIES[name](spark, DATA))
+        assert shown.count("BroadcastExchange") == 2 and "BuildLeft" not in shown, shown
     lines = spark.createDataFrame([(1, "net net net x"), (2, "zzz"), (3, None)], "id int, text string")
     idf, weights = spark.createDataFrame([("net", 2.0)], "gram string, idf double"), spark.createDataFrame([(1, "net", 3.0)], "class_no int, gram string, weight double")
     bias = spark.createDataFrame([(0, "a", 0.0), (1, "b", 0.0)], "class_no int, class string, bias double")
@@ -49,3 +50,12 @@ def test_a_mean_does_not_depend_on_the_order_of_photos(spark):
 def test_block_texts_of_the_sql_fit_little_memory():
     """A window's string_agg loses texts where it doesn't fit; a group's does not."""
     assert "string_agg" in label_queries.BLOCK and " OVER " not in label_queries.BLOCK
+
+
+def test_shared_values_are_in_a_plan_once(spark):
+    """An edit's hash was computed for each of its draws, a word's nearest for each of its uses."""
+    df = spark.createDataFrame([("a", "Sodum Protoin")], "id string, text string")
+    said = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert said(garble.copies(df)).count("md5(") == 1
+    assert said(df.select(text.snapped(F.col("text")))).count("levenshtein(") == 1
+    assert df.select(text.fixed_line(F.col("text"))).first()[0] == "Sodium Protein"
