@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from packlens.functions import garble
+from packlens.functions import garble, grams
 
 
 def ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
@@ -27,15 +28,21 @@ def ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
 
 
 def counted(lines: DataFrame, *keys: str) -> DataFrame:
-    """(keys, gram, n): how often each n-gram comes in a line."""
-    return lines.select(*keys, F.explode(ngrams(F.col("text"))).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    """(keys, gram, n): how often each n-gram of ngrams() comes in a line.
+
+    A line's n-grams are counted where the line is, many lines at once, before they become rows; a line (the rows of its
+    keys) bounds them.
+    """
+    text = F.regexp_replace(F.concat(F.lit(" "), F.lower(F.array_join(F.collect_list("text"), " ")), F.lit(" ")), r"\s+", " ")
+    own = lines.groupBy(*keys).agg(text.alias("text"))
+    schema = T.StructType([*own.drop("text").schema, T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+    return own.mapInArrow(grams.counter(list(keys), 3, 5), schema)
 
 
 def vectors(lines: DataFrame, idf: DataFrame, *keys: str) -> DataFrame:
     """(keys, gram, v): tf-idf vectors of length one, over the known n-grams."""
-    # a model is small, its driver held it; unknown n-grams leave before they are counted
-    known = lines.select(*keys, F.explode(ngrams(F.col("text"))).alias("gram")).join(F.broadcast(idf), "gram")
-    v = known.groupBy(*keys, "gram", "idf").agg(F.count("*").alias("n")).withColumn("v", F.col("n") * F.col("idf"))
+    # a model is small, its driver held it
+    v = counted(lines, *keys).join(F.broadcast(idf), "gram").withColumn("v", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)))
     return v.select(*keys, "gram", (F.col("v") / F.when(norm > 0, norm).otherwise(1.0)).alias("v"))
 
@@ -92,9 +99,9 @@ def trained(lines: DataFrame, classes: Sequence[str], c: float = 4.0, bank: Data
     from pyspark.ml.linalg import Vectors
 
     spark = lines.sparkSession
-    grams = lambda df: df.withColumn("grams", ngrams(F.col("text")))
-    rows = grams(lines).select("id", "grams", (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("double").alias("label"))
-    own = grams(lines if bank is None else bank).select("grams")
+    with_grams = lambda df: df.withColumn("grams", ngrams(F.col("text")))
+    rows = with_grams(lines).select("id", "grams", (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("double").alias("label"))
+    own = with_grams(lines if bank is None else bank).select("grams")
     known = own.select(F.explode("grams").alias("gram")).agg(F.count_distinct("gram")).first()[0]
     counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max(1, known)).fit(own)
     common = IDF(inputCol="tf", outputCol="x").fit(counts.transform(own)).idf.toArray() + 1
