@@ -23,12 +23,30 @@ def first_fit(items: str, tol: Column) -> Column:
     return F.aggregate(items, zero, step)
 
 
+def runs(items: str, tol: Column) -> Column:
+    """first_fit of items that rise by cy, as the first place of each line.
+
+    All of a line's items lie tol or more above those that began a later one, so that only the last line can take the next item.
+    """
+    none = F.lit(None).cast("double")
+    zero = F.struct(none.alias("cy"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("firsts"))
+
+    def step(a: Column, t: Column) -> Column:
+        near = F.coalesce((a["n"] > 0) & (F.abs(t["cy"] - a["cy"]) < tol), F.lit(False))
+        return F.struct(
+            F.when(near, (a["cy"] * a["n"] + t["cy"]) / (a["n"] + 1)).otherwise(t["cy"]).alias("cy"), F.when(near, a["n"] + 1).otherwise(1).alias("n"),
+            (a["i"] + 1).alias("i"), F.when(near, a["firsts"]).otherwise(F.array_append(a["firsts"], a["i"])).alias("firsts"),
+        )
+
+    return F.aggregate(items, zero, step, lambda a: a["firsts"])
+
+
 def lines(tokens: DataFrame) -> DataFrame:
     """One row a line: line_no, text, conf, box, cy, top and height (shares), med (of heights) and members.
 
     tokens: scan_id, photo, token_id, text, conf, x1, y1, x2, y2, img_w, img_h. From top to bottom each
     token joins the first line whose running mean centre is within the tolerance, or begins one. A
-    photo's tokens are gathered, which a photo bounds.
+    photo's tokens are gathered, which a photo bounds; its lines are made within its row.
     """
     speck = ((F.col("x2") - F.col("x1") < 6) | (F.col("y2") - F.col("y1") < 6)) & F.trim("text").rlike(T.PUNCTUATION)
     df = tokens.where((F.trim("text") != "") & ~speck & (F.col("img_w") > 0) & (F.col("img_h") > 0))
@@ -37,19 +55,17 @@ def lines(tokens: DataFrame) -> DataFrame:
     heights = F.sort_array(F.transform("ts", lambda t: t["y2"] - t["y1"]))
     med = F.least(F.greatest(F.element_at(heights, (F.floor(F.size("ts") / 2) + 1).cast("int")), F.lit(8.0)), F.lit(80.0))
     df = df.withColumn("med", med).withColumn("tol", F.greatest(F.lit(8.0), F.least(F.col("med") * 0.6, F.col("img_h") * 0.05)))
-    df = df.withColumn("a", first_fit("ts", F.col("tol")))
-    rows = df.select(*KEYS, "img_h", "img_w", "med", "a.means", F.explode(F.arrays_zip(F.col("ts").alias("t"), F.col("a.at").alias("line"))).alias("z"))
-    rows = rows.select(*KEYS, "img_h", "img_w", "med", "z.line", F.element_at("means", F.col("z.line") + 1)["cy"].alias("line_cy"), "z.t")
-    t = lambda n: F.col(f"t.{n}")
-    members = F.sort_array(F.collect_list(F.struct(t("x1").alias("x1"), t("token_id").alias("token_id"), t("text").alias("text"))))
-    out = rows.groupBy(*KEYS, "line", "line_cy", "img_h", "img_w", "med").agg(members.alias("members"), F.avg(t("conf")).alias("conf"), *[f(t(n)).alias(n) for f, n in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))])
-    text = F.array_join(F.array_remove(F.transform("members", lambda m: F.trim(m["text"])), ""), " ")
-    w = Window.partitionBy(*KEYS).orderBy("line_cy", "line")
+    # lines rise by their mean centres as they are begun
+    cut = lambda at: F.transform(at, lambda i, j: F.slice("ts", i + 1, F.coalesce(F.get(at, j + 1), F.size("ts")) - i))
+    out = df.select(*KEYS, "img_h", "img_w", "med", F.posexplode(T.bound([runs("ts", F.col("tol"))], cut)).alias("line_no", "ls"))
+    members = F.sort_array(F.transform("ls", lambda t: F.struct(t["x1"].alias("x1"), t["token_id"].alias("token_id"), t["text"].alias("text"))))
+    text = F.array_join(F.array_remove(F.transform(members, lambda m: F.trim(m["text"])), ""), " ")
+    known = F.filter(F.transform("ls", lambda t: t["conf"].cast("double")), lambda c: c.isNotNull())
+    mean = T.bound([known], lambda cs: F.when(F.size(cs) > 0, F.aggregate(cs, F.lit(0.0), lambda a, c: a + c) / F.size(cs)))
+    of = lambda n: F.transform("ls", lambda t: t[n])
+    out = out.select(*KEYS, "line_no", text.alias("text"), mean.alias("conf"), F.array_min(of("x1")).alias("x1"), F.array_min(of("y1")).alias("y1"), F.array_max(of("x2")).alias("x2"), F.array_max(of("y2")).alias("y2"), "img_w", "img_h", "med")
     return out.select(
-        *KEYS,
-        (F.row_number().over(w) - 1).alias("line_no"),
-        text.alias("text"),
-        "conf", "x1", "y1", "x2", "y2", "img_w", "img_h", "med",
+        *out.columns,
         ((F.col("y1") + F.col("y2")) / 2 / F.col("img_h")).alias("cy"),
         (F.col("y1") / F.col("img_h")).alias("top"),
         ((F.col("y2") - F.col("y1")) / F.col("img_h")).alias("height"),
