@@ -148,8 +148,11 @@ def clean_line(line: Column) -> Column:
 def keep_token(text: Column, width: Column, height: Column, conf: Column) -> Column:
     """Whether a recognised region is more than noise; width is null without a box."""
     raw = F.trim(text)
+    # a text of letters and digits alone is its own probe
+    plain = raw.rlike("^[A-Za-z0-9]+$")
     probe = F.trim(without_quotes(raw))
-    boxed = (width >= 6) & (height >= 6) & (probe != "") & ~raw.rlike(PUNCTUATION) & ~probe.rlike(PUNCTUATION) & (conf >= 0.5)
+    said = plain | ((raw != "") & ~raw.rlike(PUNCTUATION) & bound([probe], lambda p: (p != "") & ~p.rlike(PUNCTUATION)))
+    boxed = (width >= 6) & (height >= 6) & (conf >= 0.5) & said
     return (raw != "") & F.when(width.isNull(), F.length(raw) >= 2).otherwise(boxed)
 
 

@@ -11,12 +11,12 @@ from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as TooLate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packlens.functions import text as Text
-from packlens.operators import cleantext, layout, reread
+from packlens.operators import layout, reread
 from packlens.sources import photos as P
 from packlens.sources import scratch
 
@@ -64,8 +64,8 @@ def tokens_of(regions: Iterable[Region]) -> list[tuple]:
     out = []
     for i, (text, conf, quad) in enumerate(regions):
         if text and text.strip():
-            xs, ys = [float(x) for x, _ in quad], [float(y) for _, y in quad]
-            out.append((i, text, float(conf), min(xs), min(ys), max(xs), max(ys)))
+            xs, ys = zip(*quad, strict=True)
+            out.append((i, text, float(conf), float(min(xs)), float(min(ys)), float(max(xs)), float(max(ys))))
     return out
 
 
@@ -75,69 +75,86 @@ def recognised(photos: DataFrame, recognise: Recogniser, *keys: str, side: int =
     A photo without text has a row of nulls, and so has one that fails, with the error beside it; a null
     content was not readable. Photos go through one at a time, so memory is bounded by a photo and its regions.
     """
+    empty, more = (None,) * len(TOKEN), pa.schema([pa.field(n, ARROW[t]) for n, t in TOKEN.items()])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        timed, out = Timed(seconds), []
+        timed = Timed(seconds)
         for batch in batches:
-            own = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
-            for key, content in zip(own, batch.column("content"), strict=True):
+            own, out, at = batch.select(list(keys)), [], []
+
+            def rows() -> pa.RecordBatch:
+                made = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), more, strict=True)]
+                return pa.record_batch([*own.take(pa.array(at)).columns, *made], schema=pa.schema([*own.schema, *more]))
+
+            for i, content in enumerate(batch.column("content")):
                 try:
                     if not content.is_valid:
                         raise ValueError("unreadable")
                     found = timed(lambda c=content.as_py(): tokens_of(recognise(c, side)))
-                    out += [(*key, *t, None) for t in found] or [(*key, *[None] * 8)]
+                    found = [(*t, None) for t in found] or [empty]
                 except Exception as e:  # a failed photo is a row, not the end of the job
-                    out.append((*key, *[None] * 7, f"{type(e).__name__}: {e}"))
+                    found = [(*empty[1:], f"{type(e).__name__}: {e}")]
+                out += found
+                at += [i] * len(found)
                 if len(out) >= BATCH:
-                    yield batch_of(out, batch.schema, keys, TOKEN)
-                    out = []
+                    yield rows()
+                    out, at = [], []
             if out:
-                yield batch_of(out, batch.schema, keys, TOKEN)
-                out = []
+                yield rows()
 
     return photos.select(*keys, "content").mapInArrow(of, with_columns(photos, keys, TOKEN))
 
 
-def page_tokens(photos: DataFrame, read: DataFrame) -> DataFrame:
+#: What scanned() knows of a photo beside its regions.
+ABOUT = ["there", "format", "width", "height", "orientation", "prepared_width", "prepared_height"]
+
+
+def kept_region() -> Column:
+    return Text.keep_token(F.col("text"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("conf"))
+
+
+def page_tokens(read: DataFrame) -> DataFrame:
     """Tokens for layout: kept regions of photos whose size is known, with img_w and img_h.
 
-    photos: scan_id, photo, width, height, orientation and, if preparing made another image,
+    read: regions with what is known of their photo: width, height, orientation and, if preparing made another image,
     prepared_width and prepared_height, in whose pixels the regions are.
     """
-    kept = Text.keep_token(F.col("text"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("conf"))
-    w, h = ("prepared_width", "prepared_height") if "prepared_width" in photos.columns else ("width", "height")
-    sizes = photos.select(*layout.KEYS, F.col(w).cast("double").alias("img_w"), F.col(h).cast("double").alias("img_h")).where("img_w > 0 and img_h > 0")
-    return read.where(F.col("text").isNotNull() & kept).drop("error").join(sizes, layout.KEYS)
+    w, h = ("prepared_width", "prepared_height") if "prepared_width" in read.columns else ("width", "height")
+    df = read.where((F.col(w) > 0) & (F.col(h) > 0)).where(F.col("text").isNotNull() & kept_region())
+    return df.withColumns({"img_w": F.col(w).cast("double"), "img_h": F.col(h).cast("double")}).drop("error", *ABOUT)
 
 
 def scan_outcomes(photos: DataFrame, read: DataFrame, strict: bool = False) -> DataFrame:
+    """outcomes_of the regions read, of every photo (scan_id, photo, there, width)."""
+    return outcomes_of(photos.select(*layout.KEYS, "there", "width").join(read, layout.KEYS, "left"), strict)
+
+
+def outcomes_of(read: DataFrame, strict: bool = False) -> DataFrame:
     """(scan_id, n_photos, n_readable, n_failed, mean_confidence, region_count, error) of every scan.
 
-    photos: scan_id, photo, there (whether it could be read) and width. A photo that can't be read is skipped but counts in the
-    mean of the photos' confidences; one that was read counts where its size is known. A scan without such a
-    photo has an error; strict raises it instead.
+    read: a row or more for each photo, with there (whether it could be read) and width of the photo. A photo that can't be
+    read is skipped but counts in the mean of the photos' confidences; one that was read counts where its size is known. A
+    scan without such a photo has an error; strict raises it instead.
     """
-    kept = Text.keep_token(F.col("text"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("conf"))
-    found = read.where("text is not null").where(kept)
-    mean = cleantext.mean_confidence(read.select(*layout.KEYS), found)
-    counts = found.groupBy(*layout.KEYS).agg(F.count("*").alias("regions"))
-    failed = read.where("error is not null").select(*layout.KEYS, F.lit(True).alias("failed")).distinct()
-    df = photos.select(*layout.KEYS, (F.col("there") & (F.col("width") > 0)).alias("sized")).join(mean, layout.KEYS, "left").join(counts, layout.KEYS, "left").join(failed, layout.KEYS, "left")
-    good = F.col("sized") & F.col("failed").isNull()
-    df = df.groupBy("scan_id").agg(F.count("*").alias("n_photos"), F.count_if(good).alias("n_readable"), F.count_if(F.col("failed")).alias("n_failed"), (F.sum(F.coalesce("mean_confidence", F.lit(0.0))) / F.count("*")).alias("mean_confidence"), F.coalesce(F.sum("regions"), F.lit(0)).alias("region_count"))
+    conf = F.when(F.col("text").isNotNull() & kept_region(), F.struct("conf"))
+    df = read.select(*layout.KEYS, (F.col("there") & (F.col("width") > 0)).alias("sized"), F.col("error").isNotNull().alias("bad"), conf.alias("kept"))
+    # a photo's rows lie together, so most of this is done before the shuffle
+    df = df.groupBy(*layout.KEYS).agg(F.first("sized").alias("sized"), F.max("bad").alias("failed"), F.count("kept").alias("regions"), F.coalesce(F.avg("kept.conf"), F.lit(0.0)).alias("mean_confidence"))
+    good = F.col("sized") & ~F.col("failed")
+    df = df.groupBy("scan_id").agg(F.count("*").alias("n_photos"), F.count_if(good).alias("n_readable"), F.count_if("failed").alias("n_failed"), (F.sum("mean_confidence") / F.count("*")).alias("mean_confidence"), F.sum("regions").alias("region_count"))
     error = F.concat(F.lit("No readable photos — all "), F.col("n_photos").cast("string"), F.lit(" image(s) failed to load or decode."))
     return df.withColumn("error", F.when(F.col("n_readable") == 0, F.raise_error(error) if strict else error).cast("string"))
 
 
 def scanned(photos: DataFrame, recognise: Recogniser, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tokens for layout, outcomes) of photos (scan_id, photo, content), from one pass for bounds and one of the recogniser.
+    """(tokens for layout, outcomes) of photos (scan_id, photo, content), from one pass over them.
 
-    Both passes' results are written to the shared folder, without the photos, as both results use them.
+    A photo's header is read as its regions are, and what it says is kept beside each of them, so that nothing is
+    joined. The regions are written to the shared folder, without the photos, as both results use them.
     """
     sized = P.with_prepared_size(P.with_bounds(photos)).withColumn("there", F.col("content").isNotNull())
-    sized = scratch.kept(sized.select(*layout.KEYS, "there", "format", "width", "height", "orientation", "prepared_width", "prepared_height"), "bounds")
-    read = scratch.kept(recognised(photos, recognise, *layout.KEYS, seconds=seconds), "regions")
-    return page_tokens(sized, read), scan_outcomes(sized, read)
+    read = scratch.kept(recognised(sized, recognise, *layout.KEYS, *ABOUT, seconds=seconds), "regions")
+    return page_tokens(read), outcomes_of(read)
 
 
 def recognised_crops(crops: DataFrame, photos: DataFrame, prepare: Callable[[bytes, dict], bytes], recognise: Recogniser, seconds: float | None = CROP_SECONDS) -> DataFrame:
