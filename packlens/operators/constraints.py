@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packlens.functions.text import bound
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -94,13 +96,16 @@ def evaluated(df: DataFrame, rules: list[Rule]) -> DataFrame:
                 value = F.when(value.isNotNull(), value.withField(at, shaped(value[at], kinds[r.column], r)))
         new[top] = value
     df = df.withColumns(new)
-    found = []
-    for r in rules:
-        there = r.column.split(".")[0] in df.columns and _kind(df, r.column) is not None
-        value, kind = (F.col(r.column), _kind(df, r.column)) if there else (F.lit(None).cast("string"), "string")
-        found += [F.when(b.isNotNull(), F.struct(F.lit(r.column).alias("column"), b.alias("broken"))) for b in broken(value, kind, r)]
-    none = F.array().cast("array<struct<column:string,broken:string>>")
-    return df.withColumn("broken", F.array_compact(F.array(*found)) if found else none)
+    there = [r.column.split(".")[0] in df.columns and _kind(df, r.column) is not None for r in rules]
+    values = [F.col(r.column) if own else F.lit(None).cast("string") for r, own in zip(rules, there, strict=True)]
+
+    def judged(*shown: Column) -> Column:
+        of = [(r, b) for r, own, v in zip(rules, there, shown, strict=True) for b in broken(v, _kind(df, r.column) if own else "string", r)]
+        return F.array_compact(F.array(*[F.when(b.isNotNull(), F.struct(F.lit(r.column).alias("column"), b.alias("broken"))) for r, b in of]))
+
+    # values are put in shape once, however often their rules ask for them
+    demands = any(r.required or r.least is not None or r.most is not None or r.one_of for r in rules)
+    return df.withColumn("broken", bound(values, judged) if demands else F.array().cast("array<struct<column:string,broken:string>>"))
 
 
 def _kind(df: DataFrame, path: str) -> str | None:
@@ -121,4 +126,4 @@ def constrained(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]
 
 def reasons(bad: DataFrame) -> DataFrame:
     """(column, broken, count): how many rows break what."""
-    return bad.select(F.explode("broken").alias("b")).groupBy("b.column", "b.broken").count().orderBy("column", "broken")
+    return bad.select(F.explode_outer("broken").alias("b")).where("b is not null").groupBy("b.column", "b.broken").count().orderBy("column", "broken")
