@@ -36,7 +36,7 @@ def findings(scans: DataFrame, observed: DataFrame, font_review: bool = True) ->
     """
     df = observed.withColumns({c: (F.col(c) if c in observed.columns else F.lit(None)).cast(t) for c, t in SHOWN.items()})
     df = rules.evaluated(scans, df, font_review, tuple(SHOWN))
-    df = df.select("id", "mean_confidence", "ocr_text", "fields", F.explode("results").alias("r")).select("*", "r.*")
+    df = rules.exploded(df, "id", "mean_confidence", "ocr_text", "fields").select("*", "r.*")
     of = lambda f: F.try_element_at("fields", F.lit(f))
     code, status = F.col("code"), F.col("status")
     phone, email = of("carePhone"), of("careEmail")

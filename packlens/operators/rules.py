@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlens.functions import vocab
+from packlens.functions.text import bound
 
 MIN_CONFIDENCE, MIN_CHARS, MIN_REGIONS = 0.55, 150, 8
 RESULT = "struct<rule_seq:int,code:string,status:string,severity:string>"
@@ -63,8 +64,15 @@ def evaluated(scans: DataFrame, observed: DataFrame, font_review: bool = True, m
         "LM-READ-QUALITY": F.when((confidence > 0) & (confidence < 0.5), unclear).when((confidence >= 0.5) & (confidence < 0.65), warned),
         "LM-R7-FONT": review if font_review else F.lit(None).cast("struct<status:string,severity:string>"),
     }
-    rows = [F.when(outcome[c].isNotNull(), F.struct(F.lit(i).alias("rule_seq"), F.lit(c).alias("code"), outcome[c]["status"].alias("status"), outcome[c]["severity"].alias("severity"))) for i, c in enumerate(vocab.CODES)]
-    return df.withColumn("results", F.array_compact(F.array(*rows))).drop(*[] if more else ["fields"])
+    row = lambda i, c, o: F.when(o.isNotNull(), F.struct(F.lit(i).alias("rule_seq"), F.lit(c).alias("code"), o["status"].alias("status"), o["severity"].alias("severity")))
+    # each outcome is computed once, its null, status and severity are asked for apart
+    results = bound([outcome[c] for c in vocab.CODES], lambda *os: F.array_compact(F.array(*[row(i, c, o) for i, (c, o) in enumerate(zip(vocab.CODES, os, strict=True))])))
+    return df.withColumn("results", results).drop(*[] if more else ["fields"])
+
+
+def exploded(df: DataFrame, *columns: str) -> DataFrame:
+    """columns and `r`, a row a result. An outer explode, as a plain one has Spark compute the results again to filter by their number."""
+    return df.select(*columns, F.explode_outer("results").alias("r")).where(F.col("r").isNotNull())
 
 
 def score(results: Column) -> Column:

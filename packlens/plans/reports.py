@@ -343,7 +343,7 @@ RULE_SQL = f"""SELECT id, seq, code, status, severity FROM (
 
 @query(over("scan obs", f"SELECT id, seq::INTEGER AS rule_seq, code, status, severity FROM ({RULE_SQL})"))
 def rules_from_observations(spark: SparkSession, d: str) -> DataFrame:
-    return rule_rows(spark, d).select("id", F.explode("results").alias("r")).select("id", "r.rule_seq", "r.code", "r.status", "r.severity")
+    return rules.exploded(rule_rows(spark, d), "id").select("id", "r.rule_seq", "r.code", "r.status", "r.severity")
 
 
 # an observation's label, evidence, note and second reading by its photo
@@ -391,7 +391,7 @@ def rule_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 @query(over("scan obs", f"SELECT code, status, count(*) AS n FROM ({RULE_SQL}) GROUP BY ALL"))
 def rule_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = rule_rows(spark, d).select(F.explode("results").alias("r"))
+    rows = rules.exploded(rule_rows(spark, d))
     return rows.groupBy(F.col("r.code").alias("code"), F.col("r.status").alias("status")).agg(F.count("*").alias("n"))
 
 

@@ -50,3 +50,11 @@ def test_photos_are_read_once(spark):
     """Outcomes joined four aggregates, and lines the photos' sizes, to the regions."""
     for name in ("photo_outcomes", "photo_lines"):
         assert "Join" not in plan(register.QUERIES[name](spark, DATA))
+
+
+def test_reasons_and_results_are_computed_once(spark):
+    """Each was computed again for every use of it, and once more to filter by how many there are."""
+    said = lambda name: register.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert said("product_constraints").count("\\p{Z}") <= 14  # twice in each of the patterns
+    for name in ("rules_from_observations", "rule_findings"):
+        assert said(name).count("rule_seq, 0, code, LM-R6-NAME") == 1
