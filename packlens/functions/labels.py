@@ -1,5 +1,7 @@
 """Label dictionaries and value patterns (fixed values), in a spelling that Java and RE2 share but for word bounds."""
 
+import re
+
 #: Field: (pattern, strength), matched in any letter case.
 LABELS = {
     "netQty": [(r"net\s*wt\.?", 0.9), (r"net\s*weight", 1.0), (r"net\s*qty\.?", 1.0), (r"net\s*quantity", 1.0), (r"net\s*contents?", 0.8)],
@@ -34,6 +36,13 @@ NEXT_LABEL = r"^[A-Z][A-Z .&()/\-]{4,}:"
 NOT_A_NAME = r"trade\s*mark|registered|©|®.*(ltd|inc|pvt)|ingredients?|nutrition|manufactured|marketed|packed|imported|consumer|care|fssai|lic\.?\s*no|mrp|batch|mfg|exp|use\s*by|best\s*before|country\s*of\s*origin|made\s*in"
 IDENTITY_VETO = ["ingredients", "nutrition", "manufacturer", "care", "barcode", "slogan_other"]
 _WORD = "[A-Za-z0-9_]"
+#: What every match of DATE_NUMBER, DATE_WORD and QUANTITY has in it: quick to look for.
+DATE_NUMBER_HAS, DATE_WORD_HAS, QUANTITY_HAS = r"[0-9]\s*[./\-]\s*[0-9]", r"[0-9]{4}", r"[0-9]"
+
+
+def stem(pattern: str) -> str:
+    """Letters that any match of a label's pattern begins with, in lower case; '' where it may begin with others."""
+    return re.match(r"(?:\\b)?((?:[a-z](?![?*{]))*)", pattern).group(1)
 
 
 def java(pattern: str, any_case: bool = True) -> str:

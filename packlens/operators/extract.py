@@ -7,6 +7,7 @@ observation a photo: scan_id, photo, field, status, value, number, unit, confide
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,13 +37,18 @@ def with_votes(lines: DataFrame) -> DataFrame:
     return lines
 
 
+def may_have(text: Column, pattern: str) -> Column:
+    """False where the text lacks the letters that the label's pattern begins with: a byte search, so that few texts are held against the pattern."""
+    return F.lower(text).contains(L.stem(pattern))
+
+
 def matches(text: Column, field: str) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(L.java(p)) for p, _ in L.LABELS[field]])
+    return reduce(lambda a, b: a | b, [may_have(text, p) & text.rlike(L.java(p)) for p, _ in L.LABELS[field]])
 
 
 def hits(lines: DataFrame, field: str) -> DataFrame:
     """Lines with a label of the field: the strongest pattern, the first of equals; a stronger vote takes the whole line."""
-    found = [F.when(F.col("text").rlike(L.java(p)), F.struct(F.lit(s).alias("strength"), F.lit(-i).alias("order"), F.regexp_extract("text", L.java(p), 0).alias("label"))) for i, (p, s) in enumerate(L.LABELS[field])]
+    found = [F.when(may_have(F.col("text"), p) & F.col("text").rlike(L.java(p)), F.struct(F.lit(s).alias("strength"), F.lit(-i).alias("order"), F.regexp_extract("text", L.java(p), 0).alias("label"))) for i, (p, s) in enumerate(L.LABELS[field])]
     df = with_votes(lines).withColumn("hit", F.array_max(F.array_compact(F.array(*found))))
     strength = F.coalesce(F.col("hit.strength"), F.lit(0.0))
     voted = F.coalesce((F.col("vote_class") == L.CLASSES[field]) & (F.col("vote_prob") >= L.VOTE_THRESHOLD) & (F.col("vote_prob") > strength), F.lit(False))
@@ -60,7 +66,7 @@ def after_label(df: DataFrame) -> Column:
 def hits_of(field: str) -> Column:
     """An array of the line's hit of the field (field, hit_seq, strength, label, voted), or of none; each pattern is read once."""
     patterns = L.LABELS[field]
-    texts = F.array(*[F.regexp_extract("text", L.java(p), 0) for p, _ in patterns])
+    texts = F.array(*[F.when(may_have(F.col("text"), p), F.regexp_extract("text", L.java(p), 0)).otherwise("") for p, _ in patterns])
     strengths = F.array(*[F.lit(float(s)) for _, s in patterns])
     found = F.filter(F.transform(texts, lambda x, i: F.struct(F.get(strengths, i).alias("strength"), (-i).alias("order"), x.alias("label"))), lambda x: x["label"] != "")
     none = F.array().cast("array<struct<field:string,hit_seq:long,strength:double,label:string,voted:boolean>>")
@@ -70,7 +76,10 @@ def hits_of(field: str) -> Column:
         by_vote = F.coalesce((F.col("vote_class") == L.CLASSES[field]) & (F.col("vote_prob") >= L.VOTE_THRESHOLD) & (F.col("vote_prob") > F.coalesce(best["strength"], F.lit(0.0))), F.lit(False))
         return F.when(by_vote, hit(F.col("vote_prob"), F.col("text"), F.lit(True))).when(best.isNotNull(), hit(best["strength"], best["label"], F.lit(False))).otherwise(none)
 
-    return F.transform(F.array(F.array_max(found)), of)[0]
+    # functions of arrays are interpreted, so most lines are told apart before them
+    voted = F.coalesce(F.col("vote_class") == L.CLASSES[field], F.lit(False))
+    maybe = reduce(lambda a, b: a | b, [F.lower("text").contains(s) for s in dict.fromkeys(L.stem(p) for p, _ in patterns)])
+    return F.when(voted | maybe, F.transform(F.array(F.array_max(found)), of)[0]).otherwise(none)
 
 
 def after(label: Column, text: Column, voted: Column) -> Column:
@@ -79,13 +88,22 @@ def after(label: Column, text: Column, voted: Column) -> Column:
     return F.when(voted, text).when(F.trim(rest(label)) != "", rest(label)).otherwise(rest(F.element_at(F.split(label, " "), -1)))
 
 
-def attempts(lines: DataFrame) -> DataFrame:
+def attempts(lines: DataFrame, net: bool = False) -> DataFrame:
     """Texts to read a value from for each hit in lines' `hits`: the rest of its line, then the photo's nearby lines.
 
-    A photo's lines are gathered once, whatever the fields; a photo bounds them.
+    A photo's lines are gathered once, whatever the fields; a photo bounds them. With net, net_hits are among the hits.
     """
-    item = F.struct("line_no", "text", "conf", "cy", "hits")
-    df = lines.groupBy(*KEYS).agg(F.sort_array(F.collect_list(item)).alias("ls")).where(F.exists("ls", lambda x: F.size(x["hits"]) > 0))
+    item = ["line_no", "text", "conf", "cy", "hits"]
+    if net:
+        text = F.col("text")
+        low = F.lower(text)
+        lone = low.contains("net") & text.rlike(NET)
+        wrap = reduce(lambda a, b: a | b, [low.contains(x) for x in ("weight", "wt", "qty", "quantity", "content")]) & text.rlike(NET_WRAP)
+        lines = lines.withColumns({"__net": F.coalesce(lone, F.lit(False)), "__wrap": F.coalesce(wrap, F.lit(False))})
+        item += ["block_no", "__net", "__wrap"]
+    wanted = lambda x: (F.size(x["hits"]) > 0) | x["__net"] | x["__wrap"] if net else F.size(x["hits"]) > 0
+    df = lines.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct(*item))).alias("ls")).where(F.exists("ls", wanted))
+    df = df.withColumn("ls", net_hits(F.col("ls"))) if net else df
 
     def tried(h: Column, x: Column, seq: Column, prox: Column, relationship: Column, text: Column, conf: Column) -> Column:
         return F.struct(*[h[n].alias(n) for n in ("field", "hit_seq", "strength", "label")], x["text"].alias("label_text"), seq.cast("long").alias("attempt_seq"), prox.alias("prox"), relationship.alias("relationship"), text.alias("attempt"), conf.alias("ocr"))
@@ -125,14 +143,15 @@ def candidate(value: Column, confidence: Column, when: Column, number: Column |
     return F.when(when, F.array(one)).otherwise(F.array().cast(CANDIDATE)).cast(CANDIDATE)
 
 
-def quantity_of() -> Column:
+def quantity_of(df: DataFrame, own: Column) -> tuple[DataFrame, Column]:
     """Quantities, never in a serving's context."""
     rx = L.java(L.QUANTITY)
-    fits = (F.trim("attempt") != "") & ~F.col("attempt").rlike("(?i)" + L.SERVING)
-    number = F.regexp_replace(F.regexp_extract("attempt", rx, 1), ",", ".").try_cast("double")
+    fits = own & F.col("attempt").rlike(L.QUANTITY_HAS) & ~F.col("attempt").rlike("(?i)" + L.SERVING)
     unit = F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.lower(F.regexp_extract("attempt", rx, 2)))
-    confidence = blend(F.col("strength") * F.col("prox"), F.col("ocr"))
-    return bound([number, unit], lambda n, u: candidate(F.concat_ws(" ", n.cast("string"), u), confidence, F.coalesce(fits & u.isNotNull() & (n > 0) & (n < 1e6), F.lit(False)), n, u))
+    df = df.withColumn("__unit", F.when(fits, unit))
+    n, u = F.col("__number"), F.col("__unit")
+    df = df.withColumn("__number", F.when(u.isNotNull(), F.regexp_replace(F.regexp_extract("attempt", rx, 1), ",", ".").try_cast("double")))
+    return df, candidate(F.concat_ws(" ", n.cast("string"), u), blend(F.col("strength") * F.col("prox"), F.col("ocr")), F.coalesce(u.isNotNull() & (n > 0) & (n < 1e6), F.lit(False)), n, u)
 
 
 def price_of() -> Column:
@@ -165,36 +184,47 @@ def batch_of() -> Column:
     return F.filter(of, lambda c: fits(c["value"])).cast(CANDIDATE)
 
 
-def date_of() -> Column:
+def date_of(df: DataFrame, own: Column) -> tuple[DataFrame, Column]:
     """The matched text is kept as it is; only numeric dates are checked for sense."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("attempt", r"\(.*", ""), r"[^0-9./\-A-Za-z ]", " "), r"\s+", " "))
-    number, word = L.java(L.DATE_NUMBER, False), L.java(L.DATE_WORD)
-    confidence = blend(F.col("strength") * F.col("prox"), F.col("ocr"))
+    attempt, clean, numeric, value, year = map(F.col, ("attempt", "__clean", "__numeric", "__date", "__year"))
+    outside = F.when(attempt.contains("("), F.regexp_replace(attempt, r"\(.*", "")).otherwise(attempt)
+    df = df.withColumn("__clean", F.when(own & attempt.rlike("[0-9]"), F.trim(F.regexp_replace(outside, r"[^0-9./\-A-Za-z]+", " "))))
+    df = df.withColumn("__numeric", F.when(clean.rlike(L.DATE_NUMBER_HAS), F.regexp_extract(clean, L.java(L.DATE_NUMBER, False), 0)).otherwise(""))
+    # a numeric date ends with its year
+    y = F.when(numeric != "", F.regexp_extract(numeric, "[0-9]+$", 0).try_cast("int"))
+    v = F.when(numeric != "", numeric).when(clean.rlike(L.DATE_WORD_HAS), F.regexp_extract(clean, L.java(L.DATE_WORD), 0)).otherwise("")
+    df = df.withColumns({"__date": v, "__year": y})
+    full = F.when(year >= 100, year).when(year <= 49, year + 2000).otherwise(year + 1900)
+    return df, candidate(value, blend(F.col("strength") * F.col("prox"), F.col("ocr")), F.coalesce((value != "") & ((numeric == "") | full.between(1990, 2045)), F.lit(False)))
 
-    def read(t: Column) -> Column:
-        year = F.regexp_extract(t, number, 3).try_cast("int")
-        year = F.when(year >= 100, year).when(year <= 49, year + 2000).otherwise(year + 1900)
-        numeric = F.regexp_extract(t, number, 0)
-        return bound([numeric, F.when(numeric != "", numeric).otherwise(F.regexp_extract(t, word, 0))], lambda x, value: candidate(value, confidence, F.coalesce((value != "") & ((x == "") | year.between(1990, 2045)), F.lit(False))))
 
-    return bound([clean], read)
+def by_column(read: Callable[[], Column]) -> Callable[[DataFrame, Column], tuple[DataFrame, Column]]:
+    return lambda df, own: (df, read())
 
 
-#: How an attempt at each labelled field is read, and fields that a label alone leaves unverified.
-READERS = {"netQty": quantity_of, "mrp": price_of, "batch": batch_of, "mfg": date_of, "exp": date_of}
+#: How an attempt at each labelled field is read (columns that it takes on the way, as a column is compiled and an array's function is not,
+#: and its candidates), and fields that a label alone leaves unverified.
+READERS = {"netQty": quantity_of, "mrp": by_column(price_of), "batch": by_column(batch_of), "mfg": date_of, "exp": date_of}
 LABEL_ONLY = ["mrp", "batch", "mfg", "exp"]
 
 
-def net_hits(lines: DataFrame) -> DataFrame:
-    """lines with the further hits of net quantity: NET wrapped over two lines, or alone."""
-    w = Window.partitionBy(*KEYS, "block_no").orderBy("line_no")
-    wrap, net = r"(?i)^\s*(weight|wt\.?|qty\.?|quantity|contents?)(?![A-Za-z0-9_])", r"(?i)^\s*net\s*$"
-    df = lines.withColumns({"__before": F.lag("text").over(w), "__after": F.lead("text").over(w)})
-    wrapped = F.coalesce(F.col("__before").rlike(net) & F.col("text").rlike(wrap), F.lit(False))
-    lone = F.coalesce(F.col("text").rlike(net) & ~F.coalesce(F.col("__after").rlike(wrap), F.lit(False)), F.lit(False))
-    hit = lambda strength, label: F.struct(F.lit("netQty").alias("field"), (F.col("line_no") + 100_000).cast("long").alias("hit_seq"), F.lit(strength).alias("strength"), label.alias("label"), F.lit(False).alias("voted"))
-    more = F.array_compact(F.array(F.when(wrapped, hit(0.9, F.concat(F.lit("NET "), F.trim("text")))), F.when(lone, hit(0.85, F.lit("NET")))))
-    return df.withColumn("hits", F.concat("hits", more)).drop("__before", "__after")
+#: A line of NET alone, and one that goes on from it.
+NET, NET_WRAP = r"(?i)^\s*net\s*$", r"(?i)^\s*(weight|wt\.?|qty\.?|quantity|contents?)(?![A-Za-z0-9_])"
+
+
+def net_hits(ls: Column) -> Column:
+    """A photo's lines, in order, with the further hits of net quantity: NET wrapped over two lines of a block, or alone."""
+    hit = lambda x, strength, label: F.struct(F.lit("netQty").alias("field"), (x["line_no"] + 100_000).cast("long").alias("hit_seq"), F.lit(strength).alias("strength"), label.alias("label"), F.lit(False).alias("voted"))
+
+    def more(x: Column, i: Column) -> Column:
+        own = lambda o: o["block_no"].eqNullSafe(x["block_no"])
+        before = F.try_element_at(F.filter(ls, lambda o, j: (j < i) & own(o)), F.lit(-1))
+        after = F.try_element_at(F.filter(ls, lambda o, j: (j > i) & own(o)), F.lit(1))
+        wrapped, lone = x["__wrap"] & F.coalesce(before["__net"], F.lit(False)), x["__net"] & ~F.coalesce(after["__wrap"], F.lit(False))
+        return F.array_compact(F.array(F.when(wrapped, hit(x, 0.9, F.concat(F.lit("NET "), F.trim(x["text"])))), F.when(lone, hit(x, 0.85, F.lit("NET")))))
+
+    kept = ("line_no", "text", "conf", "cy")
+    return F.transform(ls, lambda x, i: F.struct(*[x[n].alias(n) for n in kept], F.when(x["__net"] | x["__wrap"], F.concat(x["hits"], more(x, i))).otherwise(x["hits"]).alias("hits")))
 
 
 def labelled(lines: DataFrame, *fields: str) -> DataFrame:
@@ -204,10 +234,12 @@ def labelled(lines: DataFrame, *fields: str) -> DataFrame:
     unverified at 0.5, where LABEL_ONLY has its field.
     """
     df = with_votes(lines).withColumn("hits", F.concat(*[hits_of(f) for f in fields]))
-    df = attempts(net_hits(df) if "netQty" in fields else df)
+    df = attempts(df, "netQty" in fields)
     found = F.array().cast(CANDIDATE)
-    for f in fields:
-        found = F.when(F.col("field") == f, READERS[f]()).otherwise(found)
+    for reader in dict.fromkeys(READERS[f] for f in fields):
+        own = F.col("field").isin([f for f in fields if READERS[f] is reader])
+        df, read = reader(df, own)
+        found = F.when(own, read).otherwise(found)
     df = df.select(*KEYS, "field", "hit_seq", "attempt_seq", "label", "relationship", F.explode_outer(found).alias("c")).select(*KEYS, "field", "hit_seq", "attempt_seq", "label", "relationship", "c.*")
     w = Window.partitionBy(*KEYS, "field").orderBy(F.desc_nulls_last("confidence"), "hit_seq", "attempt_seq", "match_no")
     df = df.withColumn("rn", F.row_number().over(w)).where("rn = 1").where(F.col("confidence").isNotNull() | F.col("field").isin(LABEL_ONLY))
