@@ -257,4 +257,7 @@ def report_rows(scans: DataFrame, observed: DataFrame, results: DataFrame) -> Da
         photos,
         F.array(row("signature", F.lit(SIGNATURE)), row("signature", generated)),
     ]
-    return df.select("scan_id", F.posexplode(F.concat(*parts)).alias("row_no", "r")).select("scan_id", "row_no", "r.*")
+    # a column of its own is compiled: within the explode, the functions of arrays would have all of it interpreted;
+    # outer, as a plain explode has Spark make the rows once more to filter by their number, and each scan has some
+    df = df.select("scan_id", F.concat(*parts).alias("rows"))
+    return df.select("scan_id", F.posexplode_outer("rows").alias("row_no", "r")).select("scan_id", "row_no", "r.*")
