@@ -114,92 +114,113 @@ class Attention:
         self.distance, self.causal = np.clip(i - j, 0, None), (j <= i).astype(np.float32)
 
     def attend(self, rows: np.ndarray, seen: np.ndarray, tables: tuple) -> tuple[np.ndarray, ...]:
-        """(hidden state, attention, queries, keys, values) of the ids after the context in windows of embedding rows; seen masks the text's start."""
+        """(hidden state and a one, attention's part of them, weights before they are divided by their sums, sums, queries, keys, values and a one) of the ids after the context in windows of embedding rows; seen masks the text's start."""
         e, q, k, v = (np.take(t, r, axis=0) for t, r in zip(tables, (rows[:, CONTEXT:], rows[:, CONTEXT:], rows, rows), strict=True))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a += self.p["r"][self.distance]
         np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
-        a *= self.causal if seen.all() else self.causal * seen[:, None, :]
-        a /= (a @ np.ones(WINDOW, a.dtype))[:, :, None]
-        return e + np.matmul(a, v), a, q, k, v
+        a *= np.exp(np.clip(self.p["r"], -30, 30))[self.distance] * self.causal
+        opens = np.flatnonzero(seen[:, 0] == 0)  # what a window doesn't see is its first ids
+        a[opens] *= seen[opens, None, :]
+        out = np.matmul(a, v)
+        total = out[:, :, WIDTH:].copy()
+        out /= total
+        return e + out, out, a, total, q, k, v
 
     def tables(self) -> tuple:
+        """Of each embedding row itself and a nought, query, key, value and a one: the ones add up weights and carry the biases."""
+        p, last = self.p, np.ones((len(self.p["e"]), 1), self.p["e"].dtype)
+        return np.hstack([p["e"], 0 * last]), p["e"] @ p["q"] / np.float32(math.sqrt(WIDTH)), p["e"] @ p["k"], np.hstack([p["e"] @ p["v"], last])
+
+    def layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hidden layer, of each group the logits of groups and of its classes) as matrices with the biases as last row; the hidden layer keeps the one."""
         p = self.p
-        return p["e"], p["e"] @ p["q"] / np.float32(math.sqrt(WIDTH)), p["e"] @ p["k"], p["e"] @ p["v"]
+        w = np.zeros((WIDTH + 1, HIDDEN + 1), p["w1"].dtype)
+        w[:-1, :-1], w[-1, :-1], w[-1, -1] = p["w1"], p["b1"], 1
+        u = np.empty((GROUPS, HIDDEN + 1, GROUPS + EACH), p["u1"].dtype)
+        u[:, :-1, :GROUPS], u[:, -1, :GROUPS], u[:, :-1, GROUPS:], u[:, -1, GROUPS:] = p["u1"], p["c1"], p["u2"], p["c2"]
+        return w, u
+
+    def predict(self, h: np.ndarray, goals: np.ndarray, layers: tuple) -> tuple:
+        """Softmax over groups and over the classes of the goal's group, of hidden states put in order of the goals' groups.
 
-    def softmax(self, z: np.ndarray, u: np.ndarray, c: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(exponentials, their sums, natural log probability of the goals)."""
-        x = z @ u
-        x += c
+        (order, parts, states, hidden layer, exponentials, their sums, places of the goals' group and class, natural log probabilities).
+        """
+        w, u = layers
+        order, parts = self.by_group(goals)
+        h, goals = np.take(h, order, axis=0), goals[order]
+        z = h @ w
+        np.maximum(z, 0, out=z)
+        x = np.empty((len(z), GROUPS + EACH), z.dtype)
+        for k, a, b in parts:
+            np.matmul(z[a:b], u[k], out=x[a:b])
         np.clip(x, -60, 60, out=x)
-        goal = x[np.arange(len(x)), goals]
+        first = np.arange(0, x.size, GROUPS + EACH)
+        group, own = first + goals // EACH, first + GROUPS + goals % EACH
+        flat = x.reshape(-1)
+        logs = flat[group] + flat[own]
         np.exp(x, out=x)
-        total = x @ np.ones(x.shape[1], x.dtype)
-        return x, total, goal - np.log(total)
+        total = (x.reshape(-1, EACH) @ np.ones(EACH, x.dtype)).reshape(-1, 2)
+        logs -= np.log(total) @ np.ones(2, x.dtype)
+        return order, parts, h, z, x, total, group, own, logs
 
-    def by_group(self, goals: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-        """(goals' groups, order by them, (group, first and last place in that order) of groups that come)."""
+    def by_group(self, goals: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(order of goals by their groups, (group, first and last place in that order) of groups that come)."""
         group = (goals // EACH).astype(np.uint8)
-        order = np.argsort(group, kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
-        return group, order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+        return np.argsort(group, kind="stable"), [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
     def log10(self, rows: np.ndarray, seen: np.ndarray, goals: np.ndarray, tables: tuple) -> np.ndarray:
         """log10 probability of the goals' classes, (windows, WINDOW - CONTEXT)."""
-        p, flat = self.p, goals.ravel()
-        h = self.attend(rows, seen, tables)[0].reshape(-1, WIDTH)
-        z = np.maximum(h @ p["w1"] + p["b1"], 0)
-        group, order, parts = self.by_group(flat)
-        _, _, out = self.softmax(z, p["u1"], p["c1"], group)
-        z, within = np.take(z, order, axis=0), flat[order] % EACH
-        for k, a, b in parts:
-            out[order[a:b]] += self.softmax(z[a:b], p["u2"][k], p["c2"][k], within[a:b])[2]
-        return (out / np.float32(math.log(10))).reshape(goals.shape)
+        h = self.attend(rows, seen, tables)[0]
+        order, *_, logs = self.predict(h.reshape(-1, WIDTH + 1), goals.ravel(), self.layers())
+        out = np.empty_like(logs)
+        out[order] = logs / np.float32(math.log(10))
+        return out.reshape(goals.shape)
 
     def gradients(self, rows: np.ndarray, seen: np.ndarray, goals: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
         """(mean loss of the scored goals, its slope by each weight)."""
-        p, scale = self.p, np.float32(1 / math.sqrt(WIDTH))
-        h, a, q, k, v = self.attend(rows, seen, self.tables())
-        flat = h.reshape(-1, WIDTH)
-        z = np.maximum(flat @ p["w1"] + p["b1"], 0)
-        weight = (scored.ravel() / max(1.0, float(scored.sum()))).astype(z.dtype)
-        goals = goals.ravel()
-        group, order, parts = self.by_group(goals)
+        p, scale, (w, u) = self.p, np.float32(1 / math.sqrt(WIDTH)), self.layers()
+        h, out, a, sums, q, k, v = self.attend(rows, seen, self.tables())
+        order, parts, h, z, d, total, group, own, logs = self.predict(h.reshape(-1, WIDTH + 1), goals.ravel(), (w, u))
+        weight = (scored.ravel() / max(1.0, float(scored.sum()))).astype(z.dtype)[order]
         # an exponential over its sum, less one at the goal, is the loss's slope by a logit
-        d, total, logs = self.softmax(z, p["u1"], p["c1"], group)
-        d *= (weight / total)[:, None]
-        d[np.arange(len(d)), group] -= weight
-        g = {"u1": z.T @ d, "c1": d.sum(0), "u2": np.zeros_like(p["u2"]), "c2": np.zeros_like(p["c2"])}
-        dz, loss = d @ p["u1"].T, -float(weight @ logs)
-        zs, within, ws, more = np.take(z, order, axis=0), goals[order] % EACH, weight[order], np.empty_like(z)
+        flat, by_softmax = d.reshape(-1), d.reshape(-1, 2, EACH)
+        by_softmax *= (weight[:, None] / total)[:, :, None]
+        flat[group] -= weight
+        flat[own] -= weight
+        du, dz = np.zeros_like(u), np.empty_like(z)
         for n, x, y in parts:
-            d, total, logs = self.softmax(zs[x:y], p["u2"][n], p["c2"][n], within[x:y])
-            d *= (ws[x:y] / total)[:, None]
-            d[np.arange(y - x), within[x:y]] -= ws[x:y]
-            g["u2"][n], g["c2"][n] = zs[x:y].T @ d, d.sum(0)
-            more[order[x:y]] = d @ p["u2"][n].T
-            loss -= float(ws[x:y] @ logs)
-        dz += more
+            du[n] = z[x:y].T @ d[x:y]
+            np.matmul(d[x:y], u[n].T, out=dz[x:y])
         dz *= z > 0
-        g |= {"w1": flat.T @ dz, "b1": dz.sum(0)}
-        dh = (dz @ p["w1"].T).reshape(h.shape)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dh)
-        da -= ((da * a) @ np.ones(WINDOW, a.dtype))[:, :, None]
+        dw = h.T @ dz
+        g = {"u1": du[:, :-1, :GROUPS].sum(0), "c1": du[:, -1, :GROUPS].sum(0), "u2": du[:, :-1, GROUPS:], "c2": du[:, -1, GROUPS:], "w1": dw[:-1, :-1], "b1": dw[-1, :-1]}
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        # slopes by attention's part over its sums, and what the sums themselves take off
+        by_out = np.take(dz @ w.T, back, axis=0).reshape(out.shape)
+        dh = by_out[:, :, :WIDTH].copy()
+        by_out[:, :, WIDTH] = ((dh * out[:, :, :WIDTH]).reshape(-1, WIDTH) @ np.full(WIDTH, -1, dh.dtype)).reshape(dh.shape[:2])
+        by_out /= sums
+        da = np.matmul(by_out, v.transpose(0, 2, 1))
         da *= a
-        g["r"] = np.bincount(self.distance.ravel(), (da.sum(axis=0) * self.causal).ravel(), WINDOW)
-        dq = np.matmul(da, k) * scale
-        dkv = np.concatenate([np.matmul(da.transpose(0, 2, 1), q), dv], axis=2)
-        x = np.take(p["e"], rows, axis=0)
-        one = lambda y: y.reshape(-1, y.shape[-1])
-        g["q"], kv = one(x[:, CONTEXT:]).T @ one(dq), one(x).T @ one(dkv)
-        g["k"], g["v"] = kv[:, :WIDTH], kv[:, WIDTH:]
-        dx = dkv @ np.concatenate([p["k"].T, p["v"].T])
-        dx[:, CONTEXT:] += dq @ p["q"].T + dh
-        at = (rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-        g["e"] = np.bincount(at, dx.ravel(), p["e"].size).reshape(p["e"].shape)
-        return loss, g
+        g["r"] = np.bincount(self.distance.ravel(), da.sum(axis=0).ravel(), WINDOW)
+        # slopes by queries, keys and values side by side; context has no queries
+        dqkv = np.empty((*rows.shape, 3 * WIDTH), da.dtype)
+        dqkv[:, :CONTEXT, :WIDTH] = 0
+        np.matmul(da, k, out=dqkv[:, CONTEXT:, :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), by_out[:, :, :WIDTH], out=dqkv[:, :, 2 * WIDTH :])
+        dqkv = dqkv.reshape(-1, 3 * WIDTH)
+        at = rows.ravel().astype(np.intp)
+        all_three = np.take(p["e"], at, axis=0).T @ dqkv
+        g |= {"q": all_three[:, :WIDTH] * scale, "k": all_three[:, WIDTH : 2 * WIDTH], "v": all_three[:, 2 * WIDTH :]}
+        dx = (dqkv @ np.concatenate([p["q"].T * scale, p["k"].T, p["v"].T])).reshape(*rows.shape, WIDTH)
+        dx[:, CONTEXT:] += dh
+        dx = dx.reshape(-1, WIDTH)
+        g["e"] = np.stack([np.bincount(at, dx[:, c], len(p["e"])) for c in range(WIDTH)], axis=1)
+        return -float(weight @ logs), g
 
     def fit(self, rows: np.ndarray, seen: np.ndarray, goals: np.ndarray, scored: np.ndarray, steps: int = STEPS, seed: int = 11, most: float = RATE) -> list[float]:
         """Adam steps on batches of windows in random order; all windows come once before any comes again."""
@@ -212,9 +233,18 @@ class Attention:
             rate = most * min(1, t / 20) * (1 - t / (steps + 1))
             for k, x in g.items():
                 x = x.astype(np.float32)
-                m[k] = 0.9 * m[k] + 0.1 * x
-                s[k] = 0.99 * s[k] + 0.01 * x * x
-                self.p[k] -= np.float32(rate) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-7)
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * x
+                x *= x
+                x *= np.float32(0.01)
+                s[k] *= np.float32(0.99)
+                s[k] += x
+                np.multiply(s[k], np.float32(1 / (1 - 0.99**t)), out=x)
+                np.sqrt(x, out=x)
+                x += np.float32(1e-7)
+                np.divide(m[k], x, out=x)
+                x *= np.float32(rate / (1 - 0.9**t))
+                self.p[k] -= x
             losses.append(loss)
         return losses
 
@@ -223,17 +253,29 @@ class Attention:
 
         An id is predicted from those before it; the end id stands before the first.
         """
+        text, at, seen, scored = self.places(lengths)
+        padded = self.padded(lengths, ids, end)
+        own = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[at] if len(at) else np.zeros((0, WINDOW + 1), padded.dtype)
+        return text, self.row[own[:, :-1]], seen, own[:, CONTEXT + 1 :], scored
+
+    def padded(self, lengths: np.ndarray, values: np.ndarray, fill: int) -> np.ndarray:
+        """The texts' values one after another, CONTEXT + 1 fills before each and after it what its last window lacks."""
+        step = WINDOW - CONTEXT
+        room = -(-lengths // step) * step + CONTEXT + 1
+        out = np.full(int(room.sum()), fill, values.dtype)
+        out[np.arange(len(values)) + np.repeat(np.cumsum(room) - room + CONTEXT + 1 - (np.cumsum(lengths) - lengths), lengths)] = values
+        return out
+
+    def places(self, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text of each window, its first place in padded(), seen, scored)."""
         step = WINDOW - CONTEXT
-        firsts = np.cumsum(lengths) - lengths
         per = -(-lengths // step)
         text = np.repeat(np.arange(len(lengths)), per)
         number = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-        goal = (number * step)[:, None] + np.arange(step)
-        scored = goal < lengths[text][:, None]
-        goals = ids[np.minimum(firsts[text][:, None] + goal, len(ids) - 1)] if len(ids) else np.zeros(goal.shape, np.int64)
-        before = (number * step - CONTEXT)[:, None] + np.arange(WINDOW)
-        inputs = np.where(before > 0, ids[np.clip(firsts[text][:, None] + before - 1, 0, max(0, len(ids) - 1))], end) if len(ids) else np.full(before.shape, end)
-        return text, self.row[inputs], (before >= 0).astype(np.float32), goals, scored
+        at = np.arange(len(text)) * step + text * (CONTEXT + 1)
+        seen = np.ones((len(text), WINDOW), np.float32)
+        seen[number == 0, :CONTEXT] = 0
+        return text, at, seen, np.arange(step) < (lengths[text] - number * step)[:, None]
 
 
 # --- words and counts
@@ -244,6 +286,20 @@ def lowered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[byte
     return [bytes(view[a:b]).lower() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def lowered_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> pa.Array:
+    """These words of a chunk as an Arrow column, taken from one of words and gaps by turns."""
+    low = data | ((data >= 65) & (data <= 90)).astype(np.uint8) << 5
+    bounds = np.empty(2 * len(starts) + 1, np.int32)
+    bounds[:-1:2], bounds[1::2], bounds[-1] = starts, ends, len(data)
+    return pa.Array.from_buffers(pa.binary(), 2 * len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(low)]).take(pa.array(2 * which))
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each different hash, rising; for each hash which of these it is), without a sort."""
+    inverse = pa.array(hashes).dictionary_encode().indices.to_numpy()
+    return np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1)), inverse
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c): words of the texts and how often they come; combined in each batch and again by Spark before the shuffle."""
 
@@ -253,8 +309,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for i, j in npwords.chunks(offsets, 4 * npwords.CHUNK_BYTES):
                 part = data[offsets[i] : offsets[j]]
                 _, starts, ends = npwords.words(offsets[i : j + 1] - offsets[i], part)
-                _, first, n = np.unique(npwords.hashes(part, starts, ends), return_index=True, return_counts=True)
-                yield pa.record_batch([pa.array(lowered(part, starts[first], ends[first]), pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
+                first, inverse = distinct(npwords.hashes(part, starts, ends))
+                yield pa.record_batch([lowered_array(part, starts, ends, first), pa.array(np.bincount(inverse, minlength=len(first)))], names=["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -262,7 +318,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def subword_counts(words: DataFrame, subwords: Subwords) -> np.ndarray:
     """How often each id comes in all words counted; as many rows as the tokenizer has ids at most reach the driver."""
 
+    shared = words.sparkSession.sparkContext.broadcast(subwords)  # its tables are made once in a process, not in each task
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = shared.value
         total = np.zeros(subwords.size)
         for batch in batches:
             firsts, ids = subwords.ids(batch.column("word").to_pylist())
@@ -313,8 +372,11 @@ def chunk_ids(part: np.ndarray, offsets: np.ndarray, head: tuple) -> tuple:
     """Subword ids of a chunk of texts, each with the end after it, and what the base score needs of its words."""
     hashes, _, head_firsts, head_ids, subwords = head
     firsts, starts, ends = npwords.words(offsets, part)
-    h, first, inverse = np.unique(npwords.hashes(part, starts, ends), return_index=True, return_inverse=True)
-    at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+    h = npwords.hashes(part, starts, ends)
+    first, inverse = distinct(h)
+    h = h[first]
+    order, at = np.argsort(h), np.empty(len(h), np.int64)
+    at[order] = np.minimum(np.searchsorted(hashes, h[order]), max(0, len(hashes) - 1))
     known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
     rare = np.flatnonzero(~known)
     rare_words = lowered(part, starts[first[rare]], ends[first[rare]])
@@ -370,11 +432,17 @@ def pieces_of(ids: DataFrame, end: int, kind: type) -> DataFrame:
     return ids.where("not held_out").select("ids").mapInArrow(pieces, "piece int, n int, ids binary")
 
 
+def hold_memory() -> None:
+    """glibc gives memory back as arrays end and gets it page by page again for the next, until it has seen a large one go."""
+    np.empty(30 << 20, np.uint8)
+
+
 def fitter(shared, kind: type, steps: int, most: float):
     """Of a shard: the weights after fitting, in UNIT and times its windows, and its windows under -1. shared: the broadcast model."""
 
     def fit(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("piece", "ascending"), ("ids", "ascending")])
+        hold_memory()
         model = copy.copy(shared.value)
         model.p = {k: x.copy() for k, x in model.p.items()}
         rows, seen, goals, scored = piece_windows([(k, n, np.frombuffer(x, kind)) for k, n, x in zip(*(shard[c].to_pylist() for c in ("piece", "n", "ids")), strict=True)], model)
@@ -399,9 +467,10 @@ def fitted(pieces: DataFrame, model: Attention, kind: type, steps: int, shard_wi
     for where, least, most in (("shard = 0", steps, RATE), ("shard > 0", 0, LATER_RATE)):
         if n and (shards > 1 or where == "shard = 0"):
             shared = spark.sparkContext.broadcast(model)
-            sums = dealt.where(where).groupBy("shard").applyInArrow(fitter(shared, kind, least, most), "at long, sum long")
-            # a shard's sums fit longs; those of all shards, which the input sizes, are kept in 38 digits
-            sums = sums.groupBy("at").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).toArrow().sort_by("at")["sum"].to_pylist()
+            with base.conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):  # the pieces as dealt go as this ends
+                sums = dealt.where(where).groupBy("shard").applyInArrow(fitter(shared, kind, least, most), "at long, sum long")
+                # a shard's sums fit longs; those of all shards, which the input sizes, are kept in 38 digits
+                sums = sums.groupBy("at").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).toArrow().sort_by("at")["sum"].to_pylist()
             if sums:
                 model, flat, used = copy.copy(model), np.array([float(x) for x in sums[1:]]) / float(sums[0]) * UNIT, 0
                 p = {}
@@ -409,6 +478,7 @@ def fitted(pieces: DataFrame, model: Attention, kind: type, steps: int, shard_wi
                     x = model.p[k]
                     p[k], used = flat[used : used + x.size].reshape(x.shape).astype(np.float32), used + x.size
                 model.p = p
+    base.forget(pieces)
     return model
 
 
@@ -454,6 +524,7 @@ def scorer(fit, end: int, kind: type):
     """Per document the model's score. fit: the broadcast model."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory()
         model = fit.value
         tables = model.tables()
         for batch in batches:
@@ -468,15 +539,18 @@ def scorer(fit, end: int, kind: type):
     return score
 
 
-def model_scores(model: Attention, tables: tuple, lengths: np.ndarray, ids: np.ndarray, end: int, at_once: int = 1024) -> np.ndarray:
-    out = np.zeros(len(lengths))
-    text, rows, seen, goals, scored = model.windows(lengths, ids, end)
-    classes, within = model.of_class[goals], model.within[goals]
-    for a in range(0, len(text), at_once):
-        part = slice(a, a + at_once)
-        logs = model.log10(rows[part], seen[part], classes[part], tables) + within[part]
-        out += np.bincount(text[part], (logs * scored[part]).sum(axis=1, dtype=float), len(lengths))
-    return out
+def model_scores(model: Attention, tables: tuple, lengths: np.ndarray, ids: np.ndarray, end: int, at_once: int = 256) -> np.ndarray:
+    text, at, seen, scored = model.places(lengths)
+    logs = np.zeros(len(text))
+    if len(text):
+        padded = model.padded(lengths, ids, end)
+        rows, classes, within = (np.lib.stride_tricks.sliding_window_view(t[padded], WINDOW + 1) for t in (model.row, model.of_class, model.within))
+        for a in range(0, len(text), at_once):
+            part = slice(a, a + at_once)
+            own = at[part]
+            found = model.log10(rows[own, :-1], seen[part], classes[own, CONTEXT + 1 :], tables) + within[own, CONTEXT + 1 :]
+            logs[part] = (found * scored[part]).sum(axis=1, dtype=float)
+    return np.bincount(text, logs, len(lengths))
 
 
 def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD_WORDS, steps: int = STEPS, shard_windows: int = SHARD) -> DataFrame:

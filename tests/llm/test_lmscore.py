@@ -190,3 +190,35 @@ def test_the_model_beats_a_unigram_on_held_out_text(spark):
     model, unigram = sum(score[d] for d in held) / n, sum(math.log10((counts[i] + 1) / total) for d in held for i in ids[d]) / n
     print(f"log10 a token of held-out text: model {model:.3f}, unigram {unigram:.3f}")
     assert len(held) > 15 and model > unigram + 0.2
+
+
+def test_words_of_a_chunk_are_told_apart_without_a_sort():
+    text = "B a\tb É a  A\nwürde É".encode()
+    data = np.frombuffer(text, np.uint8)
+    _, starts, ends = lmscore.npwords.words(np.array([0, len(data)]), data)
+    first, inverse = lmscore.distinct(lmscore.npwords.hashes(data, starts, ends))
+    assert first.tolist() == [0, 1, 3, 6] and inverse.tolist() == [0, 1, 0, 2, 1, 1, 3, 2]
+    assert lmscore.lowered_array(data, starts, ends, first).to_pylist() == [b"b", b"a", "É".encode(), "würde".encode()]
+    none = np.zeros(0, np.int64)
+    assert [x.tolist() for x in lmscore.distinct(none.astype(np.uint64))] == [[], []] and lmscore.lowered_array(data[:0], none, none, none).to_pylist() == []
+
+
+def test_no_memory_is_given_back_between_steps():
+    """Steps of a fit use the memory of those before them: few new pages a step."""
+    resource = pytest.importorskip("resource")
+    subwords, model, _ = model_and_windows()
+    ids = np.random.default_rng(3).integers(0, 5000, 24 * lmscore.BATCH)
+    _, rows, seen, goals, scored = model.windows(np.array([len(ids)]), ids, subwords.end)
+    data = rows, seen, model.of_class[goals], scored.astype(np.float32)
+    lmscore.hold_memory()
+    model.fit(*data, steps=3)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    model.fit(*data, steps=20)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 20 * 500
+
+
+def test_the_dealt_pieces_are_gone_once_the_model_is_fitted(spark):
+    before = len(lmscore.base._written)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in texts(20)], SCHEMA)
+    lmscore.lm_scores(df, steps=2)
+    assert {p.rpartition("/")[2] for _, p in lmscore.base._written[before:]} == {"word_counts", "ids"}
